@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellumine import settings as S
-from vellumine.functions.text import strip
+from vellumine.functions.text import let, strip
 
 
 def occurrences(text: Column, word: str) -> Column:
@@ -60,18 +60,25 @@ def document_category(content: Column, title: Column | None = None, **tables) ->
     """struct(category, confidence, score); ties go to the category declared first."""
     scores = category_scores(content, title, **tables)
     named = F.array(*[F.struct(F.lit(c).alias("category"), s.alias("score")) for c, s in scores])
-    total = F.aggregate(named, F.lit(0.0), lambda acc, x: acc + x["score"])
-    best = F.aggregate(
-        named,
-        F.struct(F.lit("unknown").alias("category"), F.lit(-1.0).alias("score")),
-        lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc),
-    )
-    confidence = F.when(total > 0, F.least(best["score"] / F.greatest(total * 0.5, F.lit(1.0)), F.lit(1.0))).otherwise(0.0)
-    return F.struct(
-        F.when(best["score"] < 3, "unknown").otherwise(best["category"]).alias("category"),
-        confidence.alias("confidence"),
-        best["score"].alias("score"),
-    )
+    start = F.struct(F.lit("unknown").alias("category"), F.lit(-1.0).alias("score"), F.lit(0.0).alias("total"))
+
+    def step(acc: Column, x: Column) -> Column:
+        better = x["score"] > acc["score"]
+        return F.struct(
+            F.when(better, x["category"]).otherwise(acc["category"]).alias("category"),
+            F.greatest(x["score"], acc["score"]).alias("score"),
+            (acc["total"] + x["score"]).alias("total"),
+        )
+
+    def finish(acc: Column) -> Column:
+        share = F.least(acc["score"] / F.greatest(acc["total"] * 0.5, F.lit(1.0)), F.lit(1.0))
+        return F.struct(
+            F.when(acc["score"] < 3, "unknown").otherwise(acc["category"]).alias("category"),
+            F.when(acc["total"] > 0, share).otherwise(0.0).alias("confidence"),
+            acc["score"].alias("score"),
+        )
+
+    return F.aggregate(named, start, step, finish)
 
 
 def filename_category(filename: Column, table: Mapping[str, Sequence[str]] = S.CATEGORY_FILENAMES) -> Column:
@@ -80,10 +87,11 @@ def filename_category(filename: Column, table: Mapping[str, Sequence[str]] = S.C
 
 def combined_category(content: Column, title: Column, filename: Column, name_table=S.CATEGORY_FILENAMES, **tables) -> Column:
     """Content first; a confidence under 0.5 defers to a known filename category."""
-    found = document_category(content, title, **tables)
     by_name = filename_category(filename, name_table)
-    defer = (found["confidence"] < 0.5) & (by_name != "unknown")
-    return F.when(defer, by_name).otherwise(found["category"])
+    return let(
+        document_category(content, title, **tables),
+        lambda found: F.when((found["confidence"] < 0.5) & (by_name != "unknown"), by_name).otherwise(found["category"]),
+    )
 
 
 def is_policy(content: Column, patterns: Sequence[str] = S.POLICY_PATTERNS, at_least: int = 3) -> Column:
@@ -284,19 +292,20 @@ def mask_secrets(text: Column, patterns: Sequence[str] = S.SECRET_PATTERNS) -> C
 
     The star count varies, so the distinct matches are folded over the text.
     """
-    for pattern in patterns:
-        whole = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0))
-        masked = F.aggregate(
-            whole,
-            text,
-            lambda acc, m: F.replace(
-                acc,
-                m,
-                F.replace(m, F.regexp_extract(m, pattern, 1), mask_value(F.regexp_extract(m, pattern, 1))),
-            ),
+
+    def mask_matches(acc: Column, pattern: Column) -> Column:
+        value = lambda m: F.call_function("regexp_extract", m, pattern, F.lit(1))
+        return F.aggregate(
+            F.array_distinct(F.regexp_extract_all(acc, pattern, 0)),
+            acc,
+            lambda done, m: F.replace(done, m, F.replace(m, value(m), mask_value(value(m)))),
         )
-        text = F.when(text.rlike(pattern), masked).otherwise(text)
-    return text
+
+    return F.aggregate(
+        F.array(*[F.lit(p) for p in patterns]),
+        text,
+        lambda acc, p: F.when(F.rlike(acc, p), mask_matches(acc, p)).otherwise(acc),
+    )
 
 
 def redact_map(data: Column, keys: Sequence[str] = S.SECRET_KEYS) -> Column:
@@ -343,42 +352,58 @@ def expense_slots(text: Column) -> Column:
 
 def smart_truncate(text: Column, limit: int = 15) -> Column:
     """Shorten to ``limit``, backing up to a mark in the second half, then to a script change."""
-    head = F.left(text, F.lit(limit + 1))
     marks = "".join("\\" + c if c in ".?" else c for c in TITLE_BREAKS)
     # A mark at position i keeps the i characters before it, limit//2 < i <= limit.
-    at_mark = F.regexp_extract(head, f"(?s)^(.{{{limit // 2 + 1},{limit}}})[{marks}]", 1)
+    at_mark = f"(?s)^(.{{{limit // 2 + 1},{limit}}})[{marks}]"
     # Greedy: the latest ideograph-to-letter boundary, at least three characters in.
-    at_script = F.regexp_extract(head, f"(?s)^(.{{2,{limit - 1}}}[{S.CJK_BASIC}])(?=[a-zA-Z])", 1)
-    return (
-        F.when(F.length(text) <= limit, text)
-        .when(at_mark != "", at_mark)
-        .when(at_script != "", at_script)
-        .otherwise(F.left(text, F.lit(limit)))
+    at_script = f"(?s)^(.{{2,{limit - 1}}}[{S.CJK_BASIC}])(?=[a-zA-Z])"
+    return let(
+        text,
+        lambda t: F.when(F.length(t) <= limit, t)
+        .when(t.rlike(at_mark), F.regexp_extract(t, at_mark, 1))
+        .when(t.rlike(at_script), F.regexp_extract(t, at_script, 1))
+        .otherwise(F.left(t, F.lit(limit))),
     )
 
 
 def short_title(raw: Column, original: Column) -> Column:
     """Conversation title: prefixes and quotes off, missing slots added, terms unified, 15 characters."""
-    slots = expense_slots(original)
-    rank, kind = slots["rank"], slots["expense_type"]
-    title = strip(raw)
-    for prefix in TITLE_PREFIXES:
-        title = F.when(F.startswith(title, F.lit(prefix)), strip(F.substr(title, F.lit(len(prefix) + 1)))).otherwise(title)
     wrappers = "".join("\\" + c if c in "[]()" else c for c in TITLE_WRAPPERS)
-    title = F.regexp_replace(title, f"^[{wrappers}]+|[{wrappers}]+$", "")
-    title = F.when(rank.isNotNull() & ~F.contains(title, rank) & (F.length(title) < 12), F.concat(rank, title)).otherwise(title)
-    unnamed = kind.isNotNull() & ~F.contains(title, kind) & (F.length(title) < 12)
-    title = F.when(unnamed & ~title.rlike("标准|额度"), F.concat(title, F.lit("标准"))).otherwise(title)
-    for old, new in TITLE_TERMS.items():
-        swapped = F.replace(title, F.lit(old), F.lit(new))
-        fits = F.contains(title, F.lit(old)) & ~F.contains(title, F.lit(new)) & (F.length(swapped) <= 15)
-        title = F.when(fits, swapped).otherwise(title)
-    title = smart_truncate(title, 12)
-    fallback = F.when(
-        rank.isNull() & kind.isNull(), F.lit("报销标准咨询")
-    ).otherwise(F.concat_ws("", rank, kind, F.lit("咨询")))
-    weak = (F.length(title) < 4) | title.isin("新对话", "财务报销")
-    return F.left(F.when(weak, fallback).otherwise(title), F.lit(15))
+    terms = F.array(
+        *[F.struct(F.lit(o).alias("old"), F.lit(n).alias("new")) for o, n in TITLE_TERMS.items()]
+    )
+
+    def drop_prefix(title: Column, prefix: Column) -> Column:
+        rest = strip(F.substr(title, F.length(prefix) + 1))
+        return F.when(F.startswith(title, prefix), rest).otherwise(title)
+
+    def unify(title: Column, term: Column) -> Column:
+        swapped = F.replace(title, term["old"], term["new"])
+        fits = F.contains(title, term["old"]) & ~F.contains(title, term["new"]) & (F.length(swapped) <= 15)
+        return F.when(fits, swapped).otherwise(title)
+
+    def build(slots: Column) -> Column:
+        rank, kind = slots["rank"], slots["expense_type"]
+        bare = F.regexp_replace(
+            F.aggregate(F.array(*[F.lit(p) for p in TITLE_PREFIXES]), strip(raw), drop_prefix),
+            f"^[{wrappers}]+|[{wrappers}]+$",
+            "",
+        )
+        add_rank = lambda t: F.when(
+            rank.isNotNull() & ~F.contains(t, rank) & (F.length(t) < 12), F.concat(rank, t)
+        ).otherwise(t)
+        add_kind = lambda t: F.when(
+            kind.isNotNull() & ~F.contains(t, kind) & (F.length(t) < 12) & ~t.rlike("标准|额度"),
+            F.concat(t, F.lit("标准")),
+        ).otherwise(t)
+        full = smart_truncate(F.aggregate(terms, let(let(bare, add_rank), add_kind), unify), 12)
+        fallback = F.when(rank.isNull() & kind.isNull(), F.lit("报销标准咨询")).otherwise(
+            F.concat_ws("", rank, kind, F.lit("咨询"))
+        )
+        weak = lambda t: (F.length(t) < 4) | t.isin("新对话", "财务报销")
+        return let(full, lambda t: F.left(F.when(weak(t), fallback).otherwise(t), F.lit(15)))
+
+    return let(expense_slots(original), build)
 
 
 # --- department documents -------------------------------------------------------------------

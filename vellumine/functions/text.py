@@ -20,6 +20,11 @@ SPACE = char_class(S.ANY_SPACE)
 INLINE = char_class(S.INLINE_SPACE)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times, so that nested steps do not multiply the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Trim all Unicode whitespace, not only spaces."""
     return F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+$", "")

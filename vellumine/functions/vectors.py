@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vellumine.functions.text import let
+
 
 def _fold(pairs: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
@@ -30,10 +32,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalize(a: Column) -> Column:
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)).otherwise(
-        F.transform(a, lambda x: x.cast("double"))
-    )
+    def scale(v: Column) -> Column:
+        return let(
+            norm(v),
+            lambda size: F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double"))),
+        )
+
+    return let(a, scale)
 
 
 def similarity_from_distance(distance: Column, metric: str) -> Column:
@@ -49,14 +54,12 @@ def similarity_from_distance(distance: Column, metric: str) -> Column:
 def hashed_vector(words: Column, dim: int = 64) -> Column:
     """Deterministic stand-in embedding: md5-bucketed word counts, L2-normalised.
 
-    One sort of the bucket numbers, then a count per bucket: no model, no Python worker.
+    Built-in functions only: no model, no Python worker.
     """
-    buckets = F.transform(
-        words,
-        lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int"),
-    )
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"),
+    bucket = lambda w: (
+        F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim
+    ).cast("int")
+    count = lambda bs: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")
     )
-    return normalize(counts)
+    return normalize(let(F.transform(words, bucket), count))

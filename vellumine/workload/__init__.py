@@ -6,13 +6,15 @@ from importlib import import_module
 
 from vellumine.workload.registry import ORACLES, QUERIES
 
-MODULES = ("cleaning",) or (
+MODULES = (
     "cleaning", "tokens", "labels", "chunks", "vectors", "retrieval", "rewriting",
     "contexts", "checks", "metrics", "catalog", "dialogue", "logbook", "files",
 )
 
 
 def load() -> tuple[dict, dict]:
+    import os
     for name in MODULES:
-        import_module(f"vellumine.workload.{name}")
+        if os.path.exists(os.path.join(os.path.dirname(__file__), name + ".py")):
+            import_module(f"vellumine.workload.{name}")
     return QUERIES, ORACLES
