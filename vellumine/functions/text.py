@@ -18,6 +18,7 @@ def char_class(chars: str) -> str:
 
 SPACE = char_class(S.ANY_SPACE)
 INLINE = char_class(S.INLINE_SPACE)
+ANY_SPACE_CLASS = SPACE
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
