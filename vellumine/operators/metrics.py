@@ -316,10 +316,6 @@ def score_card(stats: Mapping[str, Column], time_ms: Column) -> Column:
     return F.struct(total.alias("total_score"), grade.otherwise(S.SCORE_GRADE_LOW).alias("grade"))
 
 
-# The older score weights.
-OLD_SCORE_WEIGHTS = {"precision_at_1": 30, "hit_rate": 35, "mrr": 20, "topic_coverage": 15}
-
-
 # Metrics compared for points, and the margins.
 AB_METRICS = ["precision_at_1", "precision_at_3", "context_relevance", "info_completeness", "fidelity", "answer_relevance"]
 AB_MARGIN = 0.05
