@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vellumine import settings as S
 from vellumine.operators.scale import sliced_lag, small_table
+from vellumine.session import cut_lineage
 
 
 def log_filter(equals: Mapping[str, object] | None = None, start: str | None = None, end: str | None = None, ts: str = "ts") -> Column:
@@ -136,40 +137,49 @@ def tumbling_buckets(events: DataFrame, seconds: int = 60, burst: int = 10, key:
 
 
 def token_buckets(events: DataFrame, seconds: int = 60, burst: int = 10, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Adds ``bucket_start`` and ``allowed``: a bucket of ``burst`` tokens opens at the first request
-    after the previous bucket ended.
+    """(key, tie, bucket_start, allowed): a bucket of ``burst`` calls opens at the first request and the
+    next one at the first request after it ended.
 
-    Bucket starts chain, but a quiet gap of a whole bucket resets the chain. Rows are cut at
-    such gaps, so the order-dependent fold runs over one burst of activity at a time.
+    Bucket starts chain through time. Instead of walking a key's events in one task, every
+    moment gets a pointer to the first moment a bucket later; the chain from each quiet gap is
+    then marked by pointer doubling, in as many joins as the logarithm of its length.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.withColumn("_t", t)
-    lagged = sliced_lag(rows, [key], day_slice(ts), ["_t", tie], ["_t"])
     span = seconds * 1_000_000
-    # A row that follows a quiet gap always opens a bucket; number the runs it starts.
-    opens = F.coalesce(F.col("_t") - F.col("prev__t") >= span, F.lit(True)).cast("int")
-    marked = lagged.withColumn("_open", opens).withColumn("_day", day_slice(ts))
-    daily = marked.groupBy(key, "_day").agg(F.sum("_open").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = daily.select(key, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(key, "_day").orderBy("_t", tie).rowsBetween(Window.unboundedPreceding, 0)
-    runs = marked.withColumn("_local", F.sum("_open").over(within)).join(offsets, [key, "_day"]).withColumn("_run", F.col("_local") + F.col("_off"))
-
-    def fold(pdf):
-        pdf = pdf.sort_values(["_t", tie])
-        starts, allowed, start, used = [], [], None, 0
-        for at in pdf["_t"]:
-            if start is None or at - start >= span:
-                start, used = at, 0
-            used += 1
-            starts.append(start)
-            allowed.append(used <= burst)
-        return pdf.assign(_start=starts, allowed=allowed)
-
-    plain = runs.select(key, tie, "_t", "_run")
-    schema = f"{key} bigint, {tie} bigint, _t bigint, _run bigint, _start bigint, allowed boolean"
-    out = plain.groupBy(key, "_run").applyInPandas(fold, schema)
-    return out.select(key, tie, F.timestamp_micros("_start").cast("timestamp_ntz").alias("bucket_start"), "allowed")
+    width = max(3600 * 1_000_000, 2 * span)
+    rows = events.select(key, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    times = rows.select(key, "_t").distinct()
+    slice_of = F.floor(F.col("_t") / F.lit(width))
+
+    def with_context(df: DataFrame, test: Column, shift: int) -> DataFrame:
+        cut = df.withColumn("_slice", slice_of)
+        copied = cut.where(test).withColumn("_slice", F.col("_slice") + shift)
+        return cut.withColumn("_real", F.lit(1)).unionByName(copied.withColumn("_real", F.lit(0)))
+
+    # A pointer past the copied rows would cross a quiet gap, where a chain starts anyway.
+    ahead = Window.partitionBy(key, "_slice").orderBy("_t").rangeBetween(span, Window.unboundedFollowing)
+    early = F.pmod(F.col("_t"), F.lit(width)) < 2 * span
+    jumps = with_context(times, early, -1).withColumn("_next", F.min("_t").over(ahead)).where("_real = 1 AND _next IS NOT NULL")
+    jumps = cut_lineage(jumps.select(key, "_t", "_next"))
+    lagged = sliced_lag(times.withColumn("_at", F.col("_t")), [key], slice_of, ["_t"], ["_at"])
+    starts = cut_lineage(lagged.where(F.coalesce(F.col("_t") - F.col("prev__at") >= span, F.lit(True))).select(key, "_t"))
+    known = starts.count()
+    while True:
+        reached = starts.join(jumps, [key, "_t"]).select(key, F.col("_next").alias("_t"))
+        starts = cut_lineage(starts.unionByName(reached).distinct())
+        found = starts.count()
+        if found == known:
+            break
+        known = found
+        hop = jumps.select(key, F.col("_t").alias("_next"), F.col("_next").alias("_far"))
+        jumps = cut_lineage(jumps.join(hop, [key, "_next"]).select(key, "_t", F.col("_far").alias("_next")))
+    # A call lies less than one bucket after its start, so the copied tail of a slice suffices.
+    late = F.pmod(F.col("_t"), F.lit(width)) >= width - span
+    marks = with_context(starts, late, 1).select(key, "_slice", "_t", F.col("_t").alias("_start"), F.lit(0).alias("_real"))
+    calls = rows.withColumn("_slice", slice_of).withColumn("_real", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    upto = Window.partitionBy(key, "_slice").orderBy("_t", "_real").rowsBetween(Window.unboundedPreceding, 0)
+    placed = calls.withColumn("_start", F.last("_start", ignorenulls=True).over(upto)).where("_real = 1")
+    used = F.row_number().over(Window.partitionBy(key, "_start").orderBy("_t", tie))
+    return placed.select(key, tie, F.timestamp_micros("_start").cast("timestamp_ntz").alias("bucket_start"), (used <= burst).alias("allowed"))
 
 
 def sessions(events: DataFrame, gap: int = 1800, key: str = "user_id", ts: str = "ts") -> DataFrame:

@@ -24,8 +24,8 @@ def _claims(spark, sf):
 
 def _support(spark, sf, characters="edit"):
     """Claims of assistant turns against the two halves of the user turn before."""
-    # Non-ASCII letters become "?" on both sides: the SQL engine measures edit distance in bytes.
-    fold = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
+    # Non-ASCII letters become "_" on both sides: the SQL engine measures edit distance in bytes.
+    fold = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "_")
     half = F.ceil(F.length("query") / 2).cast("int")
     p = answer_pairs(spark, sf).withColumn("query", fold("query")).withColumn("answer", fold("answer"))
     p = p.withColumn("chunks", F.array(F.left("query", half), F.substr("query", half + 1)))
@@ -33,7 +33,7 @@ def _support(spark, sf, characters="edit"):
 
 
 _JACCARD = """CASE WHEN len(cw) > 0 AND len(kw) > 0 THEN len(list_intersect(cw, kw)) / len(list_distinct(list_concat(cw, kw))) ELSE 0 END"""
-SUPPORT = f"""{PAIRS}, fold AS (SELECT conv_id, turn, regexp_replace(answer, '[^\\x00-\\x7F]', '?', 'g') AS answer, regexp_replace(query, '[^\\x00-\\x7F]', '?', 'g') AS query FROM pairs),
+SUPPORT = f"""{PAIRS}, fold AS (SELECT conv_id, turn, regexp_replace(answer, '[^\\x00-\\x7F]', '_', 'g') AS answer, regexp_replace(query, '[^\\x00-\\x7F]', '_', 'g') AS query FROM pairs),
   c AS (SELECT conv_id, turn, query, unnest(cs) AS claim, generate_subscripts(cs, 1) - 1 AS claim_no FROM (SELECT *, {_CLAIMS.replace('{}', 'answer')} AS cs FROM fold)),
   k AS (SELECT *, unnest([left(query, ceil(length(query) / 2)::BIGINT), substr(query, ceil(length(query) / 2)::BIGINT + 1)]) AS chunk, unnest([0, 1]) AS chunk_no FROM c),
   w AS (SELECT *, list_distinct({sql_check_keywords('claim')}) AS cw, list_distinct({sql_check_keywords('chunk')}) AS kw,
