@@ -12,8 +12,20 @@ from vellumine import settings as S
 
 
 def char_class(chars: str) -> str:
-    """Characters as the body of a regex class, readable by Java and RE2."""
-    return "".join("\\" + c if c in "\\]^[-&" else c for c in chars)
+    """Characters as the body of a regex class, readable by Java and RE2.
+
+    Neighbouring code points become ranges, so a class test is a few comparisons.
+    """
+    quote = lambda c: "\\" + c if c in "\\]^[-&" else c
+    points, out, i = sorted({ord(c) for c in chars}), [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+            j += 1
+        first, last = quote(chr(points[i])), quote(chr(points[j]))
+        out.append(first if i == j else f"{first}-{last}" if j - i > 1 else first + last)
+        i = j + 1
+    return "".join(out)
 
 
 SPACE = char_class(S.ANY_SPACE)

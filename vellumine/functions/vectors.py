@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumine.functions.text import let
 
@@ -63,3 +68,26 @@ def hashed_vector(words: Column, dim: int = 64) -> Column:
         F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")
     )
     return normalize(let(F.transform(words, bucket), count))
+
+
+DIM = 64
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hashed_text_vector(texts: pd.Series) -> pd.Series:
+    """``hashed_vector`` of the lower-cased words of a text, for whole tables.
+
+    A worker digests each distinct word once; a batch is one histogram over (row, bucket).
+    """
+    known: dict[str, int] = {}
+
+    def bucket(word: str) -> int:
+        found = known.get(word)
+        if found is None:
+            found = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % DIM
+        return found
+
+    flat = [i * DIM + bucket(w) for i, t in enumerate(texts) for w in (t or "").lower().split()]
+    counts = np.bincount(np.asarray(flat, dtype=np.int64), minlength=len(texts) * DIM).reshape(len(texts), DIM).astype(float)
+    size = np.linalg.norm(counts, axis=1, keepdims=True)
+    return pd.Series(list(np.divide(counts, size, out=counts, where=size > 0)))

@@ -137,12 +137,15 @@ def naive_merge(text: Column, limit: int = 512, paragraph: str = "\\n\\s*\\n", m
     paragraphs = F.filter(F.transform(F.split(text, paragraph), strip), lambda p: p != "")
 
     def units(p: Column, i: Column) -> Column:
-        small = F.array(F.struct(p.alias("text"), estimate_tokens(p).alias("size"), F.lit(-1).alias("block")))
-        cut = F.transform(
-            split_pieces(p, marks),
-            lambda s: F.struct(s.alias("text"), estimate_tokens(s).alias("size"), i.alias("block")),
-        )
-        return F.when(estimate_tokens(p) > limit, cut).otherwise(small)
+        def build(tokens: Column) -> Column:
+            small = F.array(F.struct(p.alias("text"), tokens.alias("size"), F.lit(-1).alias("block")))
+            cut = F.transform(
+                split_pieces(p, marks),
+                lambda s: F.struct(s.alias("text"), estimate_tokens(s).alias("size"), i.alias("block")),
+            )
+            return F.when(tokens > limit, cut).otherwise(small)
+
+        return let(estimate_tokens(p), build)
 
     pieces = F.flatten(F.transform(paragraphs, units))
     opens = lambda acc, u: (u["block"] != acc["last"]["block"]) | (acc["size"] + u["size"] > limit)

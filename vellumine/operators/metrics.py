@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumine import settings as S
 from vellumine.functions import tokens as K
@@ -190,7 +191,7 @@ def ngram_metrics(pairs: DataFrame, keys: Sequence[str], reference: str, candida
     return pairs.select(*keys).join(scored, list(keys), "left").fillna(0.0).withColumn("bleu_avg", mean)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     """LCS / reference length on bare text, by bit-parallel rows (one big integer per column)."""
 

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vellumine import settings as S
 from vellumine.functions import tokens as K
@@ -26,7 +27,7 @@ def claims(answer: Column, marks: str = S.SENTENCE_MARKS, min_chars: int = 10) -
     return F.filter(sentences, lambda s: (F.length(s) > min_chars) & ~s.rlike("^\\[\\d+\\]"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block character similarity of the pair."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import rules as R
 from vellumine.functions import text as X
-from vellumine.functions import tokens as K
 from vellumine.functions import vectors as V
 from vellumine.operators import chunking as C
 
@@ -33,7 +32,7 @@ def with_vectors(chunks: DataFrame, encode=None, content: str = "content") -> Da
     """Chunk rows with an embedding; ``encode`` maps a text Column to a vector Column."""
 
     def stand_in(t: Column) -> Column:
-        return V.hashed_vector(K.lower_words(t))
+        return V.hashed_text_vector(t)
 
     return chunks.withColumn("embedding", (encode or stand_in)(F.col(content)))
 

@@ -21,7 +21,7 @@ from vellumine.session import cut_lineage
 
 
 def stand_in(text: Column) -> Column:
-    return V.hashed_vector(K.lower_words(text))
+    return V.hashed_text_vector(text)
 
 
 def hybrid_search(

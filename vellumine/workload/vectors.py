@@ -185,7 +185,7 @@ def sql_text_vectors(source: str, key: str, col: str) -> str:
 
 
 def text_vectors(df, key, col):
-    return df.select(key, V.hashed_vector(K.lower_words(F.col(col))).alias("embedding"))
+    return df.select(key, V.hashed_text_vector(F.col(col)).alias("embedding"))
 
 
 @query(
