@@ -806,7 +806,8 @@ def semantic_groups(units: Column, threshold: float = 0.8) -> Column:
 
 def to_rows(docs: DataFrame, chunks: Column, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     """Chunk rows ``{key}_chunk_{n}`` with number, content and length from a chunk array."""
-    rows = docs.select(key, *keep, F.posexplode(chunks).alias("_pos", "_chunk"))
+    # The outer form keeps the optimizer from adding a size filter that would split twice.
+    rows = docs.select(key, *keep, F.posexplode_outer(chunks).alias("_pos", "_chunk")).where("_pos IS NOT NULL")
     kind = rows.schema["_chunk"].dataType.simpleString()
     content = strip(F.col("_chunk.text") if kind.startswith("struct") else F.col("_chunk"))
     extra = []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellumine import settings as S
 from vellumine.functions import rules as R
 from vellumine.functions import tokens as K
-from vellumine.functions.text import strip
+from vellumine.functions.text import let, strip
 from vellumine.operators.scale import bounded_broadcast, top_k
 from vellumine.session import cut_lineage
 
@@ -22,7 +22,10 @@ _TOTAL = ""
 def postings(chunks: DataFrame, tokens: Column, key: str, asked: DataFrame | None = None) -> DataFrame:
     """(key, length, term, tf). With ``asked`` (a ``term`` column) other terms are dropped before
     the count is shuffled; a chunk is one row, so counts are complete on the map side."""
-    rows = chunks.select(key, tokens.alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    # The length rides in the exploded element; beside it, the array itself would be copied to every
+    # row. The outer form keeps the optimizer from adding a filter that tokenizes a second time.
+    entries = let(tokens, lambda ts: F.transform(ts, lambda t: F.struct(t.alias("term"), F.size(ts).alias("length"))))
+    rows = chunks.select(key, F.explode_outer(entries).alias("_e")).where("_e IS NOT NULL").select(key, "_e.length", "_e.term")
     if asked is not None:
         rows = rows.join(bounded_broadcast(asked.select("term").distinct()), "term", "left_semi")
     return rows.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -31,10 +34,13 @@ def postings(chunks: DataFrame, tokens: Column, key: str, asked: DataFrame | Non
 def term_statistics(chunks: DataFrame, tokens: Column) -> DataFrame:
     """(term, df, length): document frequency per term; the row of the total term carries the
     number of documents and tokens. One scan, combined on the map side."""
-    total = F.when(F.size("_t") > 0, F.array(F.lit(_TOTAL))).otherwise(F.array().cast("array<string>"))
-    marked = chunks.select(tokens.alias("_t")).select(
-        F.size("_t").cast("bigint").alias("n"), F.explode(F.concat(F.array_distinct("_t"), total)).alias("term")
-    )
+    entry = lambda t, n: F.struct(t.alias("term"), n.cast("bigint").alias("n"))
+
+    def entries(ts: Column) -> Column:
+        terms = F.transform(F.array_distinct(ts), lambda t: entry(t, F.lit(None)))
+        return F.when(F.size(ts) > 0, F.array_append(terms, entry(F.lit(_TOTAL), F.size(ts))))
+
+    marked = chunks.select(F.explode_outer(let(tokens, entries)).alias("_e")).where("_e IS NOT NULL").select("_e.*")
     return marked.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == _TOTAL, F.col("n"))).alias("length")
     )

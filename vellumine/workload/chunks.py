@@ -29,14 +29,14 @@ def sql_windows(size: int, overlap: int) -> str:
 
 @query("chunk_fixed", f"SELECT doc_id, start, piece AS content FROM ({sql_windows(500, 50)})")
 def _fixed(spark, sf):
-    return docs(spark, sf).select("doc_id", F.explode(C.fixed_windows(F.col("text"))).alias("w")).select(
+    return docs(spark, sf).select("doc_id", F.explode_outer(C.fixed_windows(F.col("text"))).alias("w")).where("w IS NOT NULL").select(
         "doc_id", F.col("w.start").cast("bigint").alias("start"), F.col("w.text").alias("content")
     )
 
 
 @query("chunk_chars", f"SELECT doc_id, start, piece AS content FROM ({sql_windows(800, 200)})")
 def _chars(spark, sf):
-    return docs(spark, sf).select("doc_id", F.explode(C.fixed_windows(F.col("text"), 800, 200)).alias("w")).select(
+    return docs(spark, sf).select("doc_id", F.explode_outer(C.fixed_windows(F.col("text"), 800, 200)).alias("w")).where("w IS NOT NULL").select(
         "doc_id", F.col("w.start").cast("bigint").alias("start"), F.col("w.text").alias("content")
     )
 
@@ -58,7 +58,7 @@ def _chars(spark, sf):
 )
 def _force(spark, sf):
     pieces = C.force_split(F.col("text"), 2000, ".!?;\n")
-    return docs(spark, sf).select("doc_id", F.posexplode(pieces).alias("p", "content")).select(
+    return docs(spark, sf).select("doc_id", F.posexplode_outer(pieces).alias("p", "content")).where("p IS NOT NULL").select(
         "doc_id", (F.col("p") + 1).cast("bigint").alias("num"), "content"
     )
 
@@ -69,7 +69,7 @@ def _sql_list(expr: str) -> str:
 
 
 def _explode(df, col):
-    return df.select("doc_id", F.posexplode(col).alias("p", "content")).select(
+    return df.select("doc_id", F.posexplode_outer(col).alias("p", "content")).where("p IS NOT NULL").select(
         "doc_id", (F.col("p") + 1).cast("bigint").alias("num"), "content"
     )
 
@@ -168,7 +168,7 @@ SQL_MARKDOWN_LINES = """SELECT doc_id, pos, CASE WHEN length(x) < 25 THEN '# ' |
           FROM ({SQL_MARKDOWN_LINES})) WHERE level IS NOT NULL""",
 )
 def _outline(spark, sf):
-    return markdown_docs(spark, sf).select("doc_id", F.explode(C.outline(F.col("text"))).alias("h")).select(
+    return markdown_docs(spark, sf).select("doc_id", F.explode_outer(C.outline(F.col("text"))).alias("h")).where("h IS NOT NULL").select(
         "doc_id", F.col("h.pos").cast("bigint").alias("pos"), "h.level", "h.title"
     )
 
@@ -185,7 +185,7 @@ def _outline(spark, sf):
 )
 def _sections(spark, sf):
     found = C.heading_sections(F.col("text"))
-    return markdown_docs(spark, sf).select("doc_id", F.posexplode(found).alias("p", "s")).select(
+    return markdown_docs(spark, sf).select("doc_id", F.posexplode_outer(found).alias("p", "s")).where("p IS NOT NULL").select(
         "doc_id", (F.col("p") + 1).cast("bigint").alias("section"), "s.title", "s.content"
     )
 
