@@ -627,7 +627,7 @@ def expense_chunks(text: Column, levels=S.LEVEL_TABLE_ROWS, level_words=S.LEVEL_
             sub = _heading(s, 2)
             content = strip(F.regexp_replace(s, "^\\s*##[^\\n]*\\n?", ""))
             head = F.concat(F.lit("# "), section, F.lit("\n\n## "), sub, F.lit("\n\n"))
-            parts = F.split(content, f"\\n?(?=\\|[^\\n]*{SHIELD})|(?<=\\|)\\n(?!\\|)")
+            parts = F.split(content, f"\\n(?=\\|[^\\n]*{SHIELD})|(?<=\\|)\\n(?!\\|)")
 
             def emit(ps: Column) -> Column:
                 def one(p: Column, i: Column) -> Column:

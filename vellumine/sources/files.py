@@ -35,10 +35,10 @@ def list_markdown(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(path, content): one row per UTF-8 text or Markdown file, with file metadata."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return with_metadata(reader.text(path).withColumnRenamed("value", "content"))
+    return with_metadata(reader.text(path, wholetext=True).withColumnRenamed("value", "content"))
 
 
 def with_metadata(df: DataFrame, content: str = "content") -> DataFrame:
@@ -77,7 +77,7 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
 
     A CSV file is read whole as one row: it is one document, as large as its text.
     """
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
@@ -92,7 +92,7 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, content): JSON files in a canonical two-space layout."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -104,13 +104,13 @@ def read_json_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_html_text(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), html_to_text(F.col("value")).alias("content"))
 
 
 def read_xml_outline(spark: SparkSession, path: str) -> DataFrame:
     """(path, content): an indented outline of tags and texts, depth first, tail text kept."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def outline(xml: str) -> str:
         import xml.etree.ElementTree as et
@@ -154,7 +154,7 @@ CASE = (
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema).alias("j"))
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("j"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -13,17 +13,22 @@ from vellumine import settings as S
 from vellumine.operators.scale import small_table
 
 
+def _watermarked(events: DataFrame, ts: str, lateness: str) -> DataFrame:
+    """Watermarks need an instant; times without a zone are read in the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+
+
 def tumbling_limits(events: DataFrame, seconds: int = 60, burst: int = 10, key: str = "user_id", ts: str = "ts", lateness: str = "10 minutes") -> DataFrame:
     """Calls per key and fixed bucket over the burst."""
-    out = events.withWatermark(ts, lateness).groupBy(key, F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("calls"))
-    return out.select(key, F.col("w.start").alias("bucket"), "calls", F.greatest(F.col("calls") - burst, F.lit(0)).alias("rejected"))
+    out = _watermarked(events, ts, lateness).groupBy(key, F.window(ts, f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("calls"))
+    return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("bucket"), "calls", F.greatest(F.col("calls") - burst, F.lit(0)).alias("rejected"))
 
 
 def metric_windows(events: DataFrame, size: str = "24 hours", slide: str = "12 hours", metric: str = "event_type", value: str = "value", ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
-    out = events.withWatermark(ts, lateness).groupBy(metric, F.window(ts, size, slide).alias("w")).agg(
+    out = _watermarked(events, ts, lateness).groupBy(metric, F.window(ts, size, slide).alias("w")).agg(
         F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(F.lit(1)).alias("samples")
     )
-    return out.select(metric, F.col("w.start").alias("window_start"), "mean", "max", "samples")
+    return out.select(metric, F.col("w.start").cast("timestamp_ntz").alias("window_start"), "mean", "max", "samples")
 
 
 def alerts(events: DataFrame, limits: Mapping[str, float] = S.ALERT_LIMITS, metric: str = "event_type", value: str = "value") -> DataFrame:
@@ -33,8 +38,8 @@ def alerts(events: DataFrame, limits: Mapping[str, float] = S.ALERT_LIMITS, metr
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", ts: str = "ts", lateness: str = "1 hour") -> DataFrame:
-    out = events.withWatermark(ts, lateness).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+    out = _watermarked(events, ts, lateness).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "events")
 
 
 def _keyed_log(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
