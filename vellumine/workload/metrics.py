@@ -9,6 +9,7 @@ from vellumine import settings as S
 from vellumine.functions import text as X
 from vellumine.operators import metrics as M
 from vellumine.operators import knn as N
+from vellumine.operators.scale import bounded_broadcast
 from vellumine.session import cut_lineage, spread
 from vellumine.workload.registry import lit, query, table
 from vellumine.workload.vectors import Q, embeddings, label_queries, sql_knn
@@ -94,7 +95,7 @@ _CONTENT = "(SELECT doc_id AS id, text AS content FROM documents)"
 def content_hits(spark, sf):
     """Vector hits shown as the documents of the same id."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    return d.join(F.broadcast(hits(spark, sf)), "doc_id")
+    return d.join(bounded_broadcast(cut_lineage(hits(spark, sf))), "doc_id")
 
 
 @query(
