@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +30,23 @@ def build_session(app: str = "vellumine", cores: str | int = "*") -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for ``checkpoint()``: the cluster's, or a temporary one if unset."""
+    """Folder for ``checkpoint()``: the cluster's. Only a local session that names none gets a temporary one."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     context.setCheckpointDir(folder)
-    return folder
+    return context.getCheckpointDir() or folder
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path beside the checkpoints, which driver and executors can reach."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
