@@ -21,6 +21,7 @@ special tokens, as the library has it; lone surrogates can't occur in Spark stri
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -209,6 +210,7 @@ def encoder(path: str, name: str) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file."""
 
     def build() -> ChunkEncoder:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would only wait
         from tokenizers import Tokenizer
 
         return ChunkEncoder(Tokenizer.from_file(path), ODD_SPACE)
