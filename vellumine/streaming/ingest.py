@@ -17,20 +17,19 @@ def start_ingest(docs: DataFrame, out: str, state: str, *, strategy: str = "char
     """Run all available documents once and stop; rerunning picks up only what is new.
 
     Within a micro-batch the same document and content are taken once; across batches a document
-    already stored with the same digest is skipped.
+    already stored with the same digest is skipped. Batches compare with a narrow table of digests,
+    of earlier batches alone: a batch that is run again after a failure sees nothing of its own first
+    run and overwrites it.
     """
-    target = f"{out}/chunks"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         fresh = batch.withColumn("digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "digest"])
-        try:
-            stored = batch.sparkSession.read.parquet(target).select("doc_id", "digest").distinct()
-            fresh = fresh.join(stored, ["doc_id", "digest"], "left_anti")
-        except Exception as missing:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER" not in str(missing):
-                raise
+        if batch_id > 0:
+            seen = spark.read.schema("doc_id bigint, digest string, batch bigint").parquet(f"{out}/digests")
+            fresh = fresh.join(seen.where(F.col("batch") < batch_id), ["doc_id", "digest"], "left_anti")
         chunks = ingest(fresh, strategy=strategy, preset=preset, keep=["digest"])
-        # The batch number names the folder, so a retried batch overwrites itself.
-        chunks.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
+        fresh.select("doc_id", "digest").write.mode("overwrite").parquet(f"{out}/digests/batch={batch_id}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
