@@ -31,6 +31,25 @@ def test_nothing_lost(one, fn, doc):
     assert sorted(joined) == sorted(squeeze(doc))
 
 
+LEVELS = "# 制度\n导言一句。\n## 小节\n正文在前\n| 职级 | 元 |\n|---|---|\n| 8-9级 | 300 |\n| 实习生 | 90 |\n尾注在后\n## 末节\n收尾。"
+
+
+@pytest.mark.parametrize("fn", [C.expense_chunks, C.expense_chunks_legacy, C.product_chunks, C.qa_pairs, C.table_chunks])
+@pytest.mark.parametrize("doc", [POLICY, ARTICLES, CODE, LEVELS, "前言\nQ1: 能报吗\nA1: 能\n问题：多久\n30天"], ids=["policy", "articles", "code", "levels", "qa"])
+def test_every_line_is_kept(one, fn, doc):
+    """Chunkers that repeat headings or context still hold every line; a question loses its own mark only."""
+    found = one(fn, doc)
+    joined = squeeze("".join(c["question"] + c["answer"] if fn is C.qa_pairs else c["text"] for c in found))
+    for line in doc.split("\n"):
+        bare = re.sub(r"^(#+|Q\d+[:：]|A\d+[:：]|问题[:：])\s*", "", line)
+        assert squeeze(bare) in joined, line
+
+
+def test_shield_character_survives(one):
+    doc = "# a\n## b\nx" + chr(0xE000) + "y" + chr(0xE001) + "0\n| p | q |\n|---|---|\n| 1 | 2 |"
+    assert any("x" + chr(0xE000) + "y" + chr(0xE001) + "0" in t for t in texts(one(C.technical_chunks, doc)))
+
+
 def test_policy_boundaries(one):
     found = one(C.policy_chunks, POLICY)
     assert [(c["kind"], c["chapter_index"]) for c in found] == [("chapter", 1), ("chapter_section", 2), ("section", 2)]

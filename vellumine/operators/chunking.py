@@ -24,6 +24,7 @@ CODE_BLOCK = "```[\\s\\S]*?```"
 NUMERALS = "零一二三四五六七八九十百千万\\d"
 # A private-use character stands for a newline inside a protected block.
 SHIELD = chr(0xE000)
+ESCAPE = chr(0xE001)
 
 
 # --- folds --------------------------------------------------------------------------------
@@ -84,7 +85,11 @@ def split_before(text: Column, head: str) -> Column:
 
 
 def protect(text: Column, *patterns: str) -> Column:
-    """Hide newlines inside blocks that must stay whole, so no split falls into them."""
+    """Hide newlines inside blocks that must stay whole, so no split falls into them.
+
+    The shield character is escaped where the text itself has it.
+    """
+    text = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "1")), F.lit(SHIELD), F.lit(ESCAPE + "0"))
     for pattern in patterns:
         text = let(
             text,
@@ -105,7 +110,9 @@ def protect(text: Column, *patterns: str) -> Column:
 
 
 def restore(text: Column) -> Column:
-    return F.translate(text, SHIELD, "\n")
+    """Shielded newlines, and the text's own shield characters, as they were."""
+    plain = F.translate(text, SHIELD, "\n")
+    return F.replace(F.replace(plain, F.lit(ESCAPE + "0"), F.lit(SHIELD)), F.lit(ESCAPE + "1"), F.lit(ESCAPE))
 
 
 # --- size-based strategies ------------------------------------------------------------------
@@ -221,13 +228,14 @@ def custom_pieces(text: Column, delimiters: Sequence[str], children: Sequence[st
 
 
 def qa_pairs(text: Column) -> Column:
-    """array<struct<question, answer>> of a question-and-answer document."""
+    """array<struct<question, answer>> of a question-and-answer document; text before the first question has none."""
     mark = f"(?:第[{NUMERALS}]+问|QUESTION\\s+[A-Z0-9]+|问题\\s*[:：]|Q\\d+\\s*[:：])"
-    pieces = F.filter(F.split(text, f"(?m)(?=^{mark})"), lambda p: p.rlike(f"^{mark}"))
+    pieces = F.filter(F.split(text, f"(?m)(?=^{mark})"), lambda p: strip(p) != "")
 
     def pair(p: Column) -> Column:
+        asked = p.rlike(f"^{mark}")
         first = F.regexp_extract(p, f"^{mark}[\\s:：.、]*([^\\n]*)", 1)
-        rest = F.regexp_replace(p, "^[^\\n]*\\n?", "")
+        rest = F.when(asked, F.regexp_replace(p, "^[^\\n]*\\n?", "")).otherwise(p)
         return F.struct(
             strip(first).alias("question"),
             F.regexp_replace(strip(rest), "^(?:答案?|A\\d*|ANSWER)\\s*[:：]\\s*", "").alias("answer"),
@@ -609,8 +617,10 @@ def expense_chunks(text: Column, levels=S.LEVEL_TABLE_ROWS, level_words=S.LEVEL_
         rows = F.filter(F.split(table, row_sep), lambda r: strip(r) != "")
 
         def build(rs: Column) -> Column:
-            def one(name: str, words: Sequence[str]) -> Column:
-                kept = F.filter(F.slice(rs, 3, F.size(rs)), lambda r: R.any_of(r, words))
+            every = [w for words in levels.values() for w in words]
+
+            def one(name: str, words: Sequence[str] | None) -> Column:
+                kept = F.filter(F.slice(rs, 3, F.size(rs)), lambda r: ~R.any_of(r, every) if words is None else R.any_of(r, words))
                 grid = F.concat_ws("\n", F.get(rs, F.lit(0)), F.get(rs, F.lit(1)), F.array_join(kept, "\n"))
                 parts = F.concat_ws(
                     "\n\n", F.concat(F.lit("# "), section), F.when(intro != "", intro),
@@ -618,10 +628,15 @@ def expense_chunks(text: Column, levels=S.LEVEL_TABLE_ROWS, level_words=S.LEVEL_
                 )
                 return F.when(F.size(kept) > 0, tagged(parts, "table", section, sub, F.lit(name)))
 
-            return F.array_compact(F.array(*[one(n, w) for n, w in levels.items()]))
+            # Rows that name no level are a chunk of their own.
+            return F.array_compact(F.array(*[one(n, w) for n, w in levels.items()], one("其他", None)))
 
         return let(rows, build)
 
+    def leveled(p: Column) -> Column:
+        rows = F.filter(F.split(p, row_sep), lambda r: strip(r) != "")
+        return R.any_of(p, level_words) & (F.size(rows) >= 3)
+
     def subsection(section: Column, intro: Column) -> Callable[[Column], Column]:
         def build(s: Column) -> Column:
             sub = _heading(s, 2)
@@ -635,10 +650,12 @@ def expense_chunks(text: Column, levels=S.LEVEL_TABLE_ROWS, level_words=S.LEVEL_
                     before = strip(F.when(i > 0, F.get(ps, i - 1)).otherwise(""))
                     after = strip(F.coalesce(F.get(ps, i + 1), F.lit("")))
                     framed = F.concat(head, before, F.lit("\n\n"), p, F.lit("\n\n"), after)
-                    by_level = R.any_of(p, level_words) & (F.size(F.split(p, row_sep)) >= 3)
-                    # Text not adjacent to any table is kept as a chunk of its own.
+                    by_level = leveled(p)
+                    # Text that no table's chunk has taken in is a chunk of its own: a plain table takes both
+                    # neighbours, a table by level only the one before it.
+                    last = F.when(i > 0, F.get(ps, i - 1)).otherwise("")
                     beside = F.coalesce(F.get(ps, i + 1), F.lit("")).contains(SHIELD) | (
-                        (i > 0) & F.coalesce(F.get(ps, i - 1), F.lit("")).contains(SHIELD)
+                        last.contains(SHIELD) & ~leveled(last)
                     )
                     return (
                         F.when(is_table & by_level, level_tables(section, sub, p, before, intro))
@@ -663,7 +680,9 @@ def expense_chunks(text: Column, levels=S.LEVEL_TABLE_ROWS, level_words=S.LEVEL_
         intro = strip(F.regexp_extract(content, "(?s)^([^#].*?)(?=\\n##|\\z)", 1))
         subs = F.filter(F.split(content, "\\n?(?=##[ \\t])"), lambda p: p.rlike("^##[ \\t]"))
         whole = F.array(tagged(F.concat(F.lit("# "), title, F.lit("\n\n"), content), "text", title, F.lit("")))
-        return F.when(F.size(subs) > 0, F.flatten(F.transform(subs, subsection(title, intro)))).otherwise(whole)
+        lead = F.filter(F.array(tagged(F.concat(F.lit("# "), title, F.lit("\n\n"), intro), "text", title, F.lit(""))), lambda c: intro != "")
+        split = F.concat(lead, F.flatten(F.transform(subs, subsection(title, intro))))
+        return F.when(F.size(subs) > 0, split).otherwise(whole)
 
     shielded = protect(text, TABLE_BLOCK)
     return F.flatten(F.transform(split_before(shielded, "#[ \\t]"), section_of))
@@ -725,18 +744,17 @@ def expense_chunks_legacy(text: Column, limit: int = 800) -> Column:
         def one(t: Column) -> Column:
             rows = F.split(t, SHIELD)
 
-            def by_level(name: str, words: Sequence[str]) -> Column:
-                kept = F.filter(F.slice(rows, 3, F.size(rows)), lambda r: R.any_of(r, words))
-                notes = F.filter(
-                    F.split(content, "\\n\\n"), lambda p: R.any_of(p, words) & p.rlike("注：|说明：|注意") & ~p.contains(SHIELD)
-                )
+            def by_level(name: str, words: Sequence[str] | None) -> Column:
+                held = lambda r: ~R.any_of(r, all_words) & (strip(r) != "") if words is None else R.any_of(r, words)
+                kept = F.filter(F.slice(rows, 3, F.size(rows)), held)
+                notes = F.filter(F.split(content, "\\n\\n"), lambda p: held(p) & p.rlike("注：|说明：|注意") & ~p.contains(SHIELD))
                 grid = F.concat_ws("\n", F.get(rows, F.lit(0)), F.get(rows, F.lit(1)), F.array_join(kept, "\n"))
                 body = F.concat(
                     F.lit("## "), title, F.lit(f" - {name}\n\n"), F.array_join(F.transform(notes, strip), "\n"), F.lit("\n\n"), grid
                 )
                 return F.when(F.size(kept) > 0, tag(body, "table", title, F.lit(name)))
 
-            expanded = F.array_compact(F.array(*[by_level(n, w) for n, w in levels.items()]))
+            expanded = F.array_compact(F.array(*[by_level(n, w) for n, w in levels.items()], by_level("其他", None)))
             plain = F.array(tag(F.concat(F.lit("## "), title, F.lit("\n\n"), t), "table", title))
             return F.when(R.any_of(t, S.LEVEL_TABLE_WORDS) & (F.size(rows) >= 3), expanded).otherwise(plain)
 
