@@ -45,7 +45,7 @@ def prefix_context(hits: DataFrame, limit: int = 4000, content: str = "content")
     upto = Window.partitionBy("query_id").orderBy("rank")
     rows = rows.withColumn("_total", F.sum(F.length("text")).over(upto))
     fits = F.col("_total") <= limit
-    first = F.max(F.when(F.col("rank") == 1, F.col("text")))
+    first = F.min_by("text", "rank")
     out = rows.groupBy("query_id").agg(
         F.count_if(fits).alias("used"),
         _ordered(F.when(fits, F.struct("rank", "text")), "\n").alias("_joined"),

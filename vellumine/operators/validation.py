@@ -84,22 +84,27 @@ def citation_check(answer: Column, n_chunks: Column) -> Column:
     def numbers(c: Column) -> Column:
         bare = F.replace(c, F.lit(" "), F.lit(""))
         ends = F.split(bare, "-")
-        low, high = F.get(ends, F.lit(0)).try_cast("int"), F.get(ends, F.lit(1)).try_cast("int")
-        none = F.array().cast("array<int>")
-        # Bounds are clamped next to the valid range; only how many fall outside is counted.
-        span = F.when((F.size(ends) == 2) & (low <= high), F.sequence(low, F.least(high, low + 10_000))).otherwise(none)
-        listed = F.filter(F.transform(F.split(bare, ","), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
-        return F.when(F.contains(bare, F.lit("-")), span).otherwise(listed)
+        low, high = F.get(ends, F.lit(0)).try_cast("bigint"), F.get(ends, F.lit(1)).try_cast("bigint")
+        whole = (F.size(ends) == 2) & (low <= high)
+        inside = F.greatest(F.least(high, n_chunks.cast("bigint")) - F.greatest(low, F.lit(1)) + 1, F.lit(0))
+        listed = F.filter(F.transform(F.split(bare, ","), lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
+        valid = F.size(F.filter(listed, lambda x: x.between(1, n_chunks))).cast("bigint")
+        ranged = F.contains(bare, F.lit("-"))
+        # A range is counted by its bounds, so its length costs nothing.
+        return F.struct(
+            F.when(ranged, F.when(whole, inside).otherwise(0)).otherwise(valid).alias("valid"),
+            F.when(ranged, F.when(whole, high - low + 1).otherwise(0)).otherwise(F.size(listed)).cast("bigint").alias("cited"),
+        )
 
     def count(found: Column) -> Column:
-        cited = F.flatten(F.transform(found, numbers))
+        zero = F.struct(F.lit(0).cast("bigint").alias("valid"), F.lit(0).cast("bigint").alias("cited"))
+        sums = F.aggregate(
+            F.transform(found, numbers), zero,
+            lambda acc, x: F.struct((acc["valid"] + x["valid"]).alias("valid"), (acc["cited"] + x["cited"]).alias("cited")),
+        )
         return let(
-            cited,
-            lambda ns: F.struct(
-                F.size(found).alias("total"),
-                F.size(F.filter(ns, lambda x: x.between(1, n_chunks))).alias("valid"),
-                F.size(F.filter(ns, lambda x: ~x.between(1, n_chunks))).alias("invalid"),
-            ),
+            sums,
+            lambda x: F.struct(F.size(found).alias("total"), x["valid"].alias("valid"), (x["cited"] - x["valid"]).alias("invalid")),
         )
 
     return let(F.regexp_extract_all(answer, F.lit(CITATION), 1), count)

@@ -29,7 +29,7 @@ def _support(spark, sf, characters="edit"):
     half = F.ceil(F.length("query") / 2).cast("int")
     p = answer_pairs(spark, sf).withColumn("query", fold("query")).withColumn("answer", fold("answer"))
     p = p.withColumn("chunks", F.array(F.left("query", half), F.substr("query", half + 1)))
-    return A.claim_support(spread(p), ["conv_id", "turn"], marks=MARKS, threshold=0.2, stop=STOP, characters=characters)
+    return A.claim_support(p, ["conv_id", "turn"], marks=MARKS, threshold=0.2, stop=STOP, characters=characters)
 
 
 _JACCARD = """CASE WHEN len(cw) > 0 AND len(kw) > 0 THEN len(list_intersect(cw, kw)) / len(list_distinct(list_concat(cw, kw))) ELSE 0 END"""
@@ -63,22 +63,25 @@ def _validity(spark, sf):
     return v.withColumn("confidence", F.round("confidence", 5))
 
 
-_CITED = "replace(replace(replace(text, '. ', ' [' || (doc_id % 6) || '] '), ', ', ' [1-3] '), '\n', ' [2, 9]')"
+_CITED = "replace(replace(replace(text, '. ', ' [' || (doc_id % 6) || '] '), ', ', ' [1-3] '), '\n', ' [2, 9] [3-' || (30000 + doc_id) || ']')"
 _CITE = lit(A.CITATION)
 
 
 @query(
     "citations_check",
     f"""WITH d AS (SELECT doc_id, regexp_extract_all({_CITED}, {_CITE}, 1) AS found FROM documents),
-        n AS (SELECT doc_id, CASE WHEN contains(c, '-') THEN range(split_part(c, '-', 1)::BIGINT, split_part(c, '-', 2)::BIGINT + 1)
-            ELSE list_transform(string_split(replace(c, ' ', ''), ','), lambda x: x::BIGINT) END AS ns FROM (SELECT doc_id, unnest(found) AS c FROM d)),
-        u AS (SELECT doc_id, unnest(ns) AS num FROM n)
-        SELECT d.doc_id, len(found) AS total, count(num) FILTER (WHERE num BETWEEN 1 AND 4) AS valid, count(num) FILTER (WHERE num NOT BETWEEN 1 AND 4) AS invalid
-        FROM d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id, len(found)""",
+        u AS (SELECT doc_id, unnest(found) AS c FROM d),
+        n AS (SELECT doc_id, CASE WHEN contains(c, '-') THEN split_part(c, '-', 1)::BIGINT END AS low, split_part(c, '-', 2) AS high,
+            list_transform(string_split(c, ','), lambda x: TRY_CAST(trim(x) AS BIGINT)) AS listed FROM u),
+        k AS (SELECT doc_id, CASE WHEN low IS NULL THEN len(listed) ELSE high::BIGINT - low + 1 END AS cited,
+            CASE WHEN low IS NULL THEN len(list_filter(listed, lambda x: x BETWEEN 1 AND 4)) ELSE greatest(least(high::BIGINT, 4) - greatest(low, 1) + 1, 0) END AS valid FROM n),
+        t AS (SELECT doc_id, sum(cited) AS cited, sum(valid) AS valid FROM k GROUP BY doc_id)
+        SELECT d.doc_id, len(found) AS total, coalesce(valid, 0)::BIGINT AS valid, coalesce(cited - valid, 0)::BIGINT AS invalid
+        FROM d LEFT JOIN t USING (doc_id)""",
 )
 def _citations(spark, sf):
     t = F.replace("text", F.lit(". "), F.concat(F.lit(" ["), (F.col("doc_id") % 6).cast("string"), F.lit("] ")))
-    t = F.replace(F.replace(t, F.lit(", "), F.lit(" [1-3] ")), F.lit("\n"), F.lit(" [2, 9]"))
+    t = F.replace(F.replace(t, F.lit(", "), F.lit(" [1-3] ")), F.lit("\n"), F.concat(F.lit(" [2, 9] [3-"), (F.col("doc_id") + 30_000).cast("string"), F.lit("]")))
     d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", A.citation_check(t, F.lit(4)).alias("c"))
     return d.select("doc_id", *[F.col(f"c.{x}").cast("bigint").alias(x) for x in ("total", "valid", "invalid")])
 
@@ -93,7 +96,7 @@ def _share(a, b):
         SELECT conv_id, turn, len(q) > 0 AND {_share('q', 'a')} < 0.1 AND {_share('a', 'q')} < 0.2 AS off_topic FROM w""",
 )
 def _off_topic(spark, sf):
-    p = spread(answer_pairs(spark, sf))
+    p = answer_pairs(spark, sf)
     return p.select("conv_id", "turn", A.is_off_topic(F.col("answer"), F.col("query"), F.col("query"), STOP).alias("off_topic"))
 
 
