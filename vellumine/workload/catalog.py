@@ -9,15 +9,17 @@ from vellumine.functions.text import similarity_band
 from vellumine.operators import catalog as G
 from vellumine.workload.registry import query, table
 
-_I = F.col("doc_id")
+
+def _id():
+    return F.col("doc_id")
 
 
 def catalogue(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
     return d.select(
-        "doc_id", F.concat("source", F.lit("_"), _I.cast("string"), F.lit(".md")).alias("name"), F.col("n_chars").alias("size"), (_I % 100).alias("mtime"),
-        F.when(_I % 17 == 0, "error").otherwise("pending").alias("status"), (F.col("n_chars") / 450).cast("bigint").alias("chunk_count"),
-        F.when(_I % 13 != 0, F.concat(F.lit("/data/"), _I.cast("string"))).alias("file_path"), F.lit("1.0.0").alias("version"),
+        "doc_id", F.concat("source", F.lit("_"), _id().cast("string"), F.lit(".md")).alias("name"), F.col("n_chars").alias("size"), (_id() % 100).alias("mtime"),
+        F.when(_id() % 17 == 0, "error").otherwise("pending").alias("status"), (F.col("n_chars") / 450).cast("bigint").alias("chunk_count"),
+        F.when(_id() % 13 != 0, F.concat(F.lit("/data/"), _id().cast("string"))).alias("file_path"), F.lit("1.0.0").alias("version"),
     )
 
 
@@ -38,11 +40,11 @@ def vectors(spark, sf):
 
 
 def files(spark, sf):
-    d = table(spark, sf, "documents").where(_I % 5 != 0)
+    d = table(spark, sf, "documents").where(_id() % 5 != 0)
     stored = d.select(
-        F.concat("source", F.lit("_"), _I.cast("string"), F.lit(".md")).alias("name"), "doc_id",
-        F.when(_I % 19 == 0, 0).otherwise(F.col("n_chars") + (_I % 7 == 0).cast("int")).alias("size"), (_I % 100 + (_I % 11 == 0).cast("int")).alias("mtime"),
-        F.concat(F.lit("/data/"), _I.cast("string")).alias("file_path"),
+        F.concat("source", F.lit("_"), _id().cast("string"), F.lit(".md")).alias("name"), "doc_id",
+        F.when(_id() % 19 == 0, 0).otherwise(F.col("n_chars") + (_id() % 7 == 0).cast("int")).alias("size"), (_id() % 100 + (_id() % 11 == 0).cast("int")).alias("mtime"),
+        F.concat(F.lit("/data/"), _id().cast("string")).alias("file_path"),
     )
     p = table(spark, sf, "pages")
     other = p.select(F.col("url").alias("name"), (F.col("page_id") + 1000000).alias("doc_id"), F.length("html").cast("bigint").alias("size"), F.lit(1).cast("bigint").alias("mtime"), F.col("url").alias("file_path"))
@@ -139,7 +141,7 @@ INTEGRITY = f"""{CATALOG}, c AS (SELECT doc_id, count(*) AS n FROM chunks GROUP
 
 
 def _checked(spark, sf):
-    docs = catalogue(spark, sf).withColumn("status", F.when(_I % 17 == 0, "pending").otherwise("indexed"))
+    docs = catalogue(spark, sf).withColumn("status", F.when(_id() % 17 == 0, "pending").otherwise("indexed"))
     return G.integrity(docs, files(spark, sf), chunks(spark, sf), vectors(spark, sf))
 
 
@@ -167,7 +169,7 @@ def _recent(spark, sf):
 )
 def _intake(spark, sf):
     rows = table(spark, sf, "documents").select(
-        _I.alias("rid"), F.when(_I % 10 != 0, _I).alias("doc_id"), F.when(_I % 9 == 0, " ").otherwise(F.col("text")).alias("content")
+        _id().alias("rid"), F.when(_id() % 10 != 0, _id()).alias("doc_id"), F.when(_id() % 9 == 0, " ").otherwise(F.col("text")).alias("content")
     )
     return G.intake(rows).select("rid", "status", "error")
 
@@ -180,7 +182,7 @@ def _intake(spark, sf):
          CASE WHEN ext NOT IN ('txt', 'pdf', 'docx', 'md', 'html', 'doc') OR size > 52428800 THEN 'error' ELSE 'accepted' END AS status FROM e""",
 )
 def _upload(spark, sf):
-    ext = F.when(_I % 3 == 0, ".MD").when(_I % 3 == 1, ".exe").otherwise(".txt")
+    ext = F.when(_id() % 3 == 0, ".MD").when(_id() % 3 == 1, ".exe").otherwise(".txt")
     f = table(spark, sf, "documents").select("doc_id", F.concat("source", ext).alias("name"), (F.col("n_chars") * 40000).alias("size"))
     return G.upload_check(f).select("doc_id", "message", "status")
 
