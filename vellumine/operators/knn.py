@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.functions import vectors as V
-from vellumine.operators.scale import bounded_broadcast, top_k
+from vellumine.operators.scale import top_k
 
 QUERY_BLOCK = 4096
 ORDER_DIGITS = 6
@@ -209,7 +209,7 @@ class IvfIndex:
             rows += [(int(q), [float(x) for x in m], [int(c) for c in cs]) for q, m, cs in zip(ids, matrix, nearest)]
         spark = self.table.sparkSession
         wanted = spark.createDataFrame(rows, "query_id bigint, q array<double>, cells array<int>")
-        wanted = bounded_broadcast(wanted.select("query_id", "q", F.explode("cells").alias("cell")))
+        wanted = wanted.select("query_id", "q", F.explode("cells").alias("cell"))
         scored = self.table.join(wanted, "cell").select("query_id", "id", V.l2(F.col("q"), F.col("v")).alias("score"))
         return top_k(scored, ["query_id"], [F.round("score", ORDER_DIGITS), F.col("id")], k)
 
@@ -282,7 +282,7 @@ class LshIndex:
             F.col(query_id).cast("bigint").alias("query_id"), F.col(self.vector).alias("q"), F.posexplode("hashes").alias("t", "h")
         )
         cells = self.table.select("id", "v", F.posexplode("hashes").alias("t", "h"))
-        pairs = cells.join(bounded_broadcast(wanted), ["t", "h"])
+        pairs = cells.join(wanted, ["t", "h"])
         scored = pairs.select("query_id", "id", V.l2(F.col("q"), F.col("v")).alias("score"))
         unique = scored.groupBy("query_id", "id").agg(F.min("score").alias("score"))
         return top_k(unique, ["query_id"], [F.round("score", ORDER_DIGITS), F.col("id")], k)

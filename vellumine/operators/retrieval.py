@@ -12,7 +12,7 @@ from vellumine import settings as S
 from vellumine.functions import rules as R
 from vellumine.functions import tokens as K
 from vellumine.functions.text import let, strip
-from vellumine.operators.scale import bounded_broadcast, top_k
+from vellumine.operators.scale import top_k
 from vellumine.session import cut_lineage
 
 # A term no tokenizer yields: its row in the statistics counts documents and tokens.
@@ -27,7 +27,7 @@ def postings(chunks: DataFrame, tokens: Column, key: str, asked: DataFrame | Non
     entries = let(tokens, lambda ts: F.transform(ts, lambda t: F.struct(t.alias("term"), F.size(ts).alias("length"))))
     rows = chunks.select(key, F.explode_outer(entries).alias("_e")).where("_e IS NOT NULL").select(key, "_e.length", "_e.term")
     if asked is not None:
-        rows = rows.join(bounded_broadcast(asked.select("term").distinct()), "term", "left_semi")
+        rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
     return rows.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -83,7 +83,7 @@ def bm25(
         (F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")) * F.col("times")).alias("weight"),
     )
     weighted = cut_lineage(weighted)
-    found = postings(chunks, tokens, key, weighted).join(bounded_broadcast(weighted), "term")
+    found = postings(chunks, tokens, key, weighted).join(weighted, "term")
     tf = F.col("tf")
     part = F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / mean_length))
     scored = found.groupBy("query_id", key).agg(F.sum(part).alias("score")).where("score > 0")
@@ -150,7 +150,7 @@ def variant_hits(hits: DataFrame, variants: DataFrame, key: str = "doc_id", extr
     (query_id, variant_no), number 0 being the original.
     """
     mapped = hits.withColumnRenamed("query_id", "variant_id").join(
-        bounded_broadcast(variants.select("variant_id", "query_id", "variant_no")), "variant_id"
+        variants.select("variant_id", "query_id", "variant_no"), "variant_id"
     )
     weight = F.when(F.col("variant_no") == 0, 1.0).otherwise(extra_weight)
     return best_per_chunk(mapped.withColumn("score", F.col("score") * weight), key)
@@ -218,6 +218,6 @@ RERANK_CANDIDATES = 50
 def dynamic_k(hits: DataFrame, tiers: DataFrame, k_by_tier=TIER_K) -> DataFrame:
     """Keep as many hits per query as its quality tier allows; ``tiers`` has (query_id, tier)."""
     table = F.create_map(*[F.lit(x) for item in k_by_tier.items() for x in item])
-    return hits.join(bounded_broadcast(tiers.select("query_id", "tier")), "query_id").where(
+    return hits.join(tiers.select("query_id", "tier"), "query_id").where(
         F.col("rank") <= F.coalesce(table[F.col("tier")], F.lit(10))
     )

@@ -12,20 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A Python literal as a broadcast side: its size is the literal's."""
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a counted probe stays within ``max_rows``; a shuffle join otherwise."""
-    probe = df.select(F.lit(1)).limit(max_rows + 1).count()
-    return F.broadcast(df) if probe <= max_rows else df
-
-
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int | Column, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each group. The rank filter becomes a partial limit before the
     shuffle, so a hot group sends at most ``k`` rows per map task."""
@@ -104,7 +96,7 @@ def exact_quantiles(
         .otherwise(1.0)
     )
     cell = F.floor(F.log1p((F.col("_v") - F.col("_min")) / unit) * resolution)
-    tagged = data.join(bounded_broadcast(stats), keys).select(*keys, "_v", cell.alias("_cell"))
+    tagged = data.join(stats, keys).select(*keys, "_v", cell.alias("_cell"))
     sizes = tagged.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_cell")
     spans = sizes.select(

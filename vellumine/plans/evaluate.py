@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.operators import metrics as M
-from vellumine.operators.scale import bounded_broadcast
 from vellumine.session import cut_lineage
 
 CASE_METRICS = ["precision_at_1", "precision_at_3", "precision_at_5", "recall_at_5", "f1_at_5", "mrr", "ndcg_at_5", "hit_rate", "topic_coverage"]
@@ -22,7 +21,7 @@ def evaluate_cases(cases: DataFrame, retrieve: Callable[[DataFrame], DataFrame],
     """
     hits = cut_lineage(retrieve(cases))
     ranks = M.rank_metrics(hits, truth, cases, mrr_cap=5, key=key)
-    top5 = contents.join(bounded_broadcast(hits.where("rank <= 5")), key)
+    top5 = contents.join(hits.where("rank <= 5"), key)
     text = top5.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda r: r["content"]), " ").alias("_text")
     )

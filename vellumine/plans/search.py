@@ -16,7 +16,6 @@ from vellumine.operators import knn as N
 from vellumine.operators import retrieval as RT
 from vellumine.operators import rewriting as W
 from vellumine.operators import validation as A
-from vellumine.operators.scale import bounded_broadcast
 from vellumine.session import cut_lineage
 
 
@@ -52,10 +51,10 @@ def hybrid_search(
     ).where("score > 0").withColumnRenamed("id", key)
     keywords = RT.fuse_keyword_lists(keyword_list, by_terms, key)
     fused = cut_lineage(RT.fuse_weighted(vector_list, keywords, 2 * max_k, key=key))
-    limits = bounded_broadcast(asked.select("query_id", "k"))
+    limits = asked.select("query_id", "k")
     if scorer is not None:
-        texts = chunks.select(key, F.col(text).alias("content")).join(bounded_broadcast(fused), key)
-        ranked = RT.model_rerank(texts.join(bounded_broadcast(asked.select("query_id", "query")), "query_id"), scorer, 2 * max_k, key=key)
+        texts = chunks.select(key, F.col(text).alias("content")).join(fused, key)
+        ranked = RT.model_rerank(texts.join(asked.select("query_id", "query"), "query_id"), scorer, 2 * max_k, key=key)
         fused = ranked.select("query_id", key, F.col("rerank_score").alias("score"))
     kept = fused.where(F.col("score") >= threshold).join(limits, "query_id")
     return RT.threshold_top_k(kept, threshold, F.col("k"), key).select("query_id", key, "score", "rank")
@@ -83,12 +82,12 @@ def enhanced_answers(
     vectors = chunks.select(key, encode(F.col(text)).alias("embedding"))
     hits = N.knn(vectors, probes.select("probe_id", encode(F.col("probe")).alias("embedding")), 30, "cosine", corpus_id=key, query_id="probe_id").withColumnRenamed("id", key)
     mapped = cut_lineage(
-        hits.withColumnRenamed("query_id", "probe_id").join(bounded_broadcast(probes.select("probe_id", "query_id", "n")), "probe_id").where((F.col("n") == 0) | (F.col("rank") <= 10))
+        hits.withColumnRenamed("query_id", "probe_id").join(probes.select("probe_id", "query_id", "n"), "probe_id").where((F.col("n") == 0) | (F.col("rank") <= 10))
     )
     best = RT.multi_way([("vector", mapped.where("n = 0"), 1.0), ("hyde", mapped.where("n > 0"), 0.9)], key)
     ranked = RT.top_k(best, ["query_id"], [F.round("score", 9).desc(), F.col(key)], RT.RERANK_CANDIDATES)
-    shown = chunks.select(key, F.col(text).alias("content")).join(bounded_broadcast(cut_lineage(ranked)), key)
-    shown = cut_lineage(shown.join(bounded_broadcast(tagged.select("query_id", "query", "tags")), "query_id"))
+    shown = chunks.select(key, F.col(text).alias("content")).join(cut_lineage(ranked), key)
+    shown = cut_lineage(shown.join(tagged.select("query_id", "query", "tags"), "query_id"))
     gate = A.gate_scores(shown, stop=stop, temporal=F.array_contains("tags", "Temporal"))
     tiers = cut_lineage(gate.select("query_id", A.gate_tier(F.col("overall")).alias("tier")))
     chosen = RT.dynamic_k(shown, tiers)

@@ -12,7 +12,6 @@ from vellumine.functions import tokens as K
 from vellumine.functions import vectors as V
 from vellumine.operators import chunking as C
 from vellumine.operators import structure as T
-from vellumine.session import spread
 from vellumine.workload.cleaning import sql_strip
 from vellumine.workload.registry import lit, query, table
 from vellumine.workload.tokens import docs, sql_estimate
@@ -340,7 +339,7 @@ def _by_size(spark, sf):
 def _typed(name, fn):
     @query(name)
     def run(spark, sf):
-        rows = C.to_rows(spread(markdown_docs(spark, sf)), fn(F.col("text")))
+        rows = C.to_rows(markdown_docs(spark, sf), fn(F.col("text")))
         return rows.select("doc_id", "chunk_id", "num", "content", "length")
 
 

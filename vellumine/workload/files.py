@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumine.operators import knn as N
-from vellumine.operators.scale import bounded_broadcast
 from vellumine.plans import evaluate as E
 from vellumine.plans import ingest as P
 from vellumine.plans import search as Q
@@ -56,7 +55,7 @@ def _evaluate(spark, sf):
     opening = F.array_join(F.slice(F.split("query", " "), 1, 4), " ")
     words = F.split("text", " ")
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 4), " "))
-    items = bounded_broadcast(_queries(spark, sf).select("query_id", opening.alias("run")))
+    items = _queries(spark, sf).select("query_id", opening.alias("run"))
     held = docs(spark, sf).select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
     truth = held.join(items, "run").select("query_id", "doc_id").distinct()
     contents = docs(spark, sf).select("doc_id", F.col("text").alias("content"))

@@ -9,7 +9,6 @@ from vellumine import settings as S
 from vellumine.functions import text as X
 from vellumine.operators import metrics as M
 from vellumine.operators import knn as N
-from vellumine.operators.scale import bounded_broadcast
 from vellumine.session import cut_lineage, spread
 from vellumine.workload.registry import lit, query, table
 from vellumine.workload.vectors import Q, embeddings, label_queries, sql_knn
@@ -95,7 +94,7 @@ _CONTENT = "(SELECT doc_id AS id, text AS content FROM documents)"
 def content_hits(spark, sf):
     """Vector hits shown as the documents of the same id."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    return d.join(bounded_broadcast(cut_lineage(hits(spark, sf))), "doc_id")
+    return d.join(cut_lineage(hits(spark, sf)), "doc_id")
 
 
 @query(
@@ -164,7 +163,7 @@ PAIRS = """pairs AS (SELECT a.conv_id, a.turn, a.text AS answer, u.text AS query
         SELECT conv_id, turn, round({_share('q', 'a')}, 5) AS accuracy, round({_share('a', 'q')}, 5) AS fidelity, round({_share('q', 'a')}, 5) AS answer_relevance FROM w""",
 )
 def _overlap(spark, sf):
-    p = spread(answer_pairs(spark, sf)).withColumn("m", M.answer_overlap(F.col("answer"), F.col("query"), F.col("query"), F.col("query")))
+    p = answer_pairs(spark, sf).withColumn("m", M.answer_overlap(F.col("answer"), F.col("query"), F.col("query"), F.col("query")))
     return _rounded(p.select("conv_id", "turn", "m.*"))
 
 
@@ -195,13 +194,13 @@ def _sql_ngrams():
 
 @query("bleu_rouge", _sql_ngrams())
 def _ngrams(spark, sf):
-    p = spread(answer_pairs(spark, sf))
+    p = answer_pairs(spark, sf)
     return _rounded(M.ngram_metrics(p, ["conv_id", "turn"], "query", "answer").drop("bleu_avg"))
 
 
 @query("rouge_l")
 def _rouge_l(spark, sf):
-    p = spread(answer_pairs(spark, sf))
+    p = answer_pairs(spark, sf)
     return p.select("conv_id", "turn", F.round(M.rouge_l(M.bare_text(F.col("query")), M.bare_text(F.col("answer"))), 5).alias("rouge_l"))
 
 
@@ -215,7 +214,7 @@ _CHARS = "list_distinct(string_split({}, ''))"
         SELECT conv_id, turn, round(p, 5) AS char_precision, round(q, 5) AS char_recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 5) AS char_f1, round(lr, 5) AS length_ratio FROM s""",
 )
 def _characters(spark, sf):
-    p = spread(answer_pairs(spark, sf)).withColumn("m", M.character_metrics(F.col("query"), F.col("answer")))
+    p = answer_pairs(spark, sf).withColumn("m", M.character_metrics(F.col("query"), F.col("answer")))
     return _rounded(p.select("conv_id", "turn", "m.*"))
 
 
@@ -251,7 +250,7 @@ def _topics(spark, sf):
         SELECT conv_id, turn, contains(a, q) OR contains(q, a) OR (length(q) > 4 AND len(ps) > 1 AND len(list_filter(ps, lambda p: length(p) > 2 AND contains(a, p))) >= len(ps) * 0.5) AS matched FROM w""",
 )
 def _match(spark, sf):
-    p = spread(answer_pairs(spark, sf))
+    p = answer_pairs(spark, sf)
     return p.select("conv_id", "turn", M.text_match(F.col("answer"), F.col("query")).alias("matched"))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from vellumine.functions import tokens as K
 from vellumine.operators import knn as N
 from vellumine.operators import retrieval as RT
-from vellumine.operators.scale import bounded_broadcast
 from vellumine.session import cut_lineage
 from vellumine.workload.registry import lit, lits, query, table
 from vellumine.workload.tokens import STOP, docs, sql_first_distinct, sql_search_tokens
@@ -160,7 +159,7 @@ def with_texts(spark, sf, hits):
     """Content and query text joined back to a short hit list."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     q = questions(spark, sf).select("query_id", F.col("text").alias("query"), "terms")
-    return d.join(bounded_broadcast(hits), "doc_id").join(bounded_broadcast(q), "query_id")
+    return d.join(hits, "doc_id").join(q, "query_id")
 
 
 @query(

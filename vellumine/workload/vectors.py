@@ -8,7 +8,6 @@ from vellumine.functions import text as X
 from vellumine.functions import tokens as K
 from vellumine.functions import vectors as V
 from vellumine.operators import knn as N
-from vellumine.operators.scale import bounded_broadcast
 from vellumine.workload.registry import lit, query, table
 from vellumine.workload.tokens import docs
 
@@ -95,7 +94,7 @@ def _algebra(spark, sf):
     a, b = F.col("qv"), F.col("embedding")
     # Each vector meets the query of its own label: an equi-join on a handful of broadcast rows.
     rows = embeddings(spark, sf).join(
-        bounded_broadcast(label_queries(spark, sf).select("query_id", F.col("embedding").alias("qv"))), F.col("label") == F.col("query_id")
+        label_queries(spark, sf).select("query_id", F.col("embedding").alias("qv")), F.col("label") == F.col("query_id")
     ).withColumn("d", V.l2(a, b))
     return rows.select(
         F.col("query_id").cast("int"), "vec_id", F.round(V.dot(a, b), 5).alias("dot"), F.round(V.cosine(a, b), 5).alias("cosine"),
