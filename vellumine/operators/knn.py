@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from vellumine.functions import vectors as V
 from vellumine.operators.scale import top_k
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 1024
+#: Candidates that a task holds before it writes them out.
+HELD_CANDIDATES = 2_000_000
 ORDER_DIGITS = 6
 ASCENDING = {"l2": True, "cosine": False, "dot": False}
 
@@ -33,41 +36,25 @@ def _scores(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.clip(squared, 0, None))
 
 
-class _Best:
-    """Running best ``k`` of one partition for every query, ties kept by lowest id."""
-
-    def __init__(self, n_queries: int, k: int, ascending: bool):
-        self.k, self.sign = k, 1.0 if ascending else -1.0
-        self.keys = [np.empty(0)] * n_queries
-        self.raw = [np.empty(0)] * n_queries
-        self.ids = [np.empty(0, dtype=np.int64)] * n_queries
-
-    def add(self, ids: np.ndarray, scores: np.ndarray, skip: np.ndarray | None = None) -> None:
-        keys = np.round(scores, ORDER_DIGITS) * self.sign
-        if skip is not None:
-            keys = np.where(skip, np.inf, keys)
-        if len(ids) > self.k:
-            bound = np.partition(keys, self.k - 1, axis=0)[self.k - 1]
-        else:
-            bound = np.full(keys.shape[1], np.inf)
-        for q in range(keys.shape[1]):
-            pick = np.flatnonzero((keys[:, q] <= bound[q]) & np.isfinite(keys[:, q]))
-            merged_keys = np.concatenate([self.keys[q], keys[pick, q]])
-            merged_ids = np.concatenate([self.ids[q], ids[pick]])
-            order = np.lexsort((merged_ids, merged_keys))[: self.k]
-            self.raw[q] = np.concatenate([self.raw[q], scores[pick, q]])[order]
-            self.keys[q], self.ids[q] = merged_keys[order], merged_ids[order]
-
-    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        sizes = [len(i) for i in self.ids]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(query_ids, sizes), pa.int64()),
-                pa.array(np.concatenate(self.ids), pa.int64()),
-                pa.array(np.concatenate(self.raw), pa.float64()),
-            ],
-            names=["query_id", "id", "score"],
-        )
+def _first_k(queries: np.ndarray, keys: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` entries of every query by (key, id)."""
+    order = np.lexsort((ids, keys, queries))
+    ordered = queries[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
+    place = np.arange(len(ordered)) - np.repeat(starts, np.diff(np.r_[starts, len(ordered)]))
+    return order[place < k]
+
+
+def _candidates(scores: np.ndarray, ids: np.ndarray, k: int, ascending: bool, skip: np.ndarray | None) -> tuple:
+    """(query, key, id, score) of each query's best ``k`` rows of a (rows, queries) matrix, ties by lowest id."""
+    keys = np.round(scores.T, ORDER_DIGITS) * (1.0 if ascending else -1.0)
+    if skip is not None:
+        keys = np.where(skip.T, np.inf, keys)
+    bound = np.partition(keys, k - 1, axis=1)[:, k - 1 : k] if keys.shape[1] > k else np.inf
+    query, row = np.nonzero((keys <= bound) & np.isfinite(keys))
+    found = (query, keys[query, row], ids[row], scores[row, query])
+    kept = _first_k(*found[:3], k)
+    return tuple(x[kept] for x in found)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -76,35 +63,74 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def query_blocks(queries: DataFrame, query_id: str, vector: str, block_rows: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Query vectors as matrices of at most ``block_rows`` rows.
+def _packed(rows: DataFrame, block_rows: int, prefix: str) -> DataFrame:
+    """Rows (id, v) as blocks: one row with the ids and the flat vectors of up to ``block_rows`` rows of one width."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = np.diff(batch.column(1).offsets.to_numpy())
+            for width in np.unique(widths):
+                chosen = batch.filter(pa.array(widths == width))
+                for start in range(0, chosen.num_rows, block_rows):
+                    part = chosen.slice(start, block_rows)
+                    flat = part.column(1).flatten().cast(pa.float64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part.column(0)], pa.list_(part.schema.field(0).type)), pa.array([flat], pa.list_(pa.float64())), pa.array([width], pa.int32())],
+                        names=[f"{prefix}_ids", f"{prefix}_v", f"{prefix}_width"],
+                    )
+
+    return rows.where("v IS NOT NULL").mapInArrow(pack, f"{prefix}_ids array<{kind}>, {prefix}_v array<double>, {prefix}_width int")
+
 
-    The usual query set fits one block. A larger one is fetched block by block by id range,
-    so no fetch exceeds the bound.
+def _blocked(
+    corpus: DataFrame, queries: DataFrame, k: int, ascending: bool, score: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    exclude_self: bool = False, same_width: bool = True, block_rows: int = QUERY_BLOCK,
+) -> DataFrame:
+    """(query_id, id, score) candidates: every block of queries meets every block of rows as two matrices.
+
+    A task keeps the best ``k`` per query over the blocks it sees, so pairs never become rows; what it holds is written out
+    when it exceeds ``HELD_CANDIDATES``. Ids keep their type.
     """
-    rows = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).alias("v"))
-    n = rows.count()
-    if n == 0:
-        return []
-    pieces = max(1, math.ceil(n / block_rows))
-    if pieces == 1:
-        bounds = [None]
-    else:
-        cuts = rows.approxQuantile("q", [i / (2 * pieces) for i in range(1, 2 * pieces)], 0.0)
-        edges = [None, *sorted(set(cuts)), None]
-        bounds = list(zip(edges[:-1], edges[1:]))
-    blocks = []
-    for bound in bounds:
-        part = rows
-        if bound is not None:
-            low, high = bound
-            part = part.where(F.lit(True) if low is None else F.col("q") > low)
-            part = part.where(F.lit(True) if high is None else F.col("q") <= high)
-        found = part.orderBy("q").toArrow()
-        if found.num_rows:
-            width = len(found["v"][0])
-            blocks.append((found["q"].to_numpy(), _matrix(found["v"], width)))
-    return blocks
+    pairs = _packed(corpus, block_rows, "c").crossJoin(_packed(queries, block_rows, "q"))
+    if same_width:
+        pairs = pairs.where("c_width = q_width")
+    kinds = (queries.schema["id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for asked, (query, _, ids, scores) in held.values():
+                yield pa.RecordBatch.from_arrays(
+                    [asked.take(pa.array(query)), pa.array(ids.tolist(), id_type), pa.array(scores, pa.float64())], names=["query_id", "id", "score"]
+                )
+
+        id_type = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c_ids, asked = batch.column("c_ids")[i].values, batch.column("q_ids")[i].values
+                id_type = c_ids.type
+                c = batch.column("c_v")[i].values.to_numpy().reshape(-1, batch.column("c_width")[i].as_py())
+                q = batch.column("q_v")[i].values.to_numpy().reshape(-1, batch.column("q_width")[i].as_py())
+                ids, names = np.array(c_ids.to_pylist()), np.array(asked.to_pylist())
+                skip = ids[:, None] == names[None, :] if exclude_self else None
+                found = _candidates(score(c, q), ids, k, ascending, skip)
+                key = hashlib.sha256(q.tobytes() + repr(names).encode() + str(len(names)).encode()).digest()
+                if key in held:
+                    both = [np.concatenate(x) for x in zip(held[key][1], found)]
+                    kept = _first_k(*both[:3], k)
+                    count -= len(held[key][1][0])
+                    found = tuple(x[kept] for x in both)
+                held[key] = (asked, found)
+                count += len(found[0])
+                if count > HELD_CANDIDATES:
+                    yield from flush()
+                    held, count = {}, 0
+        yield from flush()
+
+    return pairs.mapInArrow(search, f"query_id {kinds[0]}, id {kinds[1]}, score double")
 
 
 def knn(
@@ -119,37 +145,14 @@ def knn(
     exclude_self: bool = False,
     block_rows: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Exact ``k`` nearest rows per query: (query_id, id, score, rank).
+    """Exact ``k`` nearest rows per query: (query_id, id, score, rank). Ids of any type keep it.
 
-    Each partition multiplies its batches with a broadcast query block and keeps its best
-    ``k`` per query, so no (query, row) pair is ever a row of a DataFrame and only
-    ``partitions * queries * k`` candidates are shuffled. Query sets over ``block_rows`` run
-    as several passes.
+    Blocks of queries meet blocks of rows as matrices (``_blocked``); only ``tasks * queries * k`` candidates are shuffled,
+    and no vector passes through the driver.
     """
-    context = corpus.sparkSession.sparkContext
-    rows = corpus.select(F.col(corpus_id).cast("bigint").alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
-    parts = []
-    for query_ids, matrix in query_blocks(queries, query_id, vector, block_rows):
-        shared = context.broadcast((query_ids, matrix))
-        width = matrix.shape[1]
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            best = _Best(len(q_ids), k, ASCENDING[metric])
-            for batch in batches:
-                if batch.num_rows:
-                    ids = batch.column(0).to_numpy()
-                    skip = ids[:, None] == q_ids[None, :] if exclude_self else None
-                    best.add(ids, _scores(_matrix(batch.column(1), q.shape[1]), q, metric), skip)
-            yield best.batch(q_ids)
-
-        sized = rows.where(F.size("v") == width)
-        parts.append(sized.mapInArrow(search, "query_id bigint, id bigint, score double"))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    rows = corpus.select(F.col(corpus_id).alias("id"), F.col(vector).alias("v"))
+    asked = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v"))
+    found = _blocked(rows, asked, k, ASCENDING[metric], lambda c, q: _scores(c, q, metric), exclude_self, block_rows=block_rows)
     return top_k(found, ["query_id"], [_order(metric), F.col("id")], k)
 
 
@@ -186,16 +189,12 @@ def _features(df: DataFrame, vector: str) -> DataFrame:
 class IvfIndex:
     """Inverted file: k-means cells; a query scans its ``nprobe`` nearest cells."""
 
-    def __init__(self, corpus: DataFrame, corpus_id: str = "vec_id", vector: str = "embedding", seed: int = 7, train_rows: int = 200_000):
+    def __init__(self, corpus: DataFrame, corpus_id: str = "vec_id", vector: str = "embedding", seed: int = 7):
         self.corpus_id, self.vector = corpus_id, vector
         dim = corpus.select(F.size(vector)).first()[0]
         n = corpus.count()
         cells = max(1, min(400, 2 * dim, n))
-        train = _features(corpus, vector)
-        if n > train_rows:
-            # Only the centroids are learned on a sample; every row is indexed below.
-            train = train.sample(fraction=train_rows / n, seed=seed)
-        self.model = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=10).fit(train)
+        self.model = KMeans(k=cells, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=10).fit(_features(corpus, vector))
         self.centers = np.array(self.model.clusterCenters())
         self.table = self.model.transform(_features(corpus, vector)).select(
             F.col(corpus_id).alias("id"), F.col(vector).alias("v"), "cell"
@@ -203,13 +202,15 @@ class IvfIndex:
 
     def search(self, queries: DataFrame, k: int, query_id: str = "query_id", nprobe: int | None = None) -> DataFrame:
         probes = min(nprobe or min(64, 2 * k), len(self.centers))
-        rows = []
-        for ids, matrix in query_blocks(queries, query_id, self.vector, QUERY_BLOCK):
-            nearest = np.argsort(_scores(self.centers, matrix, "l2"), axis=0)[:probes].T
-            rows += [(int(q), [float(x) for x in m], [int(c) for c in cs]) for q, m, cs in zip(ids, matrix, nearest)]
-        spark = self.table.sparkSession
-        wanted = spark.createDataFrame(rows, "query_id bigint, q array<double>, cells array<int>")
-        wanted = wanted.select("query_id", "q", F.explode("cells").alias("cell"))
+        centers = self.centers  # at most 400 vectors
+
+        @F.pandas_udf("array<int>")
+        def nearest(vectors: pd.Series) -> pd.Series:
+            matrix = np.array(vectors.tolist(), float).reshape(len(vectors), -1)
+            return pd.Series(list(np.argsort(_scores(centers, matrix, "l2"), axis=0, kind="stable")[:probes].T.astype(np.int32)))
+
+        asked = queries.select(F.col(query_id).alias("query_id"), F.col(self.vector).cast("array<double>").alias("q"))
+        wanted = asked.select("query_id", "q", F.explode(nearest("q")).alias("cell"))
         scored = self.table.join(wanted, "cell").select("query_id", "id", V.l2(F.col("q"), F.col("v")).alias("score"))
         return top_k(scored, ["query_id"], [F.round("score", ORDER_DIGITS), F.col("id")], k)
 
@@ -234,30 +235,16 @@ class PqIndex:
         self.codes = coded.select("id", F.array(*[F.col(f"c{m}") for m in range(self.parts)]).alias("codes"))
 
     def search(self, queries: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
-        """Asymmetric distance by table lookup; partition-local best ``k`` as in exact search."""
-        context = self.codes.sparkSession.sparkContext
-        parts = []
-        for ids, matrix in query_blocks(queries, query_id, self.vector, QUERY_BLOCK):
-            tables = [
-                _scores(book, matrix[:, m * self.width : (m + 1) * self.width], "l2") ** 2
-                for m, book in enumerate(self.codebooks)
-            ]
-            shared = context.broadcast((ids, tables))
-
-            def search(batches: Iterator[pa.RecordBatch], shared=shared, n_parts=self.parts) -> Iterator[pa.RecordBatch]:
-                q_ids, lookup = shared.value
-                best = _Best(len(q_ids), k, True)
-                for batch in batches:
-                    if batch.num_rows:
-                        codes = _matrix(batch.column(1), n_parts).astype(int)
-                        total = sum(lookup[m][codes[:, m]] for m in range(n_parts))
-                        best.add(batch.column(0).to_numpy(), np.sqrt(total))
-                yield best.batch(q_ids)
-
-            parts.append(self.codes.mapInArrow(search, "query_id bigint, id bigint, score double"))
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
+        """Asymmetric distance by table lookup, in blocks as in exact search."""
+        books, width, parts = self.codebooks, self.width, self.parts
+
+        def score(codes: np.ndarray, q: np.ndarray) -> np.ndarray:
+            lookup = [_scores(book, q[:, m * width : (m + 1) * width], "l2") ** 2 for m, book in enumerate(books)]
+            return np.sqrt(sum(lookup[m][codes[:, m].astype(int)] for m in range(parts)))
+
+        rows = self.codes.select("id", F.col("codes").cast("array<double>").alias("v"))
+        asked = queries.select(F.col(query_id).alias("id"), F.col(self.vector).alias("v"))
+        found = _blocked(rows, asked, k, True, score, same_width=False)
         return top_k(found, ["query_id"], [F.round("score", ORDER_DIGITS), F.col("id")], k)
 
 
