@@ -48,7 +48,7 @@ class Model(NamedTuple):
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     if n <= 5:
         splits = [[1 if m >> i & 1 else -1 for i in range(n)] for m in range(1, 2 ** max(0, n - 1))]
-        return np.array(splits, float).reshape(-1, n).T
+        return np.array(splits, float).reshape(len(splits), n).T
     rng = np.random.default_rng(seed)
     bits = 15 * math.ceil(math.log2(n))
     return np.where(rng.permuted(np.tile(np.arange(n), (bits, 1)), axis=1) < n // 2, 1.0, -1.0).T
@@ -75,6 +75,8 @@ def fit(x: np.ndarray, languages: list[str], rounds: int = 300, rate: float = 8.
     """One logistic classifier per bit of the code, by accelerated gradient steps over all rows."""
     names = sorted(set(languages))
     code = codewords(len(names))
+    if not names:
+        return Model(names, code, np.zeros((FEATURES, 0), np.float32), np.zeros(0, np.float32))
     y = code[np.searchsorted(names, languages)]
     share = np.bincount(np.searchsorted(names, languages), minlength=len(names))
     row_weight = (len(languages) / len(names) / share)[np.searchsorted(names, languages)][:, None] / max(1, len(languages))

@@ -55,7 +55,7 @@ def grade_probabilities(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray
     return np.diff(np.concatenate([np.zeros((len(score), 1)), upto, np.ones((len(score), 1))], 1), axis=1)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, rounds: int = 400, rate: float = 0.5, penalty: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, rounds: int = 400, rate: float = 0.2, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds; ``rows`` are feature numbers with repeats. Proximal gradient on the likelihood."""
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
@@ -64,7 +64,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, rounds: int
     row_weight /= row_weight.sum()
     w = np.zeros(n_features)
     base, gaps = 0.0, np.zeros(GRADES - 1)  # thresholds: base, then base + running sums of exp(gaps)
-    for k in range(rounds):
+    seen = np.zeros(n_features)
+    for _ in range(rounds):
         thresholds = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         score = np.bincount(owner, w[flat], len(rows))
         upto = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - score[:, None], -50, 50)))
@@ -78,11 +79,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, rounds: int
         inner = grades < GRADES
         np.add.at(by_threshold, grades[inner], -high[inner])
         np.add.at(by_threshold, grades[grades > 0] - 1, low[grades > 0])
-        step = rate * min(1.0, 20 / (k + 1) ** 0.5)
-        w = w - step * np.bincount(flat, by_score[owner], n_features)
+        slope_w = np.bincount(flat, by_score[owner], n_features)
+        seen += slope_w**2
+        step = rate / np.sqrt(seen + 1e-12)  # steps by each feature's own slopes, so that rare ones learn as well
+        w = w - step * slope_w
         w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
-        gaps -= step * np.array([by_threshold[i + 1 :].sum() for i in range(GRADES - 1)]) * np.exp(gaps)
-        base -= step * by_threshold.sum()
+        gaps -= rate * np.array([by_threshold[i + 1 :].sum() for i in range(GRADES - 1)]) * np.exp(gaps)
+        base -= rate * by_threshold.sum()
     return w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
