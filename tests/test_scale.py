@@ -36,7 +36,7 @@ def test_sliced_row_number_and_lag(skewed):
 
 def test_rate_limit_and_token_buckets(skewed):
     rows, df = skewed
-    calls = {r["event_id"]: r["calls"] for r in L.rate_limit(df, 600, 5).collect()}
+    calls = {r["event_id"]: r["calls"] for r in L.rate_limit(df, 600, 5, slice_rows=97).collect()}
     allowed = {r["event_id"]: r["allowed"] for r in L.token_buckets(df, 60, 2).collect()}
     for _, group in groupby(sorted(rows, key=lambda r: (r[1], r[2], r[0])), key=lambda r: r[1]):
         group = list(group)
@@ -50,9 +50,21 @@ def test_rate_limit_and_token_buckets(skewed):
             assert allowed[r[0]] == (used <= 2)
 
 
+def test_slices_of_a_hot_key_are_bounded(skewed):
+    rows, df = skewed
+    sizes = scale.time_slices(df, ["user_id"], F.col("sec"), slice_rows=100).groupBy("user_id", "_slice").count().collect()
+    assert sum(r["count"] for r in sizes) == len(rows) and max(r["count"] for r in sizes) < 200
+    changed = {r["event_id"] for r in L.state_transitions(df, slice_rows=64).collect()}
+    for _, group in groupby(sorted(rows, key=lambda r: (r[1], r[2], r[0])), key=lambda r: r[1]):
+        before = None
+        for r in group:
+            assert (r[0] in changed) == (r[3] != before)
+            before = r[3]
+
+
 def test_sessions(skewed):
     rows, df = skewed
-    mine = sorted((r["user_id"], r["events"]) for r in L.sessions(df, 60).collect())
+    mine = sorted((r["user_id"], r["events"]) for r in L.sessions(df, 60, slice_rows=50).collect())
     want = []
     for user, group in groupby(sorted(rows, key=lambda r: (r[1], r[2])), key=lambda r: r[1]):
         last, n = None, 0

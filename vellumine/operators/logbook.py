@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine import settings as S
-from vellumine.operators.scale import sliced_lag, small_table
+from vellumine.operators.scale import SLICE_ROWS, sliced_lag, small_table, time_slices
 from vellumine.session import cut_lineage
 
 
@@ -43,13 +43,14 @@ def export_rows(logs: DataFrame, test: Column, details: str = "props") -> DataFr
     return logs.where(test).withColumn(details, F.col(details) if kind == "string" else F.to_json(details))
 
 
-def day_slice(ts: str = "ts") -> Column:
-    return F.to_date(F.col(ts))
+def micros(ts: str = "ts") -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def state_transitions(logs: DataFrame, entity: str = "user_id", state: str = "event_type", ts: str = "ts", key: str = "event_id") -> DataFrame:
+def state_transitions(logs: DataFrame, entity: str = "user_id", state: str = "event_type", ts: str = "ts", key: str = "event_id", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rows where the entity's state differs from its previous one."""
-    lagged = sliced_lag(logs, [entity], day_slice(ts), [ts, key], [state])
+    cut = time_slices(logs, [entity], micros(ts), slice_rows=slice_rows)
+    lagged = sliced_lag(cut, [entity], F.col("_slice"), [ts, key], [state]).drop("_t", "_low", "_width")
     return lagged.where(F.col(f"prev_{state}").isNull() | (F.col(f"prev_{state}") != F.col(state)))
 
 
@@ -90,9 +91,9 @@ def request_key(query: Column, size: int = 16, prefix: str = "retrieval:", **par
 def reuse_statistics(requests: DataFrame, key: str, ttl: int = 1800, ts: str = "ts", tie: str = "event_id", tokens: str | None = None) -> DataFrame:
     """Hits, misses, hit rate and tokens saved: a request within ``ttl`` seconds of the previous
     one with its key is a hit. Totals come from partial sums."""
-    keep = requests.select(key, ts, tie, *([tokens] if tokens else [])).withColumn("_t", F.col(ts))
-    lagged = sliced_lag(keep, [key], day_slice(ts), [ts, tie], ["_t"])
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("prev__t").cast("timestamp"))
+    keep = time_slices(requests.select(key, ts, tie, *([tokens] if tokens else [])), [key], micros(ts))
+    lagged = sliced_lag(keep, [key], F.col("_slice"), [ts, tie], ["_t"])
+    gap = micros(ts) - F.col("prev__t")
     hit = F.coalesce(gap < ttl * 1_000_000, F.lit(False))
     total = F.count(F.lit(1))
     saved = [F.sum(F.when(hit, F.col(tokens)).otherwise(0)).alias("tokens_saved")] if tokens else []
@@ -108,21 +109,22 @@ def expiry_counts(items: DataFrame, created: str, ttl: int, at: Column) -> DataF
 # --- rates and sessions ---------------------------------------------------------------------
 
 
-def rate_limit(events: DataFrame, period: int, max_calls: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def rate_limit(
+    events: DataFrame, period: int, max_calls: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id", slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """Adds ``calls`` within the last ``period`` seconds and ``limited`` when over ``max_calls``.
 
-    Time is cut into slices of at least an hour; rows of the last ``period`` of a slice are
-    copied into the next as context, so each window frame is complete inside its slice.
+    A key's time is cut into as many slices as its rows ask for, none shorter than the period; rows of the last ``period``
+    of a slice are copied into the next as context, so each window frame is complete inside its slice.
     """
-    width = max(3600, period)
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    cut = events.withColumn("_t", t).withColumn("_slice", F.floor(F.col("_t") / F.lit(width * 1_000_000)))
-    tail = cut.where(F.pmod("_t", F.lit(width * 1_000_000)) >= (width - period) * 1_000_000)
+    span = period * 1_000_000
+    cut = time_slices(events, [key], micros(ts), span + 1, slice_rows)
+    tail = cut.where(F.pmod(F.col("_t") - F.col("_low"), "_width") >= F.col("_width") - span)
     context = tail.select(key, "_t", (F.col("_slice") + 1).alias("_slice"), F.lit(0).alias("_real"))
     rows = cut.withColumn("_real", F.lit(1)).unionByName(context, allowMissingColumns=True)
     frame = Window.partitionBy(key, "_slice").orderBy("_t").rangeBetween(-period * 1_000_000, 0)
     counted = rows.withColumn("calls", F.count(F.lit(1)).over(frame)).where(F.col("_real") == 1)
-    return counted.withColumn("limited", F.col("calls") > max_calls).drop("_t", "_slice", "_real")
+    return counted.withColumn("limited", F.col("calls") > max_calls).drop("_t", "_low", "_width", "_slice", "_real")
 
 
 def lockouts(events: DataFrame, failure: Column, attempts: int = 5, period: int = 900, key: str = "user_id", **names) -> DataFrame:
@@ -182,15 +184,14 @@ def token_buckets(events: DataFrame, seconds: int = 60, burst: int = 10, key: st
     return placed.select(key, tie, F.timestamp_micros("_start").cast("timestamp_ntz").alias("bucket_start"), (used <= burst).alias("allowed"))
 
 
-def sessions(events: DataFrame, gap: int = 1800, key: str = "user_id", ts: str = "ts") -> DataFrame:
+def sessions(events: DataFrame, gap: int = 1800, key: str = "user_id", ts: str = "ts", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(key, start, end, events): activity separated by at least ``gap`` quiet seconds.
 
-    Sessions are built per day first; only those partial sessions, far fewer than events, are
-    merged per key across days.
+    Sessions are built inside slices of time first; only those partial sessions, far fewer than
+    events, are merged per key across slices.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
     span = gap * 1_000_000
-    rows = events.select(key, t.alias("_t"), day_slice(ts).alias("_day"))
+    rows = time_slices(events.select(key, ts), [key], micros(ts), slice_rows=slice_rows).select(key, "_t", F.col("_slice").alias("_day"))
 
     def number(df: DataFrame, groups: Sequence[str], start: str, reach: Column) -> DataFrame:
         w = Window.partitionBy(*groups).orderBy(start)

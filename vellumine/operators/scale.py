@@ -8,6 +8,7 @@ carry only one summary row per slice across.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,30 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int |
     return ranked.where(F.col(rank) <= k)
 
 
+SLICE_ROWS = 100_000
+RUN_SLICES = 4096
+
+
+def time_slices(df: DataFrame, group: Sequence[str], moment: Column, least: int = 1, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds ``_t`` (the moment as a number), ``_width`` and ``_slice``: a group's span of time cut evenly into as many
+    slices as its number of rows asks for, none narrower than ``least``. Groups are counted by a map-side aggregate."""
+    keys = list(group)
+    timed = df.withColumn("_t", moment)
+    stats = timed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_t").alias("_low"), F.max("_t").alias("_high")
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    width = F.greatest(F.lit(least), F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / slice_rows))).cast("bigint")
+    joined = timed.join(stats, same).withColumn("_width", width).drop(*[f"_k{i}" for i in range(len(keys))], "_rows", "_high")
+    # A row without a moment stands in a slice before all others.
+    sliced = F.coalesce(F.floor((F.col("_t") - F.col("_low")) / F.col("_width")), F.lit(-1)).cast("bigint")
+    return joined.withColumn("_slice", sliced)
+
+
 def sliced_row_number(
     df: DataFrame, group: Sequence[str], slice_by: Column, order: Sequence[Column], name: str = "row_number"
 ) -> DataFrame:
-    """Exact ``row_number`` over ``group`` ordered by (slice, order); slices must follow the order.
+    """Exact ``row_number`` over ``group`` ordered by (slice, order); slices are whole numbers that follow the order.
 
     Rows are numbered inside (group, slice); the offset is a running sum of slice sizes, a
     table with one row per slice.
@@ -36,8 +57,14 @@ def sliced_row_number(
     keys = list(group)
     cut = df.withColumn("_slice", slice_by)
     sizes = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # Two levels of running sums: inside runs of slices, and over the runs, so neither window holds all slices.
+    sizes = sizes.withColumn("_run", F.floor(F.col("_slice") / RUN_SLICES))
+    runs = sizes.groupBy(*keys, "_run").agg(F.sum("_n").alias("_m"))
+    upto = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "_run", F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_base"))
+    before = Window.partitionBy(*keys, "_run").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = sizes.withColumn("_inner", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    offsets = inside.join(runs, [*keys, "_run"]).select(*keys, "_slice", (F.col("_base") + F.col("_inner")).alias("_offset"))
     local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
     return (
         cut.withColumn("_local", local)
