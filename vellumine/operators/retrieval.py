@@ -70,7 +70,8 @@ def bm25(
     stats = cut_lineage(term_statistics(chunks, tokens))
     total = stats.where(F.col("term") == _TOTAL).first()
     if total is None:
-        return chunks.sparkSession.createDataFrame([], f"{query_id} bigint, {key} bigint, score double, rank int")
+        kinds = queries.schema[query_id].dataType.simpleString(), chunks.schema[key].dataType.simpleString()
+        return chunks.sparkSession.createDataFrame([], f"{query_id} {kinds[0]}, {key} {kinds[1]}, score double, rank int")
     n, mean_length = total["df"], total["length"] / total["df"]
     raw_idf = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     vocabulary = stats.where(F.col("term") != _TOTAL).withColumn("idf", raw_idf)

@@ -38,7 +38,7 @@ def hybrid_search(
     asked = cut_lineage(asked.withColumn("k", R.intent_top_k(F.col("intent"))))
     variants = W.expand_query(F.col("query"), F.col("intent"), synonyms, stop) if expand else F.array("query")
     rows = asked.select("query_id", F.posexplode(variants).alias("variant_no", "variant"))
-    rows = cut_lineage(rows.withColumn("variant_id", F.col("query_id") * 16 + F.col("variant_no")))
+    rows = cut_lineage(rows.withColumn("variant_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("variant_no").cast("string"))))
     vectors = cut_lineage(chunks.select(key, encode(F.col(text)).alias("embedding")))
     by_vector = N.knn(
         vectors, rows.select("variant_id", encode(F.col("variant")).alias("embedding")), 2 * max_k, "cosine", corpus_id=key, query_id="variant_id"
@@ -77,7 +77,7 @@ def enhanced_answers(
     texts = W.hypotheses(F.col("query"), ambiguous)
     probes = searched.select(
         "query_id", F.posexplode(F.concat(F.array("query"), F.when(F.array_contains("tags", "Ambiguous"), F.transform(texts, lambda h: h["text"])).otherwise(F.array().cast("array<string>")))).alias("n", "probe")
-    ).withColumn("probe_id", F.col("query_id") * 8 + F.col("n"))
+    ).withColumn("probe_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("n").cast("string")))
     probes = cut_lineage(probes)
     vectors = chunks.select(key, encode(F.col(text)).alias("embedding"))
     hits = N.knn(vectors, probes.select("probe_id", encode(F.col("probe")).alias("embedding")), 30, "cosine", corpus_id=key, query_id="probe_id").withColumnRenamed("id", key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellumine.operators import validation as A
 from vellumine.session import spread
 from vellumine.workload.cleaning import sql_strip
-from vellumine.workload.metrics import H, PAIRS, answer_pairs, content_hits
+from vellumine.workload.metrics import FOUND, PAIRS, answer_pairs, content_hits
 from vellumine.workload.registry import lit, query, table
 from vellumine.workload.tokens import STOP, sql_check_keywords, sql_words
 
@@ -110,7 +110,7 @@ def gate(spark, sf):
     return A.gate_scores(gate_hits(spark, sf), stop=STOP, temporal=F.col("query_id") % 2 == 0, dated=F.col("rank") <= 5)
 
 
-GATE = f"""{H}, r AS (SELECT h.query_id, rank, score, CASE WHEN rank % 3 = 0 THEN 'keyword' ELSE 'vector' END AS source,
+GATE = f"""{FOUND}, r AS (SELECT h.query_id, rank, score, CASE WHEN rank % 3 = 0 THEN 'keyword' ELSE 'vector' END AS source,
     list_distinct({sql_words('b.text')}) AS aw, list_distinct({sql_words('d.text')}) AS cw
     FROM h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id),
   base AS (SELECT query_id, count(*) AS n, avg(CASE WHEN len(cw) > 0 THEN len(list_intersect(aw, cw)) / len(aw) END) AS cover,

@@ -10,11 +10,11 @@ from vellumine.operators import context as O
 from vellumine.session import spread
 from vellumine.workload.checks import gate_hits
 from vellumine.workload.labels import INJECTIONS, sql_sanitized
-from vellumine.workload.metrics import H
+from vellumine.workload.metrics import FOUND
 from vellumine.workload.registry import lit, query, table
 from vellumine.workload.tokens import sql_budget
 
-R_ = f"{H}, r AS (SELECT h.query_id, rank, score, h.id, d.text AS content, b.text AS query, d.source AS name FROM h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id)"
+R_ = f"{FOUND}, r AS (SELECT h.query_id, rank, score, h.id, d.text AS content, b.text AS query, d.source AS name FROM h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id)"
 
 
 @query(

@@ -11,6 +11,7 @@ from vellumine.operators import metrics as M
 from vellumine.operators import knn as N
 from vellumine.session import cut_lineage, spread
 from vellumine.workload.registry import lit, query, table
+from vellumine.workload.retrieval import VEC_CTE, vector_hits
 from vellumine.workload.vectors import Q, embeddings, label_queries, sql_knn
 
 # --- rankings -----------------------------------------------------------------------------------
@@ -91,15 +92,20 @@ def _distribution(spark, sf):
 _CONTENT = "(SELECT doc_id AS id, text AS content FROM documents)"
 
 
+#: Hits of every benchmark item among the documents, by their vectors; a hit that holds the item's text is relevant.
+FOUND = f"""{VEC_CTE}, h AS (SELECT query_id, doc_id AS id, score, rank FROM vec),
+  j AS (SELECT h.*, contains(d.text, b.text)::INT AS rel FROM h JOIN documents d ON d.doc_id = h.id JOIN benchmark b ON b.item_id = h.query_id)"""
+
+
 def content_hits(spark, sf):
-    """Vector hits shown as the documents of the same id."""
+    """The documents that vector search finds for every benchmark item."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    return d.join(cut_lineage(hits(spark, sf)), "doc_id")
+    return d.join(cut_lineage(vector_hits(spark, sf)), "doc_id")
 
 
 @query(
     "enhancement_metrics",
-    f"""WITH {H} SELECT query_id, round(avg(score), 5) AS context_relevance,
+    f"""WITH {FOUND} SELECT query_id, round(avg(score), 5) AS context_relevance,
           round((least(count(*) / 5, 1.0) + least(avg(length(content)) / 200, 1.0) + avg(score)) / 3, 5) AS info_completeness,
           round(count(*) FILTER (WHERE score >= 0.7) / count(*), 5) AS noise_filtering, sum(length(content))::BIGINT AS context_length,
           round(avg(length(content)), 5) AS average_chunk_length, count(*) AS chunk_count FROM h JOIN {_CONTENT} USING (id) GROUP BY query_id""",
@@ -118,7 +124,7 @@ def _share(a, b):
 
 @query(
     "overlap_mrr",
-    f"""WITH {H} SELECT query_id, round(max({_share('qw', 'cw')} / rank), 5) AS mrr FROM (
+    f"""WITH {FOUND} SELECT query_id, round(max({_share('qw', 'cw')} / rank), 5) AS mrr FROM (
           SELECT h.query_id, rank, {_WORDS.format('content')} AS cw, {_WORDS.format('b.text')} AS qw
           FROM h JOIN {_CONTENT} USING (id) JOIN benchmark b ON b.item_id = h.query_id) GROUP BY query_id""",
 )
@@ -129,13 +135,15 @@ def _overlap_mrr(spark, sf):
 
 @query(
     "full_record",
-    f"""WITH {H} SELECT query_id, round(avg(score), 5) AS context_relevance, count(*) AS chunk_count, round(coalesce(1.0 / min(rank) FILTER (WHERE rel = 1), 0), 5) AS mrr,
+    f"""WITH {FOUND} SELECT query_id, round(avg(score), 5) AS context_relevance, count(*) AS chunk_count, round(coalesce(1.0 / min(rank) FILTER (WHERE rel = 1), 0), 5) AS mrr,
           sum(length(content))::BIGINT AS context_length, round(sum(length(content)) / 0.75, 5) AS token_guess, count(*) > 0 AS success
         FROM j JOIN {_CONTENT} USING (id) GROUP BY query_id""",
 )
 def _full(spark, sf):
     h = cut_lineage(content_hits(spark, sf))
-    ranks = M.rank_metrics(h, truth(spark, sf), h.select("query_id").distinct())
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    held = h.join(asked, "query_id").where(F.contains("content", "text")).select("query_id", "doc_id")
+    ranks = M.rank_metrics(h, held, h.select("query_id").distinct())
     both = M.enhancement_metrics(h).join(ranks, "query_id")
     return _rounded(
         both.select("query_id", "context_relevance", "chunk_count", "mrr", "context_length", (F.col("context_length") / 0.75).alias("token_guess"), (F.col("chunk_count") > 0).alias("success"))
@@ -409,10 +417,11 @@ def _recommend(spark, sf):
     return fired.select("metric", F.round("slope", 5).alias("slope"), "kind")
 
 
-@query("insights", f"WITH {AB} SELECT metric, text FROM c JOIN (VALUES ('precision_at_1', 0.7, 'weak precision'), ('mrr', 0.9, 'weak rank'), ('hit_rate', 0.1, 'weak hits')) r(metric2, bound, text) ON metric = metric2 AND a < bound")
+@query("insights", f"WITH {CASES}, c AS (UNPIVOT (SELECT {_MEANS} FROM cases) ON COLUMNS(*) INTO NAME metric VALUE a) SELECT metric, text FROM c JOIN (VALUES ('precision_at_1', 0.7, 'weak precision'), ('mrr', 0.9, 'weak rank'), ('hit_rate', 0.1, 'weak hits')) r(metric2, bound, text) ON metric = metric2 AND a < bound")
 def _insights(spark, sf):
     rules = [("precision_at_1", "<", 0.7, "weakness", "weak precision"), ("mrr", "<", 0.9, "weakness", "weak rank"), ("hit_rate", "<", 0.1, "weakness", "weak hits")]
-    return M.apply_rules(_side(spark, sf, 0), rules).select("metric", "text")
+    means = cases(spark, sf).agg(*[F.avg(m).alias(m) for m in _METRICS]).unpivot([], _METRICS, "metric", "value")
+    return M.apply_rules(means, rules).select("metric", "text")
 
 
 @query("metric_history", "SELECT event_type AS metric, round(avg(v), 3) AS mean, max(v) AS max, min(v) AS min, count(v) AS successes, count(*) - count(v) AS failures FROM (SELECT event_type, CASE WHEN value < 200 THEN value END AS v FROM events) GROUP BY 1")

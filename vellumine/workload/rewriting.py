@@ -136,12 +136,12 @@ def _contextual(spark, sf):
 
 @query(
     "accumulate_profile",
-    """WITH f AS (SELECT conv_id, 'k' || (length(text) % 3) AS k, left(text, 12) AS v, turn FROM conversations WHERE role = 'user'),
+    """WITH f AS (SELECT conv_id, 'k' || (length(text) % 3) AS k, text AS v, turn FROM conversations WHERE role = 'user'),
        l AS (SELECT conv_id, k, arg_max(v, turn) AS v FROM f GROUP BY ALL) SELECT conv_id, string_agg(k || '=' || v, ';' ORDER BY k) AS profile FROM l GROUP BY conv_id""",
 )
 def _profile(spark, sf):
     facts = table(spark, sf, "conversations").where("role = 'user'").select(
-        "conv_id", F.concat(F.lit("k"), (F.length("text") % 3).cast("string")).alias("k"), F.left("text", F.lit(12)).alias("v"), "turn"
+        "conv_id", F.concat(F.lit("k"), (F.length("text") % 3).cast("string")).alias("k"), F.col("text").alias("v"), "turn"
     )
     p = W.accumulate_profile(facts, "conv_id", "k", "v", "turn")
     line = F.transform(F.array_sort(F.map_entries("profile")), lambda e: F.concat_ws("=", e["key"], e["value"]))
