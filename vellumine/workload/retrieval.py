@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumine.functions import tokens as K
+from vellumine.operators import chunking as C
+from vellumine.operators import context as O
 from vellumine.operators import knn as N
 from vellumine.operators import retrieval as RT
 from vellumine.session import cut_lineage
@@ -255,3 +257,45 @@ def _dynamic(spark, sf):
 @query("chunks_with_content", "SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND text IS NOT NULL")
 def _all_chunks(spark, sf):
     return table(spark, sf, "conversations").where("role <> 'system' AND text IS NOT NULL").select("conv_id", "turn")
+
+
+# --- chunks -----------------------------------------------------------------------------------
+
+
+def fixed_chunks(spark, sf):
+    """(chunk_id, doc_id, content): fixed windows with ids of text, as ingest writes them."""
+    windows = docs(spark, sf).select("doc_id", F.posexplode(C.fixed_windows(F.col("text"))).alias("num", "w"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), (F.floor(F.col("w.start") / 450) + 1).cast("string"))
+    return windows.select(name.alias("chunk_id"), "doc_id", F.col("w.text").alias("content"))
+
+
+CHUNK_CTE = f"""
+  ch AS (SELECT doc_id || '_chunk_' || (s // 450 + 1) AS chunk_id, doc_id, content FROM (
+    SELECT doc_id, s, substr(text, s + 1, 500) AS content FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 450)) AS s FROM documents))
+    WHERE regexp_replace(content, '\\s+', '', 'g') <> ''),
+  cv AS ({sql_text_vectors('ch', 'chunk_id', 'content')}),
+  qv AS (SELECT item_id AS query_id, v FROM ({sql_text_vectors('benchmark', 'item_id', 'text')})),
+  found AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank
+    FROM (SELECT query_id, chunk_id, list_inner_product(cv.v, qv.v) AS score FROM cv, qv)) WHERE rank <= {TOP} AND score > 0)"""
+
+
+def chunk_hits(spark, sf):
+    chunks = text_vectors(fixed_chunks(spark, sf), "chunk_id", "content")
+    hits = N.knn(chunks, text_vectors(questions(spark, sf), "query_id", "text"), TOP, "cosine", corpus_id="chunk_id")
+    return hits.where("score > 0").withColumnRenamed("id", "chunk_id")
+
+
+@query("chunk_search", f"WITH {CHUNK_CTE} SELECT query_id, chunk_id, rank, round(score, 5) AS score FROM found")
+def _chunk_search(spark, sf):
+    return _big(chunk_hits(spark, sf)).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
+
+
+@query(
+    "chunk_context",
+    f"""WITH {CHUNK_CTE}, s AS (SELECT query_id, rank, '【参考文档' || rank || '】' || chr(10) || content || chr(10) AS seg FROM found JOIN ch USING (chunk_id)),
+        c AS (SELECT *, sum(length(seg)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM s)
+        SELECT query_id, count(*) FILTER (WHERE total <= 4000) AS used, string_agg(seg, chr(10) ORDER BY rank) FILTER (WHERE total <= 4000) AS context FROM c GROUP BY query_id""",
+)
+def _chunk_context(spark, sf):
+    """Document, chunk, vector, hit, context: the whole way for every benchmark item."""
+    return O.prefix_context(fixed_chunks(spark, sf).join(chunk_hits(spark, sf), "chunk_id"), 4000)
