@@ -149,3 +149,10 @@ def test_dispatch_falls_back(spark):
     rows = C.dispatch(df).collect()
     assert {(r["doc_id"], r["used_strategy"], r["error"]) for r in rows if r["doc_id"] < 3} == {(1, "naive", None), (2, "char", "empty document")}
     assert sum(r["doc_id"] == 3 for r in rows) == 3
+
+
+def test_dispatch_of_custom_and_secondary(spark):
+    df = spark.createDataFrame([(1, "a##b\nc##d", "custom"), (2, "x" * 2500, "secondary")], "doc_id long, text string, strategy string")
+    rows = C.dispatch(df, delimiters=["##"], children=["\n"]).collect()
+    assert [r["content"] for r in rows if r["doc_id"] == 1] == ["a", "b", "c", "d"]
+    assert [len(r["content"]) for r in rows if r["doc_id"] == 2] == [2000, 500] and {r["used_strategy"] for r in rows} == {"custom", "secondary"}

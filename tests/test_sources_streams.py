@@ -31,6 +31,9 @@ def test_text_sources(spark, tmp_path):
     assert files.read_json_text(spark, f"{p}/d.json").first()["content"] == '{\n  "k": [\n    1\n  ]\n}'
     assert files.read_html_text(spark, f"{p}/e.html").first()["content"] == "甲&乙\n丙" or "甲&乙" in files.read_html_text(spark, f"{p}/e.html").first()["content"]
     assert files.read_xml_outline(spark, f"{p}/f.xml").first()["content"] == "r:\n  t\n  a:\n    1\n  tail"
+    (tmp_path / "bad.json").write_text('{"k": [')
+    bad = files.read_json_text(spark, f"{p}/*.json").where("content IS NULL").collect()
+    assert len(bad) == 1 and bad[0]["path"].endswith("bad.json") and "JSONDecodeError" in bad[0]["error"]
 
 
 def test_catalogue_sources(spark, tmp_path):

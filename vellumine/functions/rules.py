@@ -45,7 +45,7 @@ def category_scores(
     title_table: Mapping[str, Sequence[str]] = S.CATEGORY_TITLES,
 ) -> list[tuple[str, Column]]:
     if keyword_table is None:
-        keyword_table = {k: S.parse_weights(v) for k, v in S.CATEGORY_KEYWORDS.items()}
+        keyword_table = S.CATEGORY_KEYWORDS
     lowered = F.lower(content)
     scores = []
     for category, words in keyword_table.items():

@@ -876,6 +876,7 @@ STRATEGIES: dict[str, Callable[[Column], Column]] = {
     "hybrid": lambda t: F.transform(hybrid_chunks(t), lambda c: c["text"]),
     "hr": lambda t: F.transform(hr_chunks(t), lambda c: c["text"]),
     "project": lambda t: F.transform(project_chunks(t), lambda c: c["text"]),
+    "secondary": secondary_split,
     **{
         name: (lambda marks: lambda t: F.transform(heading_sections(t, marks), lambda s: s["content"]))(HEADING_MARKS[name])
         for name in ("paper", "laws", "book")
@@ -883,16 +884,20 @@ STRATEGIES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def dispatch(docs: DataFrame, strategy: str = "strategy", text: str = "text", key: str = "doc_id") -> DataFrame:
+def dispatch(
+    docs: DataFrame, strategy: str = "strategy", text: str = "text", key: str = "doc_id",
+    delimiters: Sequence[str] = ("\n\n",), children: Sequence[str] = (),
+) -> DataFrame:
     """Chunk each document by its strategy column, in one scan.
 
-    One conditional expression holds all strategies, so a row evaluates only its own. Unknown
-    strategies and empty results fall back to naive; documents without text become error rows.
+    One conditional expression holds all strategies, so a row evaluates only its own; ``custom`` cuts at the given
+    delimiters. Unknown strategies and empty results fall back to naive; documents without text become error rows.
     """
+    strategies = {**STRATEGIES, "custom": lambda t: custom_pieces(t, delimiters, children)}
     usable = F.coalesce(strip(F.col(text)), F.lit("")) != ""
-    known = F.when(F.col(strategy).isin(*STRATEGIES), F.col(strategy)).otherwise("naive")
+    known = F.when(F.col(strategy).isin(*strategies), F.col(strategy)).otherwise("naive")
     found = None
-    for name, fn in STRATEGIES.items():
+    for name, fn in strategies.items():
         test = usable & (F.col("used_strategy") == name)
         found = F.when(test, fn(F.col(text))) if found is None else found.when(test, fn(F.col(text)))
     chunked = let(found, lambda c: F.when(F.size(c) > 0, c).when(usable, F.array(F.col(text))).otherwise(F.array(F.lit(""))))

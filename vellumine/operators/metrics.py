@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from vellumine import settings as S
 from vellumine.functions import tokens as K
 from vellumine.functions.text import ANY_SPACE_CLASS as SPACE
-from vellumine.functions.text import strip
+from vellumine.functions.text import let, strip
 from vellumine.operators.scale import exact_quantiles, small_table
 
 KS = (1, 3, 5, 10)
@@ -167,13 +167,16 @@ def ngram_metrics(pairs: DataFrame, keys: Sequence[str], reference: str, candida
     """
 
     def grams(col: str, side: str) -> DataFrame:
-        t = bare_text(F.col(col))
-        rows = pairs.select(*keys, t.alias("_t")).select(*keys, "_t", F.explode(F.array(*[F.lit(n) for n in range(1, max_n + 1)])).alias("n"))
-        starts = F.sequence(F.lit(1), F.length("_t") - F.col("n") + 1)
-        cut = rows.where(F.length("_t") >= F.col("n")).select(*keys, "n", "_t", F.explode(starts).alias("_i"))
+        def of(chars: Column, n: int) -> Column:
+            starts = F.sequence(F.lit(0), F.size(chars) - n)
+            made = F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.concat(*[F.get(chars, i + j) for j in range(n)]).alias("gram")))
+            return F.when(F.size(chars) >= n, made)
+
+        # n-grams are built inside the row, so no text is copied beside them; the outer form evaluates them once.
+        every = let(F.split(bare_text(F.col(col)), ""), lambda cs: F.flatten(F.array_compact(F.array(*[of(cs, n) for n in range(1, max_n + 1)]))))
+        cut = pairs.select(*keys, F.explode_outer(every).alias("_g")).where("_g IS NOT NULL AND _g.gram <> ''")
         return cut.select(
-            *keys, "n", F.substr("_t", F.col("_i"), F.col("n")).alias("gram"),
-            F.lit(1 if side == "ref" else 0).alias("ref"), F.lit(0 if side == "ref" else 1).alias("cand"),
+            *keys, "_g.n", "_g.gram", F.lit(1 if side == "ref" else 0).alias("ref"), F.lit(0 if side == "ref" else 1).alias("cand")
         )
 
     both = grams(reference, "ref").unionByName(grams(candidate, "cand"))

@@ -112,21 +112,25 @@ CLEANING_PRESETS = {
 # --- stop words ---------------------------------------------------------------------------
 
 # Stop words of the answer checker; the retrieval tokenizer adds four.
-CHECK_STOP_WORDS = ("的 了 是 在 有 和 我 你 他 她 它 这 那 并 或 但 如果 因为 所以").split()
+CHECK_STOP_WORDS = [
+    "的", "了", "是", "在", "有", "和", "我", "你", "他", "她", "它", "这", "那", "并", "或", "但", "如果", "因为", "所以",
+]
 SEARCH_STOP_WORDS = CHECK_STOP_WORDS + ["如何", "什么", "为什么", "怎样"]
 # Stop words of the quality gate; rewriting adds one, dialogue adds the rest.
-GATE_STOP_WORDS = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这"
-).split()
+GATE_STOP_WORDS = [
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好", "自己", "这",
+]
 REWRITE_STOP_WORDS = GATE_STOP_WORDS + ["一个"]
-DIALOGUE_STOP_WORDS = GATE_STOP_WORDS + (
-    "中 为 来 个 能 以 可 而 及 与 或 但 如果 因为 所以 使用 进行 通过 根据 关于 需要 可以 表示 用于"
-).split()
+DIALOGUE_STOP_WORDS = GATE_STOP_WORDS + [
+    "中", "为", "来", "个", "能", "以", "可", "而", "及", "与", "或", "但", "如果", "因为", "所以", "使用", "进行", "通过", "根据", "关于", "需要", "可以", "表示", "用于",
+]
 # Punctuation that separates retrieval tokens.
 ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SEARCH_MARKS = ASCII_MARKS + "。，、；：？！（）【】《》"
 # Stop words and punctuation of the display keywords.
-DISPLAY_STOP_WORDS = "的 是 什么 哪些 有 如何 怎么 为 与 和 及 在 于".split()
+DISPLAY_STOP_WORDS = [
+    "的", "是", "什么", "哪些", "有", "如何", "怎么", "为", "与", "和", "及", "在", "于",
+]
 DISPLAY_MARKS = "，。！？、；：“”‘’（）【】"
 # Marks counted by the first token estimate.
 ESTIMATE_MARKS = ".,;:!?，。；！？、\"'()[]{}<>"
@@ -135,18 +139,30 @@ ESTIMATE_MARKS = ".,;:!?，。；！？、\"'()[]{}<>"
 
 # Fixed values: (keyword, weight) per category, then title patterns, then filename keywords.
 CATEGORY_KEYWORDS = {
-    "financial": "报销:3 差旅费:3 发票:2 借款:2 审批:2 费用:2 预算:2 成本:2 财务:2 会计:2 "
-    "付款:1 收款:1 账务:1 审计:1 票据:1",
-    "product": "产品:2 功能:2 用户:2 使用:1 介绍:1 特性:2 模块:1 界面:1 操作:1 配置:1 部署:1 "
-    "安装:1 系统:1 平台:1 版本:1 手册:2 指南:2 说明书:2 白皮书:2",
-    "technical": "API:3 接口:2 规范:2 设计:1 架构:2 代码:2 开发:2 测试:1 数据库:2 配置:1 协议:2 "
-    "标准:2 约定:1 命名:1 格式:1 RESTful:3 HTTP:2 JSON:1 SQL:2 微服务:2 DevOps:2 CI/CD:2",
-    "compliance": "隐私:3 政策:2 安全:2 合规:3 法律:2 制度:2 规定:2 条款:2 同意:1 授权:1 数据保护:3 "
-    "信息安全:3 保密:2 协议:1 许可:2 版权:2 知识产权:2 免责:1",
-    "hr": "员工:3 绩效:3 考核:2 薪酬:2 福利:2 入职:2 离职:2 请假:1 考勤:2 培训:1 晋升:2 调薪:2 "
-    "招聘:1 面试:1 劳动合同:2 手册:2 制度:1 规定:1 管理:1",
-    "project": "项目:2 流程:2 管理:1 开发:1 发布:2 版本:2 迭代:2 Sprint:2 需求:1 测试:1 部署:2 上线:2 "
-    "回滚:2 灰度:2 评审:1 里程碑:1 进度:1 风险:1 质量:1",
+    "financial": [
+        ("报销", 3), ("差旅费", 3), ("发票", 2), ("借款", 2), ("审批", 2), ("费用", 2), ("预算", 2), ("成本", 2), ("财务", 2), ("会计", 2), ("付款", 1), ("收款", 1), ("账务", 1),
+        ("审计", 1), ("票据", 1),
+    ],
+    "product": [
+        ("产品", 2), ("功能", 2), ("用户", 2), ("使用", 1), ("介绍", 1), ("特性", 2), ("模块", 1), ("界面", 1), ("操作", 1), ("配置", 1), ("部署", 1), ("安装", 1), ("系统", 1),
+        ("平台", 1), ("版本", 1), ("手册", 2), ("指南", 2), ("说明书", 2), ("白皮书", 2),
+    ],
+    "technical": [
+        ("API", 3), ("接口", 2), ("规范", 2), ("设计", 1), ("架构", 2), ("代码", 2), ("开发", 2), ("测试", 1), ("数据库", 2), ("配置", 1), ("协议", 2), ("标准", 2), ("约定", 1),
+        ("命名", 1), ("格式", 1), ("RESTful", 3), ("HTTP", 2), ("JSON", 1), ("SQL", 2), ("微服务", 2), ("DevOps", 2), ("CI/CD", 2),
+    ],
+    "compliance": [
+        ("隐私", 3), ("政策", 2), ("安全", 2), ("合规", 3), ("法律", 2), ("制度", 2), ("规定", 2), ("条款", 2), ("同意", 1), ("授权", 1), ("数据保护", 3), ("信息安全", 3), ("保密", 2),
+        ("协议", 1), ("许可", 2), ("版权", 2), ("知识产权", 2), ("免责", 1),
+    ],
+    "hr": [
+        ("员工", 3), ("绩效", 3), ("考核", 2), ("薪酬", 2), ("福利", 2), ("入职", 2), ("离职", 2), ("请假", 1), ("考勤", 2), ("培训", 1), ("晋升", 2), ("调薪", 2), ("招聘", 1),
+        ("面试", 1), ("劳动合同", 2), ("手册", 2), ("制度", 1), ("规定", 1), ("管理", 1),
+    ],
+    "project": [
+        ("项目", 2), ("流程", 2), ("管理", 1), ("开发", 1), ("发布", 2), ("版本", 2), ("迭代", 2), ("Sprint", 2), ("需求", 1), ("测试", 1), ("部署", 2), ("上线", 2), ("回滚", 2),
+        ("灰度", 2), ("评审", 1), ("里程碑", 1), ("进度", 1), ("风险", 1), ("质量", 1),
+    ],
 }
 CATEGORY_TITLES = {
     "financial": ["报销.*管理", "费用.*管理", "差旅", "预算.*管理"],
@@ -167,11 +183,6 @@ CATEGORY_FILENAMES = {
 POLICY_PATTERNS = ["报销", "审批", "第一章", "第.*章", "差旅费", "发票", "借款", "违规处理"]
 
 
-def parse_weights(text: str) -> list[tuple[str, int]]:
-    """``"a:1 b:2"`` as (keyword, weight) pairs."""
-    return [(item.rpartition(":")[0], int(item.rpartition(":")[2])) for item in text.split()]
-
-
 # --- labels of expense policies -----------------------------------------------------------
 
 # Job levels and expense types with the words that reveal them.

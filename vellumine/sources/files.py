@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,35 +72,49 @@ def read_text_any_encoding(spark: SparkSession, path: str, glob: str = "*.txt",
     return files.select("path", "content").mapInPandas(run, "path string, content string, encoding string")
 
 
+def _parsed(rows: DataFrame, parse: Callable[[str], str]) -> DataFrame:
+    """(path, content, error): a file that can't be parsed is a row with its error, and no content."""
+
+    def one(value: str) -> tuple[str | None, str | None]:
+        try:
+            return parse(value), None
+        except Exception as e:  # noqa: BLE001
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [one(v) for v in batch["value"]]
+            yield pd.DataFrame({"path": batch["path"], "content": [c for c, _ in found], "error": [e for _, e in found]})
+
+    return rows.mapInPandas(run, "path string, content string, error string")
+
+
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content): every non-empty row re-joined with commas, rows with newlines.
+    """(path, content, error): every non-empty row re-joined with commas, rows with newlines.
 
     A CSV file is read whole as one row: it is one document, as large as its text.
     """
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(value: str) -> str:
         import csv
         import io
 
-        for batch in batches:
-            texts = ["\n".join(",".join(r) for r in csv.reader(io.StringIO(v)) if any(c.strip() for c in r)) for v in batch["value"]]
-            yield pd.DataFrame({"path": batch["path"], "content": texts})
+        return "\n".join(",".join(r) for r in csv.reader(io.StringIO(value)) if any(c.strip() for c in r))
 
-    return rows.mapInPandas(run, "path string, content string")
+    return _parsed(rows, parse)
 
 
 def read_json_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content): JSON files in a canonical two-space layout."""
+    """(path, content, error): JSON files in a canonical two-space layout."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(value: str) -> str:
         import json
 
-        for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "content": [json.dumps(json.loads(v), ensure_ascii=False, indent=2) for v in batch["value"]]})
+        return json.dumps(json.loads(value), ensure_ascii=False, indent=2)
 
-    return rows.mapInPandas(run, "path string, content string")
+    return _parsed(rows, parse)
 
 
 def read_html_text(spark: SparkSession, path: str) -> DataFrame:
@@ -109,7 +123,7 @@ def read_html_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xml_outline(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content): an indented outline of tags and texts, depth first, tail text kept."""
+    """(path, content, error): an indented outline of tags and texts, depth first, tail text kept."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def outline(xml: str) -> str:
@@ -131,26 +145,7 @@ def read_xml_outline(spark: SparkSession, path: str) -> DataFrame:
             stack += [(child, depth + 1, False) for child in reversed(node)]
         return "\n".join(out)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "content": [outline(v) for v in batch["value"]]})
-
-    return rows.mapInPandas(run, "path string, content string")
-
-
-# --- catalogues -----------------------------------------------------------------------------
-
-DOCUMENT = "struct<id:string,name:string,size:bigint,status:string,upload_time:string,chunk_count:int,category:string,tags:array<string>,file_path:string>"
-VERSION = "struct<version_id:string,document_id:string,version:string,created_at:string,changes:string,file_path:string>"
-HISTORY = "struct<history_id:string,action:string,document_id:string,document_name:string,user_id:string,timestamp:string,details:string>"
-CHUNK = (
-    "struct<id:string,document_id:string,num:int,content:string,text:string,length:int,embedding_status:string,embedding_dimension:int,"
-    "document_name:string,document:string,hierarchy_path:array<string>,section_title:string,has_table:boolean,char_length:int>"
-)
-CASE = (
-    "struct<id:string,category:string,query:string,description:string,expected_keywords:array<string>,expected_topics:array<string>,"
-    "difficulty:string,ground_truth:string>"
-)
+    return _parsed(rows, outline)
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
