@@ -64,6 +64,16 @@ def cuts(data: bytes, window: int = WINDOW, bits: int = CUT_BITS) -> list[int]:
     return found[found < len(data)].tolist()
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: printable bytes as they are, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class ChunkEncoder:
     """Encodes texts with a tokenizer whose tokens never reach over a break, nor from letters into the marks after them.
 
@@ -74,6 +84,10 @@ class ChunkEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         self.tokenizer = tokenizer
+        self.direct = (
+            tokenizer.normalizer is None and type(tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+            and not tokenizer.model.end_of_word_suffix and not tokenizer.model.continuing_subword_prefix
+        )
         self.odd = re.compile(odd) if odd else None
         self.chunks: dict[bytes, tuple[int, int, bytes]] = {}
         self.words: dict[bytes, bytes] = {}
@@ -84,6 +98,19 @@ class ChunkEncoder:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in coded]
 
+    def by_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of single words. Where the tokenizer has byte-level words and no normaliser, a run of letters after at most
+        one space is one word of its merges, which are asked at once."""
+        if not self.direct:
+            return self.plain([w.decode() for w in words])
+        merge = self.tokenizer.model.tokenize
+        letters = [LETTERS.fullmatch(w) is not None for w in words]
+        rest = iter(self.plain([w.decode() for w, one in zip(words, letters) if not one]))
+        return [
+            array("I", [t.id for t in merge(w.decode("latin-1").translate(BYTE_LETTERS))]).tobytes() if one else next(rest)
+            for w, one in zip(words, letters)
+        ]
+
     def learn(self, words: set[bytes]) -> None:
         """Ids of the words that the worker doesn't hold; letters and the marks after them are looked up apart."""
         known, older, new, split = self.words, self.older, {}, []
@@ -103,7 +130,7 @@ class ChunkEncoder:
         new = list(new)
         for at in range(0, len(new), NEW_PIECES):
             part = new[at : at + NEW_PIECES]
-            known.update(zip(part, self.plain([w.decode() for w in part])))
+            known.update(zip(part, self.by_words(part)))
         for w, letters, marks in split:
             known[w] = known[letters] + known[marks]
 
@@ -195,6 +222,7 @@ BREAK = re.compile(rb"[^ \n][ \n]")
 ODD_SPACE = "[\\t\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 #: Words with the run of spaces before them.
 SPACED = re.compile(rb"[ \n]*[^ \n]+|[ \n]+")
+LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: A word of ASCII and Latin-1 letters, and ASCII marks after it (no apostrophe, which may start a suffix).
 MARKED = re.compile(rb"([ \n]*(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]+)")
 
