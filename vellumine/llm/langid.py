@@ -98,7 +98,8 @@ def learn(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     wanted = rows.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
-    picked = rows.join(wanted.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    ids = F.broadcast(wanted.select("doc_id", "lang").distinct())  # at most ``sample`` ids of each language
+    picked = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
