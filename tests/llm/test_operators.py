@@ -429,6 +429,8 @@ def test_pages(spark, odd):
     assert extract.main_text(PAGE) == f"A & Bé\nShort.\n{STORY}\nEnd"
     plain = f'<div id="menu"><a>one</a> <a>two</a></div><div><h1>Title</h1><p>{STORY}</p><p>{STORY}</p></div><div class="footer">x</div><p><a>next page</a></p>'
     assert extract.main_text(plain) == f"Title\n{STORY}\n{STORY}"
+    related = f'<div class="content-with-sidebar"><div class="post"><p>{STORY}</p></div></div><section class="related"><article><p>{STORY}</p></article></section>'
+    assert extract.main_text(related) == STORY
     for cut in range(0, len(PAGE), 7):
         extract.main_text(PAGE[:cut])
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>" * 3000), (4, "u", "<article>Tiny</article>"), (4, "u", "a < b &amp &#8364; &nbsp; c"), (5, "u", PAGE)]

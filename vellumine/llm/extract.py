@@ -39,10 +39,11 @@ BAD_NAMES = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu"
     " breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notification popup modal overlay newsletter"
     " subscribe subscription signup login share sharing social related recommended recommendations comment comments discussion"
-    " disqus respond reply replies widget pagination pager toolbar search copyright masthead topbar skip tags".split()
+    " disqus respond reply replies widget pagination pager toolbar search copyright masthead topbar skip tags alert alerts disclaimer cta trending popular".split()
 )
 OUTER_NAMES = {"header", "head", "top"}
-COMMENT_NAMES = set("comment comments discussion disqus respond reply replies".split())
+#: Words that make ``sidebar`` the name of a layout with one.
+LAYOUT_NAMES = {"has", "with", "content"}
 #: Stop words of six languages.
 STOPS = set(
     "the of and to in is that it was for on are as with be this by from or an at not have has but which his her they we you a i"
@@ -106,17 +107,18 @@ class Blocks(HTMLParser):
                 return
             given = {k: (v or "").lower() for k, v in attrs}
             names = set(re.split(r"[^a-z]+", given.get("class", "") + " " + given.get("id", "")))
-            comments = bool(names & COMMENT_NAMES)
-            if tag in ("article", "main") and not comments and not (bad and any(o[0] in BAD_TAGS or o[1] is None for o in self.open)):
-                bad, inside = False, True
+            if "sidebar" in names and names & LAYOUT_NAMES:
+                names = names - BAD_NAMES
+            named = bool(names & BAD_NAMES) or (not inside and bool(names & OUTER_NAMES))
+            if tag in ("article", "main") and not bad and not names & BAD_NAMES:
+                inside = True
                 self.regions += 1
                 region = self.regions
             else:
-                named = bool(names & BAD_NAMES) or (not inside and bool(names & OUTER_NAMES))
                 hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
                 tagged = tag in BAD_TAGS or (tag == "header" and not inside) or given.get("role", "") in BAD_ROLES
                 if not bad and (named or hidden or tagged):
-                    bad = None if comments else True  # None: reader comments, which may hold articles
+                    bad = True
                     self.regions += 1
                     region = self.regions
             self.open.append((tag, bad, inside, region))
@@ -159,9 +161,7 @@ def blocks_of(html: str) -> list[Block]:
 
 def first_pass(block: Block) -> bool | None:
     """True good, False bad, None ambiguous."""
-    if block.bad is not False:
-        return False
-    if block.linked > LINKED * len(block.text):
+    if block.bad or block.linked > LINKED * len(block.text):
         return False
     if len(block.text) >= LONG:
         words = WORD.findall(block.text.lower())
@@ -179,7 +179,7 @@ def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
         last: dict[int, tuple[int, bool]] = {}
         for i in order:
             near[i] = last.get(blocks[i].region)
-            if labels[i] is not None and blocks[i].bad is False:
+            if labels[i] is not None and not blocks[i].bad:
                 last[blocks[i].region] = (i, labels[i])
     articles = any(b.inside for b in blocks)
     good = any(x for x in labels)
