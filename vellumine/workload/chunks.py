@@ -352,6 +352,31 @@ for _name, _fn in [
     _typed(_name, _fn)
 
 
+_LOSSLESS = {
+    "technical": C.technical_chunks, "hr": C.hr_chunks, "project": C.project_chunks, "hybrid": C.hybrid_chunks,
+    "policy": C.policy_chunks, "compliance": C.article_chunks, "secondary": C.secondary_split,
+}
+_SPACES = lit("[" + X.ANY_SPACE_CLASS + "]+")
+
+
+@query(
+    "chunk_nothing_lost",
+    f"""WITH m AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM ({SQL_MARKDOWN_LINES}) GROUP BY doc_id)
+        SELECT doc_id, strategy, length(regexp_replace(text, {_SPACES}, '', 'g')) AS letters FROM m, (VALUES {", ".join(f"('{n}')" for n in _LOSSLESS)}) s(strategy)""",
+)
+def _nothing_lost(spark, sf):
+    """Characters that are no white space in all chunks of a document, by strategy: as many as the document has."""
+    d = markdown_docs(spark, sf)
+    bare = lambda t: F.length(F.regexp_replace(t, "[" + X.ANY_SPACE_CLASS + "]+", ""))
+
+    def letters(name, fn):
+        text = (lambda c: c) if name == "secondary" else (lambda c: c["text"])
+        return F.aggregate(F.transform(fn(F.col("text")), lambda c: bare(text(c))), F.lit(0), lambda a, b: a + b)
+
+    rows = F.array(*[F.struct(F.lit(n).alias("strategy"), letters(n, fn).cast("bigint").alias("letters")) for n, fn in _LOSSLESS.items()])
+    return d.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.strategy", "r.letters")
+
+
 def policy_docs(spark, sf):
     """Documents with short lines turned into numbered chapters and articles."""
     line = F.transform(
