@@ -52,5 +52,14 @@ def id_bucket(doc_id: Column, buckets: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % buckets
 
 
+def hash_sample(ids: DataFrame, group: str, sample: int) -> DataFrame:
+    """Of the different (doc_id, group) pairs about ``sample`` of each group, chosen by a hash of the id; all pairs of a
+    smaller group. Groups (labels, languages) are few: their sizes are broadcast. No task holds a group."""
+    once = ids.select("doc_id", group).distinct()
+    sizes = once.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    return once.join(F.broadcast(sizes), group).where(place * F.col("_n") < sample).select("doc_id", group)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)

@@ -9,7 +9,7 @@ Codewords: all two-sided splits of the languages while there are at most 5, else
 ``15 ceil(log2 languages)`` bits.
 
 Features: lower-cased text, bytes 1-, 2- and 3-grams hashed to ``FEATURES`` counts, square roots of their shares. Whole
-texts are read. Training takes at most ``sample`` labelled rows of each language (by hash of the id), each in whole.
+texts are read. Training takes about ``sample`` labelled rows of each language (by hash of the id), each in whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, not ambiguous; without a labelled row every
 text is ``und``; with one language every other text is of it.
@@ -26,9 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from vellumine.llm.common import map_arrow, sliced, texts_of
+from vellumine.llm.common import hash_sample, map_arrow, sliced, texts_of
 
 FEATURES = 1 << 12
 SAMPLE = 400
@@ -93,13 +92,11 @@ def fit(x: np.ndarray, languages: list[str], rounds: int = 300, rate: float = 8.
 
 
 def learn(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
-    """Model of the rows that meet ``train`` and have a language; at most ``sample`` of each language reach the driver,
+    """Model of the rows that meet ``train`` and have a language; about ``sample`` of each language reach the driver,
     as profiles of ``FEATURES`` numbers."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    wanted = rows.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
-    ids = F.broadcast(wanted.select("doc_id", "lang").distinct())  # at most ``sample`` ids of each language
-    picked = rows.join(ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
+    ids = F.broadcast(hash_sample(rows, "lang", sample))  # about ``sample`` ids of each language
+    picked = rows.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

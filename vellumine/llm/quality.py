@@ -7,10 +7,10 @@
 4. The kept rules are compiled to one Spark column: the logistic of the bias and the weights of the rules that hold.
 
 The texts are read once: statistics are narrow and go to the checkpoint folder, for training and for scoring. Training
-takes at most ``sample`` labelled rows (smallest hashes of the id), so its cost doesn't grow with the data.
+takes about ``sample`` labelled rows (by hash of the id), so its cost doesn't grow with the data.
 
 Defined cases: a null text has the statistics of the empty one and gets a score like any text; rows of ``labels`` that are
-null, or repeat an id, are used as they stand (each is a training row); without both labels in training every score is
+null are left out, and rows that repeat an id and label count once; without both labels in training every score is
 the share of label 1, or 0.5 without any.
 """
 
@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.llm.common import GAP, count_words, id_bucket
+from vellumine.llm.common import GAP, count_words, hash_sample, id_bucket
 from vellumine.session import cut_lineage
 
 SAMPLE = 20_000
@@ -108,7 +108,10 @@ def learn(
     """Rules from the statistics of the rows that ``labels`` (doc_id, label) marks."""
     names = [c for c in stats.columns if c.startswith("s_")]
     marked = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("double"))
-    rows = stats.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label", *names).limit(sample)
+    marked = marked.withColumn("_all", F.lit(0))
+    ids = F.broadcast(hash_sample(marked, "_all", sample).select("doc_id"))  # about ``sample`` ids
+    picked = F.broadcast(marked.join(ids, "doc_id", "left_semi").select("doc_id", "label").distinct())
+    rows = stats.join(picked, "doc_id").dropDuplicates(["doc_id", "label"]).orderBy(F.xxhash64("doc_id"), "doc_id", "label")
     rows = cut_lineage(rows.select("label", array_to_vector(F.array(*names)).alias("features"), *names))
     classes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(classes) < 2:

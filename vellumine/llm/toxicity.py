@@ -7,7 +7,7 @@ the label, else 1 to ``GRADES`` by how many different words with chosen features
 model ``P(grade <= k) = logistic(threshold_k - w x)`` shares one weight vector across ordered thresholds; its weights are
 fitted with an L1 penalty. It gives the probability of each grade, the expected severity, and the toxic decision.
 
-Training takes at most ``sample`` rows of each label (smallest hashes of the id), in whole; counting features over them
+Training takes about ``sample`` rows of each label (by hash of the id), in whole; counting features over them
 runs as a grouped aggregate, and the driver gets at most ``FEATURES`` chosen features and the rows' sparse values.
 
 Defined cases: a null or wordless text has no features and gets the model's base rate; without toxic rows in training all
@@ -24,9 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from vellumine.llm.common import map_arrow, sliced, texts_of
+from vellumine.llm.common import hash_sample, map_arrow, sliced, texts_of
 from vellumine.session import cut_lineage
 
 SAMPLE = 4000
@@ -91,10 +90,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, rounds: int
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_support: int = 5, least_odds: float = 2.5) -> Model:
     """``labels`` has doc_id and ``toxic`` (0 or 1)."""
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int")).distinct()
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = marked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).drop("_rank")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * sample ids
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int"))
+    picked = F.broadcast(hash_sample(marked, "toxic", sample))  # about 2 * sample ids
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id").dropDuplicates(["doc_id", "toxic"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
