@@ -62,3 +62,9 @@ def test_stages(spark):
         wanted[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
     assert Counter(map(tuple, after.collect())) == wanted
     assert Counter(map(tuple, corpus_pipeline.run(spark, FOLDER).collect())) == wanted
+
+
+def test_empty_tables(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
