@@ -128,10 +128,10 @@ def decode(model: Model, x: np.ndarray, margin: float = 0.1) -> tuple[np.ndarray
 
 def identify(docs: DataFrame, model: Model, margin: float = 0.1) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), ambiguous of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x bits numbers, whatever the data
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))  # FEATURES x bits numbers, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = Model(*sent.value)
         for batch in sliced(batches):
             texts = texts_of(batch)
             known = [i for i, t in enumerate(texts) if m.languages and LETTER.search(t)]

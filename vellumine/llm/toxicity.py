@@ -121,7 +121,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least_suppor
 
 def severity(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """doc_id, ``score`` (probability of any severity), ``severity`` (expected grade), ``grade`` (likeliest), ``predicted``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(model))  # at most FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, thresholds = sent.value
