@@ -37,7 +37,7 @@ from vellumine.llm.common import map_arrow, sliced, texts_of, worker_state
 WINDOW = 16
 CUT_BITS = 9
 CHUNK_BYTES = 24_000_000
-PIECE_COUNT = 450_000
+PIECE_COUNT = 250_000
 NEW_PIECES = 4096
 #: Characters whose new words go to the tokenizer together.
 GROUP_CHARS = 1_000_000

@@ -21,6 +21,8 @@ GAP = r"\x20\x09-\x0D"
 WORD = rf"[^{GAP}]+"
 #: Rows of one Arrow batch that a Python loop holds as objects.
 SLICE_ROWS = 256
+#: Rows of one batch that the JVM and a Python worker exchange.
+BATCH_ROWS = 1024
 
 
 def worker_state(name: str, build: Callable[[], Any]) -> Any:
@@ -62,4 +64,8 @@ def hash_sample(ids: DataFrame, group: str, sample: int) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows (a session setting), as rows here are whole texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)

@@ -126,4 +126,4 @@ def kept_documents(docs: DataFrame, least_words: int = 50, most_repeated: int =
                 good.append(not failed and verdict(len(data), *ratios(data, tool)) == "kept")
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

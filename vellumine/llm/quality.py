@@ -17,6 +17,7 @@ the share of label 1, or 0.5 without any.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -24,6 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.text import let
 from vellumine.llm.common import GAP, count_words, hash_sample, id_bucket
 from vellumine.session import cut_lineage
 
@@ -36,18 +38,18 @@ class Rules(NamedTuple):
     weights: list[float]
     bias: float
 
-    def score(self) -> Column:
-        """Probability of label 1, from the statistics' columns."""
+    def score(self, at: Callable[[str], Column] = F.col) -> Column:
+        """Probability of label 1; ``at`` gives a statistic by its name."""
         total = F.lit(self.bias)
         for rule, weight in zip(self.conditions, self.weights):
-            total = total + F.when(holds(rule), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(holds(rule, at), F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def holds(rule: tuple[tuple[str, str, float], ...]) -> Column:
+def holds(rule: tuple[tuple[str, str, float], ...], at: Callable[[str], Column] = F.col) -> Column:
     test = F.lit(True)
     for name, sign, bound in rule:
-        test = test & (F.col(name) <= bound if sign == "<=" else F.col(name) > bound)
+        test = test & (at(name) <= bound if sign == "<=" else at(name) > bound)
     return test
 
 
@@ -149,5 +151,6 @@ def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, **set
     held_out = F.coalesce(id_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     seen = labels.where(~held_out & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
     model = learn(with_statistics(docs), seen, **settings)
-    made = docs.withColumns(statistics(F.col("text")))
-    return made.where(model.score() >= least).select(*docs.columns)
+    # The statistics are bound once per row: as plain columns the optimizer would copy them into every rule of the filter.
+    stats = F.struct(*[c.alias(n) for n, c in statistics(F.col("text")).items()])
+    return docs.where(let(stats, lambda s: model.score(lambda n: s[n])) >= least)
