@@ -1,9 +1,10 @@
-"""Streaming forms of the log rules. Watermarks only bound state."""
+"""Streaming forms of the log rules. Watermarks bound state: a key's state goes when its last event is too old to matter."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,78 +43,91 @@ def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", t
     return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "events")
 
 
-def _keyed_log(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    return events.select(F.col(key).cast("bigint").alias("key"), F.col(tie).cast("bigint").alias("id"), t.alias("t"))
+def _keyed_log(events: DataFrame, key: str, ts: str, tie: str, lateness: str) -> DataFrame:
+    t = F.unix_micros(F.col(ts))
+    return _watermarked(events, ts, lateness).select(F.col(key).alias("key"), F.col(tie).alias("id"), F.col(ts).alias("at"), t.alias("t"))
 
 
-def rate_limits(events: DataFrame, period: int, max_calls: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """(key, id, calls, limited): sliding log per key. State keeps only the last ``period`` of calls."""
-    span = period * 1_000_000
+def _stateful(
+    log: DataFrame, span: int, out: str, held: str, step: Callable[[np.ndarray, tuple | None], tuple[dict, tuple]]
+) -> DataFrame:
+    """Runs ``step(times in order, state)`` for each key and micro-batch; gives (key, id) and the step's columns.
+
+    Events of a key meet in time order within a micro-batch. State goes once the watermark has passed the key's last event by
+    ``span``, when it can no longer matter.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema.fields}
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         frames = [b for b in batches if len(b)]
         if not frames:
             return
         new = pd.concat(frames).sort_values(["t", "id"])
-        calls = []
-        for at in new["t"]:
-            held = [h for h in held if h >= at - span]
-            held.append(int(at))
-            calls.append(len(held))
-        state.update((held,))
-        yield pd.DataFrame({"key": k[0], "id": new["id"], "calls": calls, "limited": [c > max_calls for c in calls]})
-
-    return _keyed_log(events, key, ts, tie).groupBy("key").applyInPandasWithState(
-        step, "key bigint, id bigint, calls bigint, limited boolean", "held array<bigint>", "append", GroupStateTimeout.NoTimeout
+        columns, kept = step(new["t"].to_numpy(), tuple(state.get) if state.exists else None)
+        state.update(kept)
+        state.setTimeoutTimestamp(max((int(new["t"].iloc[-1]) + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"key": [k[0]] * len(new), "id": new["id"].to_numpy(), **columns})
+
+    return log.groupBy("key").applyInPandasWithState(
+        run, f"key {kinds['key']}, id {kinds['id']}, {out}", held, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def rate_limits(
+    events: DataFrame, period: int, max_calls: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id", lateness: str = "10 minutes"
+) -> DataFrame:
+    """(key, id, calls, limited): sliding log per key. State keeps only the last ``period`` of calls."""
+    span = period * 1_000_000
+
+    def step(times: np.ndarray, state: tuple | None) -> tuple[dict, tuple]:
+        before = np.array(state[0] if state else [], np.int64)
+        every = np.sort(np.concatenate([before, times]))
+        # Equal times count as they come: an event sees those placed before it and itself.
+        place = np.searchsorted(every, times, "left") + np.arange(len(times)) - np.searchsorted(times, times, "left") + 1
+        place += np.searchsorted(before, times, "right") - np.searchsorted(before, times, "left")
+        calls = place - np.searchsorted(every, times - span, "left")
+        held = every[np.searchsorted(every, times[-1] - span, "left") :]
+        return {"calls": calls, "limited": calls > max_calls}, (held.tolist(),)
+
+    return _stateful(_keyed_log(events, key, ts, tie, lateness), span, "calls bigint, limited boolean", "held array<bigint>", step)
+
+
 def lockouts(events: DataFrame, failure: Column, attempts: int = 5, period: int = 900, **names) -> DataFrame:
     return rate_limits(events.where(failure), period, attempts - 1, **names).where("limited")
 
 
-def token_buckets(events: DataFrame, seconds: int = 60, burst: int = 10, key: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def token_buckets(
+    events: DataFrame, seconds: int = 60, burst: int = 10, key: str = "user_id", ts: str = "ts", tie: str = "event_id", lateness: str = "10 minutes"
+) -> DataFrame:
     """(key, id, allowed): bucket opened by a key's first request; state is its start and use."""
     span = seconds * 1_000_000
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, used = state.get if state.exists else (None, 0)
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        new = pd.concat(frames).sort_values(["t", "id"])
-        allowed = []
-        for at in new["t"]:
-            if start is None or at - start >= span:
-                start, used = int(at), 0
-            used += 1
-            allowed.append(used <= burst)
-        state.update((start, used))
-        yield pd.DataFrame({"key": k[0], "id": new["id"], "allowed": allowed})
-
-    return _keyed_log(events, key, ts, tie).groupBy("key").applyInPandasWithState(
-        step, "key bigint, id bigint, allowed boolean", "start bigint, used bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    def step(times: np.ndarray, state: tuple | None) -> tuple[dict, tuple]:
+        start, used = state or (None, 0)
+        allowed = np.zeros(len(times), bool)
+        at = 0
+        while at < len(times):  # one turn per bucket
+            if start is None or times[at] - start >= span:
+                start, used = int(times[at]), 0
+            end = int(np.searchsorted(times, start + span, "left"))
+            allowed[at : at + max(0, burst - used)] = True
+            allowed[end:] = False
+            used += end - at
+            at = end
+        return {"allowed": allowed}, (start, used)
+
+    return _stateful(_keyed_log(events, key, ts, tie, lateness), span, "allowed boolean", "start bigint, used bigint", step)
 
 
-def reuse_hits(requests: DataFrame, key: str, ttl: int = 1800, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def reuse_hits(requests: DataFrame, key: str, ttl: int = 1800, ts: str = "ts", tie: str = "event_id", lateness: str = "10 minutes") -> DataFrame:
     """(key, id, hit): a request within ``ttl`` of the previous one with its key. One timestamp of state per key."""
+    span = ttl * 1_000_000
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        new = pd.concat(frames).sort_values(["t", "id"])
-        hits = []
-        for at in new["t"]:
-            hits.append(last is not None and at - last < ttl * 1_000_000)
-            last = int(at)
-        state.update((last,))
-        yield pd.DataFrame({"key": k[0], "id": new["id"], "hit": hits})
-
-    return _keyed_log(requests, key, ts, tie).groupBy("key").applyInPandasWithState(
-        step, "key bigint, id bigint, hit boolean", "last bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    def step(times: np.ndarray, state: tuple | None) -> tuple[dict, tuple]:
+        before = np.concatenate([[state[0] if state else times[0] - span], times[:-1]])
+        return {"hit": times - before < span}, (int(times[-1]),)
+
+    return _stateful(_keyed_log(requests, key, ts, tie, lateness), span, "hit boolean", "last bigint", step)
