@@ -63,8 +63,9 @@ def bm25(
     """Okapi BM25: (query_id, key, score, rank) of the best ``k`` chunks with a positive score.
 
     ``queries`` has an array column ``terms``; repeats count. Two scans of the chunks: term
-    statistics, then scoring, where the postings of the asked terms meet the broadcast query
-    terms before anything is shuffled. A frequent term therefore never becomes a hot key.
+    statistics, then scoring, where only postings of the asked terms go on. Query terms are
+    broadcast by adaptive execution while they are small in bytes; a larger set is a shuffle join,
+    whose frequent terms it splits.
     """
     tokens = K.search_tokens(F.col(text), stop)
     stats = cut_lineage(term_statistics(chunks, tokens))
