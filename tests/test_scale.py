@@ -77,7 +77,7 @@ def test_sessions(skewed):
     assert mine == sorted(want)
 
 
-@pytest.mark.parametrize("values", [[1.0] * 500 + [2.0, 3.0], list(range(1000)), [0.0] * 10 + [1e9], [5.0], [-3.0, -1.0, 0.0, 7.5]])
+@pytest.mark.parametrize("values", [[1.0] * 500 + [2.0, 3.0], list(range(1000)), [0.0] * 10 + [1e9], [-1e12, *range(900)], [-1e9, *([7.0] * 50), 1e15], [5.0], [-3.0, -1.0, 0.0, 7.5]])
 def test_exact_quantiles(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     got = {r["prob"]: r["quantile"] for r in scale.exact_quantiles(df, "v", [0.0, 0.5, 0.95, 1.0]).collect()}

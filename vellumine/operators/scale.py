@@ -105,8 +105,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles without a full sort or a per-group value map.
 
-    A monotone log scale around the approximate median assigns each value a histogram cell in
-    constant time; cell counts combine on the map side and locate the cell of every wanted
+    A monotone log scale on both sides of the approximate median, in units of the quartiles' distance so that no outlier
+    sets it, assigns each value a histogram cell in constant time; cell counts combine on the map side and locate the cell of every wanted
     rank; only the rows of those cells are then ranked, after equal values collapsed to a
     count. One row per (group, prob) with ``quantile``.
     """
@@ -115,14 +115,13 @@ def exact_quantiles(
     if not keys:
         keys, data = ["_all"], data.withColumn("_all", F.lit(0))
     stats = data.groupBy(*keys).agg(
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", 0.5).alias("_mid")
+        F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", [0.25, 0.5, 0.75]).alias("_q")
     )
-    unit = (
-        F.when(F.col("_mid") > F.col("_min"), F.col("_mid") - F.col("_min"))
-        .when(F.col("_max") > F.col("_min"), F.col("_max") - F.col("_min"))
-        .otherwise(1.0)
-    )
-    cell = F.floor(F.log1p((F.col("_v") - F.col("_min")) / unit) * resolution)
+    low, middle, high = (F.get("_q", F.lit(i)) for i in range(3))
+    unit = F.when(high > low, high - low).when(F.col("_max") > F.col("_min"), F.col("_max") - F.col("_min")).otherwise(1.0)
+    above = F.floor(F.log1p((F.col("_v") - middle) / unit) * resolution)
+    below = -F.floor(F.log1p((middle - F.col("_v")) / unit) * resolution) - 1
+    cell = F.when(F.col("_v") >= middle, above).otherwise(below)
     tagged = data.join(stats, keys).select(*keys, "_v", cell.alias("_cell"))
     sizes = tagged.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_cell")
