@@ -15,6 +15,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters between words, and a run of others.
 GAP = r"\x20\x09-\x0D"
@@ -63,7 +64,7 @@ def hash_sample(ids: DataFrame, group: str, sample: int) -> DataFrame:
     return once.join(F.broadcast(sizes), group).where(place * F.col("_n") < sample).select("doc_id", group)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows (a session setting), as rows here are whole texts."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
