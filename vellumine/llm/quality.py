@@ -114,6 +114,7 @@ def learn(
     ids = F.broadcast(hash_sample(marked, "_all", sample).select("doc_id"))  # about ``sample`` ids
     picked = F.broadcast(marked.join(ids, "doc_id", "left_semi").select("doc_id", "label").distinct())
     rows = stats.join(picked, "doc_id").dropDuplicates(["doc_id", "label"]).orderBy(F.xxhash64("doc_id"), "doc_id", "label")
+    rows = rows.coalesce(8)  # about ``sample`` narrow rows, read again by every step of the training
     rows = cut_lineage(rows.select("label", array_to_vector(F.array(*names)).alias("features"), *names))
     classes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(classes) < 2:
