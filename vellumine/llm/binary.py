@@ -35,6 +35,8 @@ from vellumine.llm.common import map_arrow, sliced, texts_of
 
 MAGIC = b"EFT1"
 SAMPLE = 256
+#: Words that a worker's dictionary holds before it starts a new one (about 200 bytes each, twice).
+WORDS = 700_000
 HEAD = "<4sBBHQQQ"
 
 
@@ -128,7 +130,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 0, shard
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, "words")
+        e = encoder(path, "words", WORDS)
         ids, documents, held, before = [], [], 0, 0
 
         def shard(part: int) -> pa.RecordBatch:

@@ -234,14 +234,14 @@ def pieces(data: bytes) -> list[bytes]:
     return data.replace(b" ", b"\0 ").replace(b"\n", b"\0\n").split(b"\0")
 
 
-def encoder(path: str, name: str) -> ChunkEncoder:
+def encoder(path: str, name: str, piece_count: int = PIECE_COUNT) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file."""
 
     def build() -> ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads would only wait
         from tokenizers import Tokenizer
 
-        return ChunkEncoder(Tokenizer.from_file(path), ODD_SPACE)
+        return ChunkEncoder(Tokenizer.from_file(path), ODD_SPACE, piece_count=piece_count)
 
     return worker_state(f"{name}:{path}", build)
 
