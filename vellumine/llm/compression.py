@@ -1,9 +1,12 @@
 """Quality rules: compression bands.
 
-Each text is compressed whole, and in fixed chunks of ``CHUNK`` bytes, with zstandard. The ratio of its bytes to its
-compressed bytes must lie inside the band of its length: above the band it is repetitive, below it is incompressible (noise,
-encoded data). A text also goes if half of its chunks or more lie outside the chunks' band on one side,
-which a ratio over the whole text can miss. Before the bands, base rules reject texts that are too short or repeat 3-word windows.
+Each text is compressed whole, and in fixed chunks of ``CHUNK`` bytes (texts of few chunks: smaller ones, ``CHUNKS``), with
+zstandard. The ratio of its bytes to its compressed bytes must lie inside the band of its length: above the band it is
+repetitive, below it is incompressible (noise, encoded data). A text also goes if chunks with half of its bytes or more lie
+outside the band of a chunk's length on one side, which a ratio over the whole text can miss. Chunks are laid from the start
+and again from the end, and the greater share counts, so the order of the parts doesn't decide; a rest below half a chunk
+belongs to the last one, so every byte lies in a tested chunk. Before the bands, base rules reject texts that are too short or
+repeat 3-word windows.
 
 All is computed in one pass over Arrow batches; nothing is shuffled.
 
@@ -30,7 +33,9 @@ BANDS = (
 #: Least and greatest ratio of a chunk.
 CHUNK = 4096
 CHUNK_BAND = (1.15, 4.5)
-#: Share of a text's chunks outside the band that rejects it.
+#: Bytes of a text below, bytes of its chunks.
+CHUNKS = ((4096, 512), (16384, 1024), (float("inf"), CHUNK))
+#: Share of a text's bytes, in chunks outside the band, that rejects it.
 CHUNK_SHARE = 0.5
 LEVEL = 3
 SYMBOLS = b"#*$%&|<>"
@@ -67,17 +72,37 @@ def repeated_words(words: list[bytes], size: int = 3) -> int:
     return int(covered.sum())
 
 
+def cuts(n_bytes: int) -> list[int]:
+    """Borders of a text's chunks: the last takes a rest below half a chunk."""
+    size = next(c for below, c in CHUNKS if n_bytes < below)
+    n = max(1, (n_bytes + size // 2) // size)
+    return [*range(0, n * size, size), n_bytes]
+
+
 def ratios(data: bytes, tool: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Ratio of the whole text, and the shares of its chunks above and below the chunks' band."""
-    whole = len(data) / len(tool.compress(data)) if data else 0.0
-    each = [CHUNK / len(tool.compress(data[i : i + CHUNK])) for i in range(0, len(data) - CHUNK + 1, CHUNK)]
-    n = max(1, len(each))
-    return whole, sum(r > CHUNK_BAND[1] for r in each) / n, sum(r < CHUNK_BAND[0] for r in each) / n
+    """Ratio of the whole text, and the shares of its bytes in chunks above and below the chunks' band."""
+    n = len(data)
+    whole = n / len(tool.compress(data)) if data else 0.0
+    borders = cuts(n)
+    above = below = 0
+    for laid in (borders, [n - x for x in reversed(borders)]) if len(borders) > 2 else ():
+        high = low = 0
+        for start, end in zip(laid, laid[1:]):
+            least, most = CHUNK_BAND if end - start >= CHUNK else band(end - start)
+            ratio = (end - start) / len(tool.compress(data[start:end]))
+            high += (ratio > most) * (end - start)
+            low += (ratio < least) * (end - start)
+        above, below = max(above, high), max(below, low)
+    return whole, above / max(1, n), below / max(1, n)
+
+
+def band(n_bytes: int) -> tuple[float, float]:
+    return next(b[1:] for b in BANDS if n_bytes < b[0])
 
 
 def verdict(n_bytes: int, whole: float, above: float, below: float) -> str:
     """``repetitive``, ``incompressible`` or ``kept``."""
-    _, least, most = next(b for b in BANDS if n_bytes < b[0])
+    least, most = band(n_bytes)
     if whole > most or above >= CHUNK_SHARE:
         return "repetitive"
     return "incompressible" if whole < least or below >= CHUNK_SHARE else "kept"
