@@ -1,5 +1,6 @@
 """Compression bands: every byte lies in a tested chunk."""
 
+import base64
 import random
 
 import pytest
@@ -33,3 +34,29 @@ def test_order_of_the_halves_does_not_decide(n):
     clean, again = prose(n // 2 - 50, rng), (b"same words again " * n)[: n - n // 2 + 50]
     assert judge(clean) == "kept"
     assert judge(again + clean) == judge(clean + again) == "repetitive"
+
+
+LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize("n", [600, 1100, 3000, 4096, 9000, 13_500, 54_000, 270_000])
+def test_encoded_data_and_noise_go(n):
+    rng = random.Random(n)
+    encoded = base64.encodebytes(rng.randbytes(n))[:n]
+    letters = b" ".join(bytes(rng.choices(LETTERS, k=rng.randrange(3, 12))) for _ in range(n))[:n]
+    noise = bytes(rng.choices(range(32, 127), k=n))
+    assert judge(encoded) == judge(letters) == judge(noise) == "incompressible"
+    assert judge(prose(n, rng)) == "kept"
+
+
+def test_short_noise_goes():
+    rng = random.Random(7)
+    for n in (256, 300, 400, 511):
+        assert judge(bytes(rng.choices(range(32, 127), k=n))) == "incompressible"
+
+
+@pytest.mark.parametrize("n", [2000, 9000, 30_000])
+def test_half_encoded_text_goes(n):
+    rng = random.Random(n)
+    clean, encoded = prose(n // 2 - n // 20, rng), base64.encodebytes(rng.randbytes(n))[: n // 2 + n // 20]
+    assert judge(clean + encoded) == judge(encoded + clean) == "incompressible"
