@@ -4,7 +4,9 @@ A page becomes blocks: runs of text between block-level tags, with the number of
 (article, a boilerplate container, or the page) they stand in.
 
 Pass 1 decides blocks by themselves: boilerplate containers (menus, footers, sidebars, forms, notices, adverts, comments)
-and link-dense blocks are bad; long blocks with a usual density of stop words are good; all others are ambiguous.
+and link-dense blocks outside articles are bad; long blocks with a usual density of stop words are good; all others are
+ambiguous. A whole class or id (``comments``) marks a container; a part of a longer one (``comments-open``) marks none that is
+or holds an article or main element, or has most of the page's good text.
 Pass 2: an ambiguous block takes the label of the nearest decided block before or after it (the nearer wins, a good one on
 ties), looking no further than its own region; in a region without decided blocks it is good inside an article or main
 element, or if the page has neither and nothing good, when it isn't linked text.
@@ -32,7 +34,7 @@ BLOCKS = set(
     " tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("script style noscript template svg iframe object canvas audio video head title math".split())
+SILENT = set("script style noscript template svg iframe object canvas audio video head title".split())
 BAD_TAGS = set("nav footer aside form menu select button textarea dialog fieldset".split())
 BAD_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 BAD_NAMES = set(
@@ -61,19 +63,23 @@ SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "region", "bad", "inside")
+    __slots__ = ("text", "linked", "region", "bad", "inside", "parts")
 
-    def __init__(self, text: str, linked: int, region: int, bad: bool, inside: bool):
+    def __init__(self, text: str, linked: int, region: int, bad: bool, inside: bool, parts: tuple[int, ...] = ()):
         self.text, self.linked, self.region, self.bad, self.inside = text, linked, region, bad, inside
+        self.parts = parts  # containers that only parts of names mark
 
 
 class Blocks(HTMLParser):
     """Blocks of a page in order."""
 
-    def __init__(self):
+    def __init__(self, cleared: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.cleared, self.count = cleared, 0  # start tags, by number, that parts of names don't mark
+        self.marked: set[int] = set()
+        self.holds: set[int] = set()  # marked ones with an article or main element
         self.found: list[Block] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, boilerplate, inside an article, region
+        self.open: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # tag, boilerplate, inside an article, region, marks
         self.silent: list[str] = []
         self.parts: list[str] = []
         self.linked, self.in_link, self.regions = 0, False, 0
@@ -81,8 +87,8 @@ class Blocks(HTMLParser):
     def close_block(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, bad, inside, region = self.open[-1] if self.open else ("", False, False, 0)
-            self.found.append(Block(text, self.linked, region, bad, inside))
+            _, bad, inside, region, parts = self.open[-1] if self.open else ("", False, False, 0, ())
+            self.found.append(Block(text, self.linked, region, bad, inside, parts))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -101,27 +107,39 @@ class Blocks(HTMLParser):
                 return
             while self.open and self.open[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and tag != "button":
                 self.open.pop()  # a block ends an open paragraph
-            _, bad, inside, region = self.open[-1] if self.open else ("", False, False, 0)
+            _, bad, inside, region, parts = self.open[-1] if self.open else ("", False, False, 0, ())
+            self.count += 1
             if tag in ("html", "body"):
-                self.open.append((tag, bad, inside, region))
+                self.open.append((tag, bad, inside, region, parts))
                 return
             given = {k: (v or "").lower() for k, v in attrs}
-            names = set(re.split(r"[^a-z]+", given.get("class", "") + " " + given.get("id", "")))
+            given_names = (given.get("class", "") + " " + given.get("id", "")).split()
+            names = set(re.split(r"[^a-z]+", " ".join(given_names)))
             if "sidebar" in names and names & LAYOUT_NAMES:
-                names = names - BAD_NAMES
-            named = bool(names & BAD_NAMES) or (not inside and bool(names & OUTER_NAMES))
-            if tag in ("article", "main") and not bad and not names & BAD_NAMES:
-                inside = True
-                self.regions += 1
-                region = self.regions
+                names, given_names = names - BAD_NAMES, []
+            outer = set() if inside else OUTER_NAMES
+            whole = not (BAD_NAMES | outer).isdisjoint(given_names)
+            if tag in ("article", "main") and BAD_NAMES.isdisjoint(given_names):
+                self.holds.update(parts)
+                if not bad:
+                    inside = True
+                    self.regions += 1
+                    region = self.regions
             else:
                 hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
                 tagged = tag in BAD_TAGS or (tag == "header" and not inside) or given.get("role", "") in BAD_ROLES
-                if not bad and (named or hidden or tagged):
+                part = bool(names & (BAD_NAMES | outer)) and self.count not in self.cleared
+                sure = whole or hidden or tagged
+                if sure:
+                    parts = (*parts, -1)
+                elif part:
+                    parts = (*parts, self.count)
+                    self.marked.add(self.count)
+                if not bad and (sure or part):
                     bad = True
                     self.regions += 1
                     region = self.regions
-            self.open.append((tag, bad, inside, region))
+            self.open.append((tag, bad, inside, region, parts))
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
@@ -152,22 +170,46 @@ class Blocks(HTMLParser):
 
 
 def blocks_of(html: str) -> list[Block]:
-    parser = Blocks()
-    parser.feed(CUT_TAG.sub("", html))
-    parser.close()
-    parser.close_block()
-    return parser.found
+    cleared: frozenset[int] = frozenset()
+    while True:
+        parser = Blocks(cleared)
+        parser.feed(CUT_TAG.sub("", html))
+        parser.close()
+        parser.close_block()
+        wrong = overruled(parser)
+        if not wrong:
+            return parser.found
+        cleared |= wrong  # grows by tags of the page, so this ends
+
+
+def overruled(parser: Blocks) -> set[int]:
+    """Containers marked by parts of names that hold an article or main element, or most of the page's good text."""
+    if not parser.marked:
+        return set()
+    total, inner = 0, dict.fromkeys(parser.marked, 0)
+    for block in parser.found:
+        if -1 not in block.parts and usual_text(block):
+            total += len(block.text)
+            for i in block.parts:
+                inner[i] += len(block.text)
+    return {i for i, n in inner.items() if i in parser.holds or 2 * n > total}
+
+
+def usual_text(block: Block) -> bool:
+    """Long, not linked, with a usual density of stop words."""
+    if len(block.text) < LONG or block.linked > LINKED * len(block.text):
+        return False
+    words = WORD.findall(block.text.lower())
+    return bool(words) and sum(w in STOPS for w in words) >= STOP_SHARE * len(words)
 
 
 def first_pass(block: Block) -> bool | None:
     """True good, False bad, None ambiguous."""
-    if block.bad or block.linked > LINKED * len(block.text):
+    if block.bad:
         return False
-    if len(block.text) >= LONG:
-        words = WORD.findall(block.text.lower())
-        if words and sum(w in STOPS for w in words) >= STOP_SHARE * len(words):
-            return True
-    return None
+    if block.linked > LINKED * len(block.text):
+        return None if block.inside else False
+    return True if usual_text(block) else None
 
 
 def second_pass(blocks: list[Block], labels: list[bool | None]) -> list[bool]:
