@@ -232,10 +232,11 @@ class PqIndex:
             model = KMeans(k=min(256, n), seed=seed + m, featuresCol="_f", predictionCol=f"c{m}", maxIter=5).fit(features)
             self.codebooks.append(np.array(model.clusterCenters()))
             coded = model.transform(features).drop("_s", "_f")
+        self.vectors = corpus.select(F.col(corpus_id).alias("id"), F.col(vector).alias("v"))
         self.codes = coded.select("id", F.array(*[F.col(f"c{m}") for m in range(self.parts)]).alias("codes"))
 
-    def search(self, queries: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
-        """Asymmetric distance by table lookup, in blocks as in exact search."""
+    def search(self, queries: DataFrame, k: int, query_id: str = "query_id", rerank: int | None = None) -> DataFrame:
+        """Asymmetric distance by table lookup, in blocks as in exact search; the best ``rerank`` are ranked by true distance."""
         books, width, parts = self.codebooks, self.width, self.parts
 
         def score(codes: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -244,8 +245,12 @@ class PqIndex:
 
         rows = self.codes.select("id", F.col("codes").cast("array<double>").alias("v"))
         asked = queries.select(F.col(query_id).alias("id"), F.col(self.vector).alias("v"))
-        found = _blocked(rows, asked, k, True, score, same_width=False)
-        return top_k(found, ["query_id"], [F.round("score", ORDER_DIGITS), F.col("id")], k)
+        order = [F.round("score", ORDER_DIGITS), F.col("id")]
+        found = top_k(_blocked(rows, asked, max(k, rerank or k), True, score, same_width=False), ["query_id"], order, max(k, rerank or k))
+        if rerank:
+            met = found.select("query_id", "id").join(self.vectors, "id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+            found = top_k(met.select("query_id", "id", V.l2(F.col("q"), F.col("v")).alias("score")), ["query_id"], order, k)
+        return found
 
 
 class LshIndex:
