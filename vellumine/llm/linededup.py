@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumine.session import shared_folder
+from vellumine.session import cut_lineage, shared_folder
 
 #: White space at the ends of a line.
 ENDS = " \t\n\x0b\x0c\r"
@@ -52,7 +52,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     counts = held.groupBy("h1", "h2").agg(
         F.count_distinct("doc_id").alias("ids"), F.max("doc_id").alias("keeper"), F.max(F.col("doc_id").isNull().cast("int")).alias("blank")
     )
-    common = counts.where(F.col("ids") + F.col("blank") >= least_docs).select("h1", "h2", "keeper")
+    # cut off from the counts' own shuffle: a join splits hot keys only where both sides are shuffled for it
+    common = cut_lineage(counts.where(F.col("ids") + F.col("blank") >= least_docs).select("h1", "h2", "keeper"))
     gone = held.join(common, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("doc_id", "gone_id")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("version"))
