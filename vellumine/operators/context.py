@@ -193,8 +193,9 @@ def generate(prompts: DataFrame, model: Callable[[list[str]], list[str]] = first
             took = (time.perf_counter() - start) * 1000 / max(len(batch), 1)
             yield pd.DataFrame({"key": batch["key"], "prompt": batch["prompt"], "answer": answers, "generation_ms": took})
 
-    rows = prompts.select(F.col(key).cast("bigint").alias("key"), F.col(prompt).alias("prompt"))
-    made = rows.mapInPandas(run, "key bigint, prompt string, answer string, generation_ms double")
+    rows = prompts.select(F.col(key).alias("key"), F.col(prompt).alias("prompt"))
+    kind = rows.schema["key"].dataType.simpleString()
+    made = rows.mapInPandas(run, f"key {kind}, prompt string, answer string, generation_ms double")
     return made.select(
         F.col("key").alias(key), "answer", K.estimate_tokens_budget(F.col("prompt")).alias("prompt_tokens"),
         K.estimate_tokens_budget(F.col("answer")).alias("answer_tokens"), "generation_ms",

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions import vectors as V
@@ -80,7 +80,45 @@ def _packed(rows: DataFrame, block_rows: int, prefix: str) -> DataFrame:
                         names=[f"{prefix}_ids", f"{prefix}_v", f"{prefix}_width"],
                     )
 
-    return rows.where("v IS NOT NULL").mapInArrow(pack, f"{prefix}_ids array<{kind}>, {prefix}_v array<double>, {prefix}_width int")
+    # Sorted, so that a task that runs again after a loss makes the same blocks.
+    return rows.where("v IS NOT NULL").sortWithinPartitions("id").mapInArrow(pack, f"{prefix}_ids array<{kind}>, {prefix}_v array<double>, {prefix}_width int")
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate for the optimised plan; runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
+#: Cells of the grid for each shuffle partition, so that hashing spreads them evenly.
+CELLS_PER_PARTITION = 4
+
+
+def met_blocks(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every block of the corpus with every block of queries; blocks have ``c_ids`` and ``q_ids``.
+
+    A query side that Spark estimates below its broadcast limit is broadcast. Else both are dealt to a grid, as in a
+    two-dimensional matrix product: a corpus block lies in one of ``r`` rows and goes to all ``c`` columns, a query block in
+    one column and goes to all rows; they meet in r x c cells of about equal size, so no key holds all pairs. ``r : c`` follows
+    the sides' sizes, which minimises the bytes sent.
+    """
+    spark = corpus.sparkSession
+    if estimated_bytes(queries) <= broadcast_limit(spark):
+        return corpus.crossJoin(queries)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = CELLS_PER_PARTITION * tasks
+    share = max(estimated_bytes(queries), 1) / max(estimated_bytes(corpus), 1)
+    columns = min(cells, max(1, round((cells * share) ** 0.5)))
+    rows = max(1, -(-cells // columns))
+    line = F.pmod(F.xxhash64("c_ids"), F.lit(rows)).cast("int")
+    place = F.pmod(F.xxhash64("q_ids"), F.lit(columns)).cast("int")
+    left = corpus.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: line * columns + j)))
+    right = queries.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: i * columns + place)))
+    # A stated number of partitions: merged by their bytes, which are few, the products would end in few tasks.
+    return left.repartition(tasks, "_cell").join(right.repartition(tasks, "_cell"), "_cell").drop("_cell")
 
 
 def _blocked(
@@ -92,9 +130,7 @@ def _blocked(
     A task keeps the best ``k`` per query over the blocks it sees, so pairs never become rows; what it holds is written out
     when it exceeds ``HELD_CANDIDATES``. Ids keep their type.
     """
-    pairs = _packed(corpus, block_rows, "c").crossJoin(_packed(queries, block_rows, "q"))
-    if same_width:
-        pairs = pairs.where("c_width = q_width")
+    pairs = met_blocks(_packed(corpus, block_rows, "c"), _packed(queries, block_rows, "q"))
     kinds = (queries.schema["id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +148,8 @@ def _blocked(
             for i in range(batch.num_rows):
                 c_ids, asked = batch.column("c_ids")[i].values, batch.column("q_ids")[i].values
                 id_type = c_ids.type
+                if same_width and batch.column("c_width")[i].as_py() != batch.column("q_width")[i].as_py():
+                    continue
                 c = batch.column("c_v")[i].values.to_numpy().reshape(-1, batch.column("c_width")[i].as_py())
                 q = batch.column("q_v")[i].values.to_numpy().reshape(-1, batch.column("q_width")[i].as_py())
                 ids, names = np.array(c_ids.to_pylist()), np.array(asked.to_pylist())
@@ -271,7 +309,7 @@ class LshIndex:
         """Buckets are matched against the broadcast queries, so a crowded bucket is filtered
         where it lies and pairs among corpus rows never arise."""
         wanted = self._hashed(_features(queries, self.vector)).select(
-            F.col(query_id).cast("bigint").alias("query_id"), F.col(self.vector).alias("q"), F.posexplode("hashes").alias("t", "h")
+            F.col(query_id).alias("query_id"), F.col(self.vector).alias("q"), F.posexplode("hashes").alias("t", "h")
         )
         cells = self.table.select("id", "v", F.posexplode("hashes").alias("t", "h"))
         pairs = cells.join(wanted, ["t", "h"])

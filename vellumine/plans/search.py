@@ -1,4 +1,4 @@
-"""Whole retrieval plans over many queries: hybrid search and the enhanced answer plan."""
+"""Hybrid search over many queries."""
 
 from __future__ import annotations
 
@@ -11,11 +11,9 @@ from vellumine import settings as S
 from vellumine.functions import rules as R
 from vellumine.functions import tokens as K
 from vellumine.functions import vectors as V
-from vellumine.operators import context as O
 from vellumine.operators import knn as N
 from vellumine.operators import retrieval as RT
 from vellumine.operators import rewriting as W
-from vellumine.operators import validation as A
 from vellumine.session import cut_lineage
 
 
@@ -58,45 +56,3 @@ def hybrid_search(
         fused = ranked.select("query_id", key, F.col("rerank_score").alias("score"))
     kept = fused.where(F.col("score") >= threshold).join(limits, "query_id")
     return RT.threshold_top_k(kept, threshold, F.col("k"), key).select("query_id", key, "score", "rank")
-
-
-def enhanced_answers(
-    chunks: DataFrame, queries: DataFrame, *, key: str = "doc_id", text: str = "text", encode: Callable[[Column], Column] = stand_in,
-    scene: dict | None = None, ambiguous=S.AMBIGUOUS_WORDS, stop: Sequence[str] = S.GATE_STOP_WORDS,
-    model: Callable[[list[str]], list[str]] | None = None,
-) -> DataFrame:
-    """(query_id, route, tier, prompt, answer, citations) of every query.
-
-    Scene tags route a query to a direct answer or to multi-way retrieval (query and
-    hypotheses), best hit per document, quality gate, tier-dependent k, prompt. Weak results
-    ask for clarification. ``answer`` is null without a model.
-    """
-    tagged = queries.withColumn("_s", R.scene_tags(F.col("query"), False, **(scene or {})))
-    tagged = cut_lineage(tagged.select("query_id", "query", F.col("_s.tags").alias("tags"), R.route(F.col("_s.tags")).alias("route")))
-    searched = tagged.where("route <> 'direct_generation'")
-    texts = W.hypotheses(F.col("query"), ambiguous)
-    probes = searched.select(
-        "query_id", F.posexplode(F.concat(F.array("query"), F.when(F.array_contains("tags", "Ambiguous"), F.transform(texts, lambda h: h["text"])).otherwise(F.array().cast("array<string>")))).alias("n", "probe")
-    ).withColumn("probe_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("n").cast("string")))
-    probes = cut_lineage(probes)
-    vectors = chunks.select(key, encode(F.col(text)).alias("embedding"))
-    hits = N.knn(vectors, probes.select("probe_id", encode(F.col("probe")).alias("embedding")), 30, "cosine", corpus_id=key, query_id="probe_id").withColumnRenamed("id", key)
-    mapped = cut_lineage(
-        hits.withColumnRenamed("query_id", "probe_id").join(probes.select("probe_id", "query_id", "n"), "probe_id").where((F.col("n") == 0) | (F.col("rank") <= 10))
-    )
-    best = RT.multi_way([("vector", mapped.where("n = 0"), 1.0), ("hyde", mapped.where("n > 0"), 0.9)], key)
-    ranked = RT.top_k(best, ["query_id"], [F.round("score", 9).desc(), F.col(key)], RT.RERANK_CANDIDATES)
-    shown = chunks.select(key, F.col(text).alias("content")).join(cut_lineage(ranked), key)
-    shown = cut_lineage(shown.join(tagged.select("query_id", "query", "tags"), "query_id"))
-    gate = A.gate_scores(shown, stop=stop, temporal=F.array_contains("tags", "Temporal"))
-    tiers = cut_lineage(gate.select("query_id", A.gate_tier(F.col("overall")).alias("tier")))
-    chosen = RT.dynamic_k(shown, tiers)
-    prompts = O.generation_prompt(chosen, tags="tags")
-    refs = O.citations(chosen, key)
-    direct = tagged.where("route = 'direct_generation'").select("query_id", F.format_string("你是一个友好的AI助手。请回答用户的问题：\n用户：%s\n请给出友好、简洁的回答。", "query").alias("prompt"))
-    out = tagged.join(tiers, "query_id", "left").join(prompts.unionByName(direct), "query_id", "left").join(refs, "query_id", "left")
-    out = out.withColumn("route", F.when(F.col("tier") == "low", "clarify").otherwise(F.col("route")))
-    if model is None:
-        return out.select("query_id", "route", "tier", "prompt", F.lit(None).cast("string").alias("answer"), "citations")
-    answers = O.generate(out.where("prompt IS NOT NULL"), model).select("query_id", "answer")
-    return out.join(answers, "query_id", "left").select("query_id", "route", "tier", "prompt", "answer", "citations")

@@ -8,7 +8,7 @@ from vellumine.workload.registry import ORACLES, QUERIES
 
 MODULES = (
     "cleaning", "tokens", "labels", "chunks", "vectors", "retrieval", "rewriting",
-    "contexts", "checks", "metrics", "catalog", "dialogue", "logbook", "files",
+    "contexts", "checks", "metrics", "catalog", "dialogue", "logbook", "files", "enhanced",
 )
 
 

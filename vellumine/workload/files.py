@@ -10,7 +10,7 @@ from vellumine.plans import ingest as P
 from vellumine.plans import search as Q
 from vellumine.sources import sinks
 from vellumine.workload.chunks import fixed_chunks
-from vellumine.workload.labels import CATEGORIES, _SCENE
+from vellumine.workload.labels import CATEGORIES
 from vellumine.workload.registry import query, table
 from vellumine.workload.tokens import STOP, docs
 
@@ -37,12 +37,6 @@ def _hybrid(spark, sf):
     return hits.withColumn("score", F.round("score", 5))
 
 
-@query("enhanced_answers")
-def _enhanced(spark, sf):
-    out = Q.enhanced_answers(docs(spark, sf), _queries(spark, sf), scene=_SCENE, ambiguous={"thereof": ["that of"]}, stop=STOP)
-    return out.select("query_id", "route", "tier", "prompt")
-
-
 @query("evaluate_cases")
 def _evaluate(spark, sf):
     """Benchmark items as cases; a document that holds an item's whole text is relevant."""
