@@ -36,7 +36,7 @@ def test_sliced_row_number_and_lag(skewed):
 
 def test_rate_limit_and_token_buckets(skewed):
     rows, df = skewed
-    calls = {r["event_id"]: r["calls"] for r in L.rate_limit(df, 600, 5, slice_rows=97).collect()}
+    calls = {r["event_id"]: r["calls"] for r in L.rate_limit(df, 600, 5, slices=31).collect()}
     allowed = {r["event_id"]: r["allowed"] for r in L.token_buckets(df, 60, 2).collect()}
     for _, group in groupby(sorted(rows, key=lambda r: (r[1], r[2], r[0])), key=lambda r: r[1]):
         group = list(group)
@@ -50,11 +50,9 @@ def test_rate_limit_and_token_buckets(skewed):
             assert allowed[r[0]] == (used <= 2)
 
 
-def test_slices_of_a_hot_key_are_bounded(skewed):
+def test_transitions(skewed):
     rows, df = skewed
-    sizes = scale.time_slices(df, ["user_id"], F.col("sec"), slice_rows=100).groupBy("user_id", "_slice").count().collect()
-    assert sum(r["count"] for r in sizes) == len(rows) and max(r["count"] for r in sizes) < 200
-    changed = {r["event_id"] for r in L.state_transitions(df, slice_rows=64).collect()}
+    changed = {r["event_id"] for r in L.state_transitions(df, slices=47).collect()}
     for _, group in groupby(sorted(rows, key=lambda r: (r[1], r[2], r[0])), key=lambda r: r[1]):
         before = None
         for r in group:
@@ -62,9 +60,56 @@ def test_slices_of_a_hot_key_are_bounded(skewed):
             before = r[3]
 
 
+@pytest.fixture(scope="module")
+def burst(spark):
+    """A third of all rows in one second of one user, half of these at one instant; and rows that are equal in all columns."""
+    rng = random.Random(8)
+    rows = [(i, 0, 1_000_000 + (rng.randrange(1000) * 1000 if i % 2 else 0), rng.choice("abc")) for i in range(4000)]
+    rows += [(10_000 + i, rng.randrange(1, 9), rng.randrange(0, 4_000_000_000), rng.choice("abc")) for i in range(7000)]
+    rows += [(99_999, 3, 77, "a")] * 1000 + [(5, None, 1, "b"), (6, None, 2, "b")]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, us long, event_type string").repartition(6)
+    return rows, df.withColumn("ts", F.timestamp_micros(F.col("us") + 1704067200000000).cast("timestamp_ntz")).cache()
+
+
+@pytest.mark.parametrize("order", [["user_id", "us", "event_id"], ["user_id"]])
+def test_slices_of_a_burst_are_bounded(burst, order):
+    rows, df = burst
+    sizes = [r["count"] for r in scale.ordered_slices(df, order[:1], order[1:], 24).groupBy("_slice").count().collect()]
+    assert sum(sizes) == len(rows) and len(sizes) == 24 and max(sizes) < 3 * len(rows) / 24
+
+
+def test_burst_rates_and_sessions(burst):
+    rows, df = burst
+    calls = sorted(((r["user_id"] is None, r["user_id"]), r["event_id"], r["calls"]) for r in L.rate_limit(df, 1, 5, slices=24).collect())
+    want, sess, hits = [], [], 0
+    for user, group in groupby(sorted(rows, key=lambda r: ((r[1] is None, r[1]), r[2], r[0])), key=lambda r: r[1]):
+        group = list(group)
+        us = np.array([r[2] for r in group])
+        n = np.searchsorted(us, us, "right") - np.searchsorted(us, us - 1_000_000, "left")
+        want += [((user is None, user), r[0], int(c)) for r, c in zip(group, n)]
+        gaps = np.diff(us)
+        sess += [(user, int(k)) for k in np.diff(np.r_[0, np.flatnonzero(gaps >= 2_000_000) + 1, len(us)])]
+        hits += int((gaps < 2_000_000).sum())
+    assert calls == sorted(want)
+    key = lambda x: (x[0] is None, x)
+    assert sorted(((r["user_id"], r["events"]) for r in L.sessions(df, 2, slices=24).collect()), key=key) == sorted(sess, key=key)
+    assert L.reuse_statistics(df, "user_id", 2, slices=24).first()["hits"] == hits
+
+
+def test_small_groups_need_no_slices(burst, monkeypatch):
+    """Results do not depend on whether groups fit in a task."""
+    _, df = burst
+    assert "_slice" not in scale.ordered_slices(df, ["user_id"], ["us"]).columns
+    whole = [sorted(map(repr, f(df).collect())) for f in (lambda d: L.rate_limit(d, 1, 5).select("event_id", "calls"), lambda d: L.sessions(d, 2))]
+    monkeypatch.setattr(scale, "GROUP_ROWS", 500)
+    monkeypatch.setattr(L, "GROUP_ROWS", 500)
+    assert "_slice" in scale.ordered_slices(df, ["user_id"], ["us"]).columns
+    assert whole == [sorted(map(repr, f(df).collect())) for f in (lambda d: L.rate_limit(d, 1, 5).select("event_id", "calls"), lambda d: L.sessions(d, 2))]
+
+
 def test_sessions(skewed):
     rows, df = skewed
-    mine = sorted((r["user_id"], r["events"]) for r in L.sessions(df, 60, slice_rows=50).collect())
+    mine = sorted((r["user_id"], r["events"]) for r in L.sessions(df, 60, slices=60).collect())
     want = []
     for user, group in groupby(sorted(rows, key=lambda r: (r[1], r[2])), key=lambda r: r[1]):
         last, n = None, 0

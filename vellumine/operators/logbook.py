@@ -1,7 +1,7 @@
 """Event logs: queries, transitions, health, request re-use, rate rules in batch form.
 
-One user, entity or key may hold a third of all events, so per-key time logic works inside
-slices of time and carries only what crosses a slice border.
+One user, entity or key may hold a third of all events, within one second too, so per-key time logic works inside slices of
+equal row count and carries only what crosses a slice border.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine import settings as S
-from vellumine.operators.scale import SLICE_ROWS, sliced_lag, small_table, time_slices
+from vellumine.operators.scale import GROUP_ROWS, largest_group, ordered_slices, previous, running_sum, sliced_lag, small_table
 from vellumine.session import cut_lineage
 
 
@@ -47,10 +47,9 @@ def micros(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def state_transitions(logs: DataFrame, entity: str = "user_id", state: str = "event_type", ts: str = "ts", key: str = "event_id", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def state_transitions(logs: DataFrame, entity: str = "user_id", state: str = "event_type", ts: str = "ts", key: str = "event_id", slices: int | None = None) -> DataFrame:
     """Rows where the entity's state differs from its previous one."""
-    cut = time_slices(logs, [entity], micros(ts), slice_rows=slice_rows)
-    lagged = sliced_lag(cut, [entity], F.col("_slice"), [ts, key], [state]).drop("_t", "_low", "_width")
+    lagged = previous(ordered_slices(logs, [entity], [ts, key], slices), [entity], [ts, key], [state]).drop("_slice")
     return lagged.where(F.col(f"prev_{state}").isNull() | (F.col(f"prev_{state}") != F.col(state)))
 
 
@@ -88,12 +87,14 @@ def request_key(query: Column, size: int = 16, prefix: str = "retrieval:", **par
     return F.concat(F.lit(prefix), F.substring(F.sha2(body, 256), 1, size))
 
 
-def reuse_statistics(requests: DataFrame, key: str, ttl: int = 1800, ts: str = "ts", tie: str = "event_id", tokens: str | None = None) -> DataFrame:
+def reuse_statistics(
+    requests: DataFrame, key: str, ttl: int = 1800, ts: str = "ts", tie: str = "event_id", tokens: str | None = None, slices: int | None = None
+) -> DataFrame:
     """Hits, misses, hit rate and tokens saved: a request within ``ttl`` seconds of the previous
     one with its key is a hit. Totals come from partial sums."""
-    keep = time_slices(requests.select(key, ts, tie, *([tokens] if tokens else [])), [key], micros(ts))
-    lagged = sliced_lag(keep, [key], F.col("_slice"), [ts, tie], ["_t"])
-    gap = micros(ts) - F.col("prev__t")
+    keep = requests.select(key, micros(ts).alias("_t"), tie, *([tokens] if tokens else []))
+    lagged = previous(ordered_slices(keep, [key], ["_t", tie], slices), [key], ["_t", tie], ["_t"])
+    gap = F.col("_t") - F.col("prev__t")
     hit = F.coalesce(gap < ttl * 1_000_000, F.lit(False))
     total = F.count(F.lit(1))
     saved = [F.sum(F.when(hit, F.col(tokens)).otherwise(0)).alias("tokens_saved")] if tokens else []
@@ -110,21 +111,27 @@ def expiry_counts(items: DataFrame, created: str, ttl: int, at: Column) -> DataF
 
 
 def rate_limit(
-    events: DataFrame, period: int, max_calls: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id", slice_rows: int = SLICE_ROWS
+    events: DataFrame, period: int, max_calls: int, key: str = "user_id", ts: str = "ts", tie: str = "event_id", slices: int | None = None
 ) -> DataFrame:
     """Adds ``calls`` within the last ``period`` seconds and ``limited`` when over ``max_calls``.
 
-    A key's time is cut into as many slices as its rows ask for, none shorter than the period; rows of the last ``period``
-    of a slice are copied into the next as context, so each window frame is complete inside its slice.
+    Keys that fit in a task are counted by a window. Else calls at one instant are counted first. Each instant then stands in the order twice, as itself and as a probe where its
+    period begins; the difference of their running sums is the number of calls. Nothing is copied into other slices, so a
+    burst inside one period costs no more than other rows.
     """
-    span = period * 1_000_000
-    cut = time_slices(events, [key], micros(ts), span + 1, slice_rows)
-    tail = cut.where(F.pmod(F.col("_t") - F.col("_low"), "_width") >= F.col("_width") - span)
-    context = tail.select(key, "_t", (F.col("_slice") + 1).alias("_slice"), F.lit(0).alias("_real"))
-    rows = cut.withColumn("_real", F.lit(1)).unionByName(context, allowMissingColumns=True)
-    frame = Window.partitionBy(key, "_slice").orderBy("_t").rangeBetween(-period * 1_000_000, 0)
-    counted = rows.withColumn("calls", F.count(F.lit(1)).over(frame)).where(F.col("_real") == 1)
-    return counted.withColumn("limited", F.col("calls") > max_calls).drop("_t", "_low", "_width", "_slice", "_real")
+    timed = events.withColumn("_t", micros(ts))
+    if slices is None and largest_group(timed, [key]) <= GROUP_ROWS:
+        frame = Window.partitionBy(key).orderBy("_t").rangeBetween(-period * 1_000_000, 0)
+        return timed.withColumn("calls", F.count(F.lit(1)).over(frame)).withColumn("limited", F.col("calls") > max_calls).drop("_t")
+    counts = timed.groupBy(key, "_t").agg(F.count(F.lit(1)).alias("_n"))
+    at = lambda t, kind, n: F.struct(t.alias("_at"), F.lit(kind).alias("_kind"), n.alias("_m"))
+    ends = F.array(at(F.col("_t"), 1, F.col("_n")), at(F.col("_t") - period * 1_000_000, 0, F.lit(0).cast("bigint")))
+    placed = counts.select(key, "_t", F.explode(ends).alias("_e")).select(key, "_t", "_e.*")
+    summed = running_sum(ordered_slices(placed, [key], ["_at", "_kind"], slices), [key], ["_at", "_kind"], F.col("_m"), "_c")
+    upto = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_c")))
+    calls = summed.groupBy(F.col(key).alias("_key"), F.col("_t").alias("_moment")).agg((upto(1) - upto(0)).alias("calls"))
+    met = timed.join(calls, F.col(key).eqNullSafe(F.col("_key")) & F.col("_t").eqNullSafe(F.col("_moment")))
+    return met.withColumn("limited", F.col("calls") > max_calls).drop("_t", "_key", "_moment")
 
 
 def lockouts(events: DataFrame, failure: Column, attempts: int = 5, period: int = 900, key: str = "user_id", **names) -> DataFrame:
@@ -184,24 +191,17 @@ def token_buckets(events: DataFrame, seconds: int = 60, burst: int = 10, key: st
     return placed.select(key, tie, F.timestamp_micros("_start").cast("timestamp_ntz").alias("bucket_start"), (used <= burst).alias("allowed"))
 
 
-def sessions(events: DataFrame, gap: int = 1800, key: str = "user_id", ts: str = "ts", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def sessions(events: DataFrame, gap: int = 1800, key: str = "user_id", ts: str = "ts", slices: int | None = None) -> DataFrame:
     """(key, start, end, events): activity separated by at least ``gap`` quiet seconds.
 
-    Sessions are built inside slices of time first; only those partial sessions, far fewer than
-    events, are merged per key across slices.
+    A session begins where the event before is too far, and its number is a running sum of beginnings, so neither a key of
+    many sessions nor a session of many events meets in one task.
     """
     span = gap * 1_000_000
-    rows = time_slices(events.select(key, ts), [key], micros(ts), slice_rows=slice_rows).select(key, "_t", F.col("_slice").alias("_day"))
-
-    def number(df: DataFrame, groups: Sequence[str], start: str, reach: Column) -> DataFrame:
-        w = Window.partitionBy(*groups).orderBy(start)
-        fresh = F.coalesce(F.col(start) - reach.over(w.rowsBetween(Window.unboundedPreceding, -1)) >= span, F.lit(True))
-        return df.withColumn("_new", fresh.cast("int")).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    local = number(rows, [key, "_day"], "_t", F.max("_t"))
-    partial = local.groupBy(key, "_day", "_s").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.count(F.lit(1)).alias("_n")).drop("_s")
-    merged = number(partial, [key], "_a", F.max("_b"))
-    out = merged.groupBy(key, "_s").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("_n").alias("events"))
+    cut = ordered_slices(events.select(key, micros(ts).alias("_t")).withColumn("_at", F.col("_t")), [key], ["_t"], slices)
+    fresh = F.coalesce(F.col("_t") - F.col("prev__at") >= span, F.lit(True))
+    numbered = running_sum(previous(cut, [key], ["_t"], ["_at"]), [key], ["_t"], fresh.cast("bigint"), "_s")
+    out = numbered.groupBy(key, "_s").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.count(F.lit(1)).alias("events"))
     at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return out.select(key, at("_a").alias("start"), (at("_b") + F.expr(f"INTERVAL {int(gap)} SECONDS")).alias("end"), "events")
 

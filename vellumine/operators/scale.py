@@ -1,18 +1,19 @@
 """Building blocks that keep hot groups out of single tasks.
 
 A window by ``group`` puts a whole group in one task. When one group may hold a third of all
-rows these helpers cut it into slices of the ordering key, work inside (group, slice), and
-carry only one summary row per slice across.
+rows these helpers cut it into slices of the order, work inside (group, slice), and carry only
+one summary row per slice across.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellumine.session import cut_lineage
+
 
 def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A Python literal as a broadcast side: its size is the literal's."""
@@ -26,24 +27,58 @@ def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int |
     return ranked.where(F.col(rank) <= k)
 
 
-SLICE_ROWS = 100_000
 RUN_SLICES = 4096
 
 
-def time_slices(df: DataFrame, group: Sequence[str], moment: Column, least: int = 1, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds ``_t`` (the moment as a number), ``_width`` and ``_slice``: a group's span of time cut evenly into as many
-    slices as its number of rows asks for, none narrower than ``least``. Groups are counted by a map-side aggregate."""
+#: Rows of a group that one task holds.
+GROUP_ROWS = 100_000
+
+
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group, from map-side counts."""
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def ordered_slices(df: DataFrame, group: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """Adds ``_slice``: rows in the order of group and order, cut into slices of about equal row count.
+
+    Spark's range partitioner takes the cuts from a sample, by all these columns and, where they tie, by place; so a burst
+    of one group, even at one instant, is cut like any other rows. Written once to the checkpoint folder, as a sample taken
+    again would cut elsewhere. ``slices`` states a number. Without it the groups are counted first (a map-side aggregate): if
+    none has more than ``GROUP_ROWS`` rows, each fits in a task as it is, and no column is added.
+    """
+    if slices is None and largest_group(df, group) <= GROUP_ROWS:
+        return df
+    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    ranged = placed.repartitionByRange(*([slices] if slices else []), *group, *order, "_place")
+    return cut_lineage(ranged.drop("_place").withColumn("_slice", F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over the group's rows up to each row, across slices (``ordered_slices``), if there are any.
+
+    What the slices before hold enters each slice as one marker row that sorts first; a group has at most one row per slice
+    in the window that sums them.
+    """
     keys = list(group)
-    timed = df.withColumn("_t", moment)
-    stats = timed.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_t").alias("_low"), F.max("_t").alias("_high")
-    )
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    width = F.greatest(F.lit(least), F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / slice_rows))).cast("bigint")
-    joined = timed.join(stats, same).withColumn("_width", width).drop(*[f"_k{i}" for i in range(len(keys))], "_rows", "_high")
-    # A row without a moment stands in a slice before all others.
-    sliced = F.coalesce(F.floor((F.col("_t") - F.col("_low")) / F.col("_width")), F.lit(-1)).cast("bigint")
-    return joined.withColumn("_slice", sliced)
+    if "_slice" not in df.columns:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(upto))
+    rows = df.withColumn("_v", value)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_m"))
+    markers = totals.select(*keys, "_slice", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_v"), F.lit(0).alias("_real"))
+    upto = Window.partitionBy(*keys, "_slice").orderBy("_real", *order).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumn("_real", F.lit(1)).unionByName(markers, allowMissingColumns=True)
+    return both.withColumn(name, F.sum("_v").over(upto)).where("_real = 1").drop("_v", "_real")
+
+
+def previous(df: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Adds ``prev_<value>``: the value of the group's previous row, across slices (``ordered_slices``), if there are any."""
+    if "_slice" in df.columns:
+        return sliced_lag(df, group, F.col("_slice"), order, values, keep_slice=True)
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumns({f"prev_{v}": F.lag(v).over(w) for v in values})
 
 
 def sliced_row_number(
@@ -75,7 +110,7 @@ def sliced_row_number(
 
 
 def sliced_lag(
-    df: DataFrame, group: Sequence[str], slice_by: Column, order: Sequence[str], values: Sequence[str]
+    df: DataFrame, group: Sequence[str], slice_by: Column, order: Sequence[str], values: Sequence[str], keep_slice: bool = False
 ) -> DataFrame:
     """Adds ``prev_<value>``: the value of the previous row of the group, across slices.
 
@@ -97,7 +132,7 @@ def sliced_lag(
     w = Window.partitionBy(*keys, "_slice").orderBy("_real", *order)
     for v in values:
         rows = rows.withColumn(f"prev_{v}", F.lag(v).over(w))
-    return rows.where(F.col("_real") == 1).drop("_real", "_slice")
+    return rows.where(F.col("_real") == 1).drop("_real", *([] if keep_slice else ["_slice"]))
 
 
 def exact_quantiles(
