@@ -60,3 +60,21 @@ def test_half_encoded_text_goes(n):
     rng = random.Random(n)
     clean, encoded = prose(n // 2 - n // 20, rng), base64.encodebytes(rng.randbytes(n))[: n // 2 + n // 20]
     assert judge(clean + encoded) == judge(encoded + clean) == "incompressible"
+
+
+def test_bands_act_on_the_tables(spark):
+    """Beside the base rules the bands alone reject, mostly what labels call bad, and leave labelled good texts alone."""
+    folder = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = compression.quality_rules(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "reason", "base_failed").collect()
+    good = [r for r in rows if labels.get(r["doc_id"]) == 1 and not r["base_failed"]]
+    assert sum(r["reason"] == "kept" for r in good) >= 0.97 * len(good)
+    out = [r for r in rows if r["reason"] in ("repetitive", "incompressible")]
+    bad = [r for r in out if labels.get(r["doc_id"]) == 0]
+    assert len(out) >= 50 and len(bad) >= 10 * sum(labels.get(r["doc_id"]) == 1 for r in out)
+
+
+def test_spaced_hex_goes_from_16_kb_on():
+    rng = random.Random(4)
+    data = b" ".join(rng.randbytes(4).hex().encode() for _ in range(9000))
+    assert judge(data[:40_000]) == judge(data) == "incompressible"
