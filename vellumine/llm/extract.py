@@ -5,8 +5,10 @@ A page becomes blocks: runs of text between block-level tags, with the number of
 
 Pass 1 decides blocks by themselves: boilerplate containers (menus, footers, sidebars, forms, notices, adverts, comments)
 and link-dense blocks outside articles are bad; long blocks with a usual density of stop words are good; all others are
-ambiguous. A whole class or id (``comments``) marks a container; a part of a longer one (``comments-open``) marks none that is
-or holds an article or main element, or has most of the page's good text.
+ambiguous. Names of classes and ids mark containers, unless the page's text speaks against it (the page is then read again
+without the mark): a part of a longer name (``comments-open``) marks none that holds an article or main element or most of the
+page's good text; a whole name (``search``, ``post tags``) marks none that is or holds the only article or main element with good
+text and has most of it, nor one that has all of it, comments apart.
 Pass 2: an ambiguous block takes the label of the nearest decided block before or after it (the nearer wins, a good one on
 ties), looking no further than its own region; in a region without decided blocks it is good inside an article or main
 element, or if the page has neither and nothing good, when it isn't linked text.
@@ -46,6 +48,8 @@ BAD_NAMES = set(
 OUTER_NAMES = {"header", "head", "top"}
 #: Words that make ``sidebar`` the name of a layout with one.
 LAYOUT_NAMES = {"has", "with", "content"}
+#: Names of what readers write, which stays out even where it is all that a page has.
+READER_NAMES = set("comment comments discussion disqus respond reply replies".split())
 #: Stop words of six languages.
 STOPS = set(
     "the of and to in is that it was for on are as with be this by from or an at not have has but which his her they we you a i"
@@ -67,7 +71,7 @@ class Block:
 
     def __init__(self, text: str, linked: int, region: int, bad: bool, inside: bool, parts: tuple[int, ...] = ()):
         self.text, self.linked, self.region, self.bad, self.inside = text, linked, region, bad, inside
-        self.parts = parts  # containers that only parts of names mark
+        self.parts = parts  # containers that names mark
 
 
 class Blocks(HTMLParser):
@@ -75,9 +79,10 @@ class Blocks(HTMLParser):
 
     def __init__(self, cleared: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.cleared, self.count = cleared, 0  # start tags, by number, that parts of names don't mark
+        self.cleared, self.count = cleared, 0  # start tags, by number, that names don't mark
         self.marked: set[int] = set()
-        self.holds: set[int] = set()  # marked ones with an article or main element
+        self.named: dict[int, bool] = {}  # marked by whole names: whether those of readers
+        self.holds: set[int] = set()  # marked ones that hold, or are, an article or main element
         self.found: list[Block] = []
         self.open: list[tuple[str, bool, bool, int, tuple[int, ...]]] = []  # tag, boilerplate, inside an article, region, marks
         self.silent: list[str] = []
@@ -118,24 +123,31 @@ class Blocks(HTMLParser):
             if "sidebar" in names and names & LAYOUT_NAMES:
                 names, given_names = names - BAD_NAMES, []
             outer = set() if inside else OUTER_NAMES
-            whole = not (BAD_NAMES | outer).isdisjoint(given_names)
-            if tag in ("article", "main") and BAD_NAMES.isdisjoint(given_names):
+            free = self.count in self.cleared
+            whole = not free and not (BAD_NAMES | outer).isdisjoint(given_names)
+            main = tag in ("article", "main")
+            if main:
                 self.holds.update(parts)
+            if main and (free or BAD_NAMES.isdisjoint(given_names)):
                 if not bad:
                     inside = True
                     self.regions += 1
                     region = self.regions
             else:
                 hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-                tagged = tag in BAD_TAGS or (tag == "header" and not inside) or given.get("role", "") in BAD_ROLES
-                part = bool(names & (BAD_NAMES | outer)) and self.count not in self.cleared
-                sure = whole or hidden or tagged
+                sure = tag in BAD_TAGS or hidden or (tag == "header" and not inside) or given.get("role", "") in BAD_ROLES
+                part = not free and bool(names & (BAD_NAMES | outer))
                 if sure:
                     parts = (*parts, -1)
-                elif part:
+                elif whole or part:
                     parts = (*parts, self.count)
-                    self.marked.add(self.count)
-                if not bad and (sure or part):
+                    if whole:
+                        self.named[self.count] = not READER_NAMES.isdisjoint(given_names)
+                    else:
+                        self.marked.add(self.count)
+                    if main:
+                        self.holds.add(self.count)
+                if not bad and (sure or whole or part):
                     bad = True
                     self.regions += 1
                     region = self.regions
@@ -183,16 +195,25 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def overruled(parser: Blocks) -> set[int]:
-    """Containers marked by parts of names that hold an article or main element, or most of the page's good text."""
-    if not parser.marked:
+    """Containers that names mark against the page's text."""
+    if not parser.marked and not parser.named:
         return set()
-    total, inner = 0, dict.fromkeys(parser.marked, 0)
+    total, free, inner = 0, False, dict.fromkeys([*parser.marked, *parser.named], 0)
     for block in parser.found:
         if -1 not in block.parts and usual_text(block):
-            total += len(block.text)
+            names = [i for i in block.parts if i in parser.named]
+            free |= block.inside and not block.bad
+            total += 0 if names else len(block.text)
             for i in block.parts:
-                inner[i] += len(block.text)
-    return {i for i, n in inner.items() if i in parser.holds or 2 * n > total}
+                if i in parser.named or not names:
+                    inner[i] += len(block.text)
+    out = {i for i in parser.marked if i in parser.holds or 2 * inner[i] > total}
+    if not free:  # the largest of the wholly named ones against the text outside of them
+        most = max((n for i, n in inner.items() if i in parser.named), default=0)
+        for i, readers in parser.named.items():
+            if inner[i] == most > total and (i in parser.holds and not total if readers else i in parser.holds or not total):
+                out.add(i)
+    return out
 
 
 def usual_text(block: Block) -> bool:
