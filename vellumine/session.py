@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: State of timers and lists (``streaming/ttl.py``) needs this store.
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app: str = "vellumine", cores: str | int = "*") -> SparkSession:
@@ -25,6 +27,7 @@ def build_session(app: str = "vellumine", cores: str | int = "*") -> SparkSessio
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
         .getOrCreate()
     )
 

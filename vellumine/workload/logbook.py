@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumine.operators import logbook as L
 from vellumine.operators.catalog import keep_days, keep_recent
+from vellumine.streaming import ttl as T
 from vellumine.workload.registry import query, table
 
 
@@ -106,6 +107,16 @@ def _reuse(spark, sf):
     return r.withColumn("hit_rate", F.round("hit_rate", 6)).withColumn("tokens_saved", F.round("tokens_saved", 2))
 
 
+@query(
+    "store_events",
+    """WITH r AS (SELECT user_id % 50 AS key, ts, event_id, lag(ts) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS p FROM events)
+       SELECT key, ts AS at, event_id AS id, CASE WHEN ts - p < INTERVAL 30 MINUTE THEN 'hit' ELSE 'miss' END AS event FROM r
+       UNION ALL SELECT key, p + INTERVAL 30 MINUTE, NULL, 'expired' FROM r WHERE ts - p >= INTERVAL 30 MINUTE""",
+)
+def _store(spark, sf):
+    return T.batch_events(events(spark, sf).withColumn("k", F.col("user_id") % 50), "k", 1800)
+
+
 @query("expiry_counts", "SELECT count(*) FILTER (WHERE ts + INTERVAL 7200 SECOND >= TIMESTAMP '2024-01-15') AS active, count(*) FILTER (WHERE ts + INTERVAL 7200 SECOND < TIMESTAMP '2024-01-15') AS expired FROM events")
 def _expiry(spark, sf):
     return L.expiry_counts(events(spark, sf), "ts", 7200, F.lit("2024-01-15").cast("timestamp_ntz"))
