@@ -313,6 +313,43 @@ def redact_map(data: Column, keys: Sequence[str] = S.SECRET_KEYS) -> Column:
     return F.transform_values(data, lambda k, v: F.when(any_of(F.lower(k), keys), mask_value(v)).otherwise(v))
 
 
+HIDDEN = "******"
+
+
+def redact_json(text: Column, keys: Sequence[str] = S.SECRET_KEYS, depth: int = 8) -> Column:
+    """JSON text in which values under secret keys are hidden, at any place of nested objects and arrays.
+
+    A secret text is masked, a secret object is searched on, any other secret value becomes ``HIDDEN``; below ``depth`` levels
+    all objects and arrays do. Keys come out in alphabetical order. Text that isn't JSON gets the masks of ``mask_secrets``.
+    """
+    kind = lambda v: F.substring_index(F.schema_of_variant(v), "<", 1)
+    quoted = lambda c: F.to_json(c.cast("variant"))
+    pair = lambda k, v: F.struct(k.cast("string").alias("k"), v.alias("v"))
+
+    def walk(v: Column, levels: int) -> Column:
+        nested = kind(v).isin("OBJECT", "ARRAY")
+        if not levels:
+            return F.when(nested, quoted(F.lit(HIDDEN))).otherwise(F.to_json(v))
+
+        def piece(e: Column) -> Column:
+            secret = F.coalesce(any_of(F.lower(e["k"]), keys), F.lit(False))
+            shown = F.when(~secret | (kind(e["v"]) == "OBJECT"), walk(e["v"], levels - 1)).when(
+                kind(e["v"]) == "STRING", quoted(mask_value(e["v"].cast("string")))
+            )
+            return F.concat(F.coalesce(F.concat(quoted(e["k"]), F.lit(":")), F.lit("")), F.coalesce(shown, quoted(F.lit(HIDDEN))))
+
+        fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: pair(e["key"], e["value"]))
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: pair(F.lit(None), x))
+        inner = F.array_join(F.transform(F.coalesce(fields, items), piece), ",")
+        ends = lambda a, b: F.when(kind(v) == "OBJECT", a).otherwise(b)
+        return F.when(nested, F.concat(ends("{", "["), inner, ends("}", "]"))).otherwise(F.to_json(v))
+
+    def build(v: Column) -> Column:
+        return F.when(v.isNotNull(), walk(v, depth))
+
+    return F.coalesce(let(F.try_parse_json(text), build), mask_secrets(text))
+
+
 # --- expense entities and titles ------------------------------------------------------------
 
 # Slots of an expense question, prefixes and replacements of its short title.

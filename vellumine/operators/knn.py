@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import vectors as V
 from vellumine.operators.scale import top_k
+from vellumine.session import cut_lineage
 
 QUERY_BLOCK = 1024
 #: Candidates that a task holds before it writes them out.
@@ -357,16 +358,17 @@ def append_valid(vectors: DataFrame, path: str, dim: int, vector: str = "embeddi
     return vectors.where(~good)
 
 
-def encode_texts(df: DataFrame, text: str, encode, out: str = "embedding") -> DataFrame:
-    """Attach vectors, encoding each distinct text once.
+def encode_texts(df: DataFrame, key: str, text: str, encode: Callable[[Column], Column], out: str = "embedding") -> DataFrame:
+    """(key, vector), encoding each different text once.
 
-    ``encode`` maps a text Column to a vector Column: the built-in stand-in or a pandas UDF around
-    a model. The join back is on a digest, so texts are not shuffled twice.
+    ``encode`` maps a text Column to a vector Column (``models.text_encoder``, or an expression). A text meets its copies by a
+    digest on the map side and is shuffled once; vectors go back by digest to narrow rows, and as they are written first, that
+    join's side with many copies of one text is split. A null text has no vector.
     """
-    keyed = df.withColumn("_digest", F.sha2(F.col(text), 256))
-    distinct = keyed.groupBy("_digest").agg(F.any_value(text).alias("_text"))
-    vectors = distinct.select("_digest", encode(F.col("_text")).alias(out))
-    return keyed.join(vectors, "_digest", "left").drop("_digest")
+    digest = F.sha2(F.col(text), 256)
+    once = df.where(F.col(text).isNotNull()).groupBy(digest.alias("_digest")).agg(F.any_value(text).alias("_text"))
+    vectors = cut_lineage(once.select("_digest", encode(F.col("_text")).alias(out)))
+    return df.select(key, digest.alias("_digest")).join(vectors, "_digest", "left").select(key, out)
 
 
 def duplicate_documents(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -10,6 +10,7 @@ from vellumine.functions import rules as R
 from vellumine.functions import text as X
 from vellumine.functions import tokens as K
 from vellumine.functions import vectors as V
+from vellumine.functions.chunker import Chunker, chunk_table, register_chunker
 from vellumine.operators import chunking as C
 from vellumine.operators import structure as T
 from vellumine.workload.cleaning import sql_strip
@@ -33,6 +34,24 @@ def _fixed(spark, sf):
     )
 
 
+class Windows(Chunker):
+    """300 characters, every 250."""
+
+    def split(self, text):
+        return [text[i : i + 300] for i in range(0, len(text), 250)]
+
+
+@query(
+    "chunk_table_function",
+    """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS num, substr(text, s + 1, 300) AS content
+       FROM (SELECT doc_id, text, unnest(range(0, length(text), 250)) AS s FROM documents) WHERE NOT regexp_full_match(substr(text, s + 1, 300), '\\s*')""",
+)
+def _table_function(spark, sf):
+    """A chunker registered by class and called from SQL."""
+    register_chunker(spark, "windows_of_300", Windows)
+    return chunk_table(spark, "windows_of_300", docs(spark, sf)).withColumn("num", F.col("num").cast("bigint"))
+
+
 @query("chunk_chars", f"SELECT doc_id, start, piece AS content FROM ({sql_windows(800, 200)})")
 def _chars(spark, sf):
     return docs(spark, sf).select("doc_id", F.explode_outer(C.fixed_windows(F.col("text"), 800, 200)).alias("w")).where("w IS NOT NULL").select(

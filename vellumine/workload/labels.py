@@ -299,6 +299,27 @@ def _mask(spark, sf):
     return docs(spark, sf).select("doc_id", R.mask_secrets(F.col("text")).alias("masked"))
 
 
+_MASKED = "CASE WHEN length({0}) <= 8 THEN repeat('*', length({0})) ELSE left({0}, 4) || repeat('*', length({0}) - 8) || right({0}, 4) END"
+_NESTED = """'{{"items":[{{"Auth_Token":"' || {0} || '","k":' || k || '}},[{{"note":"x"}},3]],"meta":{{"deep":{{"api_key":' || {1} || ',"ok":true}},"secret":{{"name":"a b","password":"' || {2} || '"}}}}}}'"""
+
+
+@query(
+    "redact_nested",
+    f"""WITH e AS (SELECT event_id, regexp_extract(props, '[0-9]+') AS k, event_type || '-' || event_id AS long, 'u' || user_id AS short FROM events)
+        SELECT event_id, {_NESTED.format(_MASKED.format('long'), "'" + '"******"' + "'", _MASKED.format('short'))} AS redacted FROM e""",
+)
+def _redact(spark, sf):
+    """Events wrapped in three levels of objects and arrays, with secrets on each."""
+    e = table(spark, sf, "events")
+    k = F.regexp_extract("props", "[0-9]+", 0)
+    long, short = F.concat_ws("-", "event_type", F.col("event_id").cast("string")), F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    wrapped = F.concat(
+        F.lit('{"meta":{"secret":{"password":"'), short, F.lit('","name":"a b"},"deep":{"ok":true,"api_key":'), k,
+        F.lit('}},"items":[{"k":'), k, F.lit(',"Auth_Token":"'), long, F.lit('"},[{"note":"x"},3]]}'),
+    )
+    return e.select("event_id", R.redact_json(wrapped, depth=4).alias("redacted"))
+
+
 @query(
     "truncate_title",
     f"""SELECT doc_id, CASE WHEN length(text) <= 15 THEN text

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumine.functions import tokens as K
+from vellumine.functions.models import pair_scorer
 from vellumine.operators import chunking as C
 from vellumine.operators import context as O
 from vellumine.operators import knn as N
@@ -219,6 +220,13 @@ def _rules(spark, sf):
 _SCORER = """len(list_filter(kws, lambda k: contains(left(content, 1000), k))) / len(kws)"""
 
 
+def _keyword_share():
+    """Stand-in model of the scorer hook: the share of the query's keywords that a content holds."""
+    return lambda queries, contents: [
+        sum(t in c for t in q.split("\n")) / len(q.split("\n")) if q else float("nan") for q, c in zip(queries, contents)
+    ]
+
+
 @query(
     "model_rerank",
     f"""WITH {VEC_CTE}, kw AS ({_TERMS}), scored AS (
@@ -231,8 +239,8 @@ _SCORER = """len(list_filter(kws, lambda k: contains(left(content, 1000), k))) /
 )
 def _model(spark, sf):
     hits = with_texts(spark, sf, cut_lineage(vector_hits(spark, sf)))
-    matched = lambda q, c: F.size(F.filter("terms", lambda t: F.contains(c, t))) / F.size("terms")
-    return RT.model_rerank(hits, matched, 5, threshold=0.6).select(
+    asked = hits.withColumn("query", F.array_join("terms", "\n"))  # the stand-in scores keywords
+    return RT.model_rerank(asked, pair_scorer(_keyword_share), 5, threshold=0.6).select(
         "query_id", "doc_id", F.col("new_rank").cast("bigint").alias("new_rank"), "selected"
     )
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vellumine.functions import text as X
-from vellumine.functions import tokens as K
 from vellumine.functions import vectors as V
+from vellumine.functions.models import text_encoder
 from vellumine.operators import knn as N
 from vellumine.operators.cells import CellIndex
 from vellumine.workload.registry import lit, query, table
@@ -188,13 +188,37 @@ def text_vectors(df, key, col):
     return df.select(key, V.hashed_text_vector(F.col(col)).alias("embedding"))
 
 
+DIM = V.DIM
+
+
+def _hashed_words():
+    """Stand-in model of the encoder hook, loaded once per worker: hashed word counts of unit length."""
+    import hashlib
+
+    import numpy as np
+
+    known: dict[str, int] = {}
+
+    def encode(texts):
+        out = np.zeros((len(texts), DIM))
+        for row, t in zip(out, texts):
+            for w in t.lower().split():
+                if w not in known:
+                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIM
+                row[known[w]] += 1
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, size, out=out, where=size > 0)
+
+    return encode
+
+
 @query(
     "text_vectors",
     f"""SELECT item_id, array_to_string(list_transform(v, lambda x: round(x, 4)::DECIMAL(9,4)::VARCHAR), ' ') AS embedding
         FROM ({sql_text_vectors('benchmark', 'item_id', 'text')})""",
 )
 def _text_vectors(spark, sf):
-    items = N.encode_texts(table(spark, sf, "benchmark"), "text", lambda t: V.hashed_vector(K.lower_words(t)))
+    items = N.encode_texts(table(spark, sf, "benchmark"), "item_id", "text", text_encoder(_hashed_words))
     fmt = F.transform("embedding", lambda x: F.round(x, 4).cast("decimal(9,4)").cast("string"))
     return items.select("item_id", F.array_join(fmt, " ").alias("embedding"))
 
