@@ -39,12 +39,6 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(0.0)
 
 
-def support_score(claim: Column, chunk: Column, characters: Column, stop: Sequence[str] = S.CHECK_STOP_WORDS) -> Column:
-    """0.4 character similarity + 0.6 keyword Jaccard."""
-    words = lambda t: F.array_distinct(K.check_keywords(t, stop))
-    return characters * 0.4 + K.jaccard(words(claim), words(chunk)) * 0.6
-
-
 def claim_support(
     answers: DataFrame, keys: Sequence[str], *, answer: str = "answer", chunks: str = "chunks",
     marks: str = S.SENTENCE_MARKS, threshold: float = SUPPORT_THRESHOLD, stop: Sequence[str] = S.CHECK_STOP_WORDS,
@@ -55,20 +49,47 @@ def claim_support(
     ``chunks`` is the answer's own short context list (at most its top-k), carried in the row, so
     a claim meets only its own context. ``characters`` picks ``edit`` (JVM) or ``sequence``.
     """
-    rows = answers.select(*keys, F.posexplode(claims(F.col(answer), marks)).alias("claim_no", "claim"), chunks)
-    pairs = rows.select(*keys, "claim_no", "claim", F.posexplode_outer(chunks).alias("chunk_no", "chunk"))
-    similar = edit_similarity if characters == "edit" else sequence_ratio
-    text = F.coalesce("chunk", F.lit(""))
-    scored = pairs.withColumn("score", support_score(F.col("claim"), text, similar(F.col("claim"), text), stop))
-    best = scored.groupBy(*keys, "claim_no").agg(
-        F.max("score").alias("similarity"), F.max_by("chunk_no", F.struct("score", -F.col("chunk_no"))).alias("_at")
-    )
+    # Keywords of a chunk are made once per answer, before claims multiply its rows; those of a claim once per claim.
+    words = lambda t: F.array_distinct(K.check_keywords(t, stop))
+    shown = F.transform(F.transform(chunks, lambda c: F.coalesce(c, F.lit(""))), lambda c: F.struct(c.alias("text"), words(c).alias("words")))
+    rows = answers.select(*keys, claims(F.col(answer), marks).alias("_claims"), F.when(F.size(chunks) > 0, shown).alias("_chunks"))
+    rows = rows.select(*keys, F.posexplode("_claims").alias("claim_no", "claim"), "_chunks")
+    rows = rows.select(*keys, "claim_no", "claim", words(F.col("claim")).alias("_words"), F.coalesce("_chunks", F.array(F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("words")))).alias("_chunks"))
+    if characters == "edit":
+        best = rows.select(*keys, "claim_no", _best_chunk(F.col("claim"), F.col("_words"), F.col("_chunks")).alias("_b")).select(
+            *keys, "claim_no", F.col("_b.score").alias("similarity"), F.col("_b.at").alias("_at")
+        )
+    else:
+        pairs = rows.select(*keys, "claim_no", "claim", "_words", F.posexplode("_chunks").alias("chunk_no", "_c"))
+        score = sequence_ratio(F.col("claim"), F.col("_c.text")) * 0.4 + K.jaccard(F.col("_words"), F.col("_c.words")) * 0.6
+        best = pairs.withColumn("score", score).groupBy(*keys, "claim_no").agg(
+            F.max("score").alias("similarity"), F.max_by("chunk_no", F.struct("score", -F.col("chunk_no"))).alias("_at")
+        )
     return best.select(
         *keys, "claim_no", "similarity", (F.col("similarity") >= threshold).alias("found"),
         F.when(F.col("similarity") > 0, F.concat(F.lit("片段"), F.col("_at") + 1)).alias("source"),
     )
 
 
+def _best_chunk(claim: Column, words: Column, chunks: Column) -> Column:
+    """struct(score, at) of the first best chunk. The edit distance is taken only where the other part of the score and the
+    lengths (which bound it) leave room above the best so far."""
+
+    def step(acc: Column, c: Column, i: Column) -> Column:
+        longest, shortest = F.greatest(F.length(claim), F.length(c["text"])), F.least(F.length(claim), F.length(c["text"]))
+        room = F.when(longest > 0, shortest / longest).otherwise(0.0) * 0.4
+
+        def judged(rest: Column) -> Column:
+            full = let(edit_similarity(claim, c["text"]) * 0.4 + rest, lambda x: F.when(x > acc["score"], F.struct(x.alias("score"), i.alias("at"))).otherwise(acc))
+            return F.when(room + rest + 1e-9 > acc["score"], full).otherwise(acc)
+
+        return let(K.jaccard(words, c["words"]) * 0.6, judged)
+
+    start = F.struct(F.lit(-1.0).alias("score"), F.lit(0).alias("at"))
+    placed = F.transform(chunks, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    return F.aggregate(placed, start, lambda acc, p: step(acc, p["c"], p["i"]))
+
+
 def answer_validity(support: DataFrame, keys: Sequence[str], threshold: float = SUPPORT_THRESHOLD) -> DataFrame:
     """Share of supported claims, validity and hallucination flag per answer."""
     out = support.groupBy(*keys).agg(
