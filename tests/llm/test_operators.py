@@ -99,6 +99,11 @@ def test_mix(spark, docs, odd, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_shards_grow_without_a_ceiling():
+    sizes = [mixing.shards_of(n) for n in (1, 256, 257, 1 << 20, (1 << 20) + 1, 10**8, 10**10)]
+    assert sizes == [1, 1, 2, 4096, 4097, 40_000, 400_000]
+
+
 def test_mixed_texts_hold_the_words_taken(docs):
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(docs).collect()}
     mixed = {r["doc_id"]: r for r in mixing.mixed_documents(docs).collect()}

@@ -2,7 +2,7 @@
 
 1. Every source has a target: its weight's share of ``share`` times all words, at most ``max_repeats`` times its own
    words, the excess reshared by weight until no target is above (a water level, found from one row per source).
-2. A source's documents are dealt to shards by a hash of the id and laid end to end; every ``block`` words are one block
+2. A source's documents are dealt to shards by a hash of id and text and laid end to end; every ``block`` words are one block
    (a shard's last block may be shorter). Blocks are numbers, never rows.
 3. Sainte-Lague gives all blocks of the mix to sources by highest quotients ``votes / (2 k + 1)``; then each source's
    blocks to its shards in the same way. A shard's quota never exceeds ``max_repeats`` times its blocks.
@@ -10,8 +10,9 @@
    those whose place under a seeded affine permutation of ``0..n-1`` is below ``q % n``. The same seed gives the same mix.
 
 Scale: words are counted in one scan into a table of (id, source, words); windows run inside shards, whose number grows
-with the source's documents, so a source with a third of all rows is many shards. The driver holds one row per source
-(at most ``MAX_SOURCES``, else an error), a task one row per shard of a source (at most ``MAX_SHARDS``).
+with the source's documents, so a source with a third of all rows is many shards. A shard has ``SHARD_ROWS`` documents up to
+2 ** 20 of a source; beyond, shards and documents of a shard both grow as their number's square root, without a ceiling, as
+one task deals blocks to all shards of a source. The driver holds one row per source (at most ``MAX_SOURCES``, else an error).
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; a null source is a source of its own, last in
 order; rows that repeat an id are separate documents; an empty table or one without words takes nothing.
@@ -33,10 +34,14 @@ from vellumine.llm.common import WORD, count_words
 from vellumine.session import cut_lineage
 
 MAX_SOURCES = 100_000
-MAX_SHARDS = 4096
 SHARD_ROWS = 256
 
 
+def shards_of(documents: int) -> int:
+    """Both branches give 4 096 at 2 ** 20 documents."""
+    return math.ceil(documents / SHARD_ROWS) if documents <= 1 << 20 else math.ceil(4 * math.sqrt(documents))
+
+
 def water_level(sizes: Sequence[float], weights: Sequence[float], total: float, cap: float) -> list[float]:
     """``min(cap * size, level * weight)`` with the level at which the targets add up to ``total``."""
     caps = [cap * s for s in sizes]
@@ -109,9 +114,9 @@ def mix_plan(
         sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")), weights, share, max_repeats
     )
     schema = "source string, source_size long, target double, _shards int"
-    known = spark.createDataFrame([(s, w, t, min(MAX_SHARDS, math.ceil(n / SHARD_ROWS))) for s, w, t, n in table], schema)
+    known = spark.createDataFrame([(s, w, t, shards_of(n)) for s, w, t, n in table], schema)
     dealt = sized.join(F.broadcast(known), sized["source"].eqNullSafe(known["source"])).drop(known["source"])
-    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), "_shards").cast("int"))
+    dealt = dealt.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "_row"), "_shards").cast("int"))
     shards = dealt.groupBy("source", "_shard").agg(F.sum("size").alias("words")).withColumn(
         "blocks", F.ceil(F.col("words") / block).cast("long")
     )
