@@ -171,13 +171,12 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             shard = Shard(batch.column("payload")[0].as_py())
-            ends = shard.ends.all()
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            wide = shard.ids.astype("<u4")
-            crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
-            base = batch.column("start")[0].as_py()
+            base, end, rows = batch.column("start")[0].as_py(), 0, []
+            for i in range(shard.ends.n):
+                start, end = end, shard.ends.select(i)
+                rows.append((base + start, end - start, zlib.crc32(shard.ids[start:end].astype("<u4"))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_ids").flatten(), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                [batch.column("doc_ids").flatten(), *[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
