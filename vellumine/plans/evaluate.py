@@ -13,6 +13,32 @@ from vellumine.session import cut_lineage
 CASE_METRICS = ["precision_at_1", "precision_at_3", "precision_at_5", "recall_at_5", "f1_at_5", "mrr", "ndcg_at_5", "hit_rate", "topic_coverage"]
 
 
+#: Words of the run that an item and a text must share before the text is searched for the item.
+RUN = 3
+
+
+def containing(items: DataFrame, texts: DataFrame, item: str = "query", text: str = "text", item_id: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """(item_id, key) of all texts that contain the whole item.
+
+    An item's inner words (all but its first and last) stand whole in any text that holds it, between the same white space.
+    A run of up to ``RUN`` of them is an equi-join key; the text itself then decides. Items of two words or fewer have no inner
+    word and are searched for in every text. Null and empty items are in no text.
+    """
+    words = lambda c: F.filter(F.split(F.col(c), "\\s+"), lambda w: w != "")
+    asked = items.select(F.col(item_id), F.col(item).alias("_item")).where(F.length("_item") > 0).withColumn("_w", words("_item"))
+    inner = F.slice("_w", F.lit(2), F.least(F.lit(RUN), F.greatest(F.size("_w") - 2, F.lit(0))))
+    asked = asked.select(item_id, "_item", F.array_join(inner, " ").alias("_run"), F.size(inner).alias("_n"))
+    held = texts.select(F.col(key), F.col(text).alias("_text")).where("_text IS NOT NULL").withColumn("_w", words("_text"))
+    of = lambda n: F.when(
+        F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
+    ).otherwise(F.array().cast("array<string>"))
+    runs = F.array_distinct(F.concat(*[of(n) for n in range(1, RUN + 1)]))
+    met = held.select(key, "_text", F.explode(runs).alias("_run")).join(asked.where("_n > 0"), "_run")
+    short = held.join(asked.where("_n = 0"), F.contains("_text", "_item"))
+    found = met.where(F.contains("_text", "_item")).select(item_id, key).unionByName(short.select(item_id, key))
+    return found.distinct()
+
+
 def evaluate_cases(cases: DataFrame, retrieve: Callable[[DataFrame], DataFrame], truth: DataFrame, contents: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of metrics per case.
 

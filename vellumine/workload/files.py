@@ -12,6 +12,7 @@ from vellumine.sources import sinks
 from vellumine.workload.chunks import fixed_chunks
 from vellumine.workload.labels import CATEGORIES
 from vellumine.workload.registry import query, table
+from vellumine.workload.retrieval import TOP, VEC_CTE
 from vellumine.workload.tokens import STOP, docs
 
 
@@ -37,8 +38,7 @@ def _hybrid(spark, sf):
     return hits.withColumn("score", F.round("score", 5))
 
 
-@query("evaluate_cases")
-def _evaluate(spark, sf):
+def _cases(spark, sf):
     """Benchmark items as cases; a document that holds an item's whole text is relevant."""
     cases = _queries(spark, sf).select(
         "query_id", "query", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("category"),
@@ -46,18 +46,51 @@ def _evaluate(spark, sf):
         F.array_distinct(F.split("query", " ")).alias("expected_keywords"),
         F.array_distinct(F.filter(F.split("query", " "), lambda w: F.length(w) > 6)).alias("expected_topics"),
     )
-    # An equi-join on four-word runs: each document meets only the items that open with one of its runs, then the text decides.
-    opening = F.array_join(F.slice(F.split("query", " "), 1, 4), " ")
-    words = F.split("text", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 4), " "))
-    items = _queries(spark, sf).select("query_id", "query", opening.alias("run"))
-    held = docs(spark, sf).select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("run"))
-    truth = held.join(items, "run").where(F.contains("text", "query")).select("query_id", "doc_id").distinct()
     contents = docs(spark, sf).select("doc_id", F.col("text").alias("content"))
 
     def retrieve(c):
         vectors = contents.select("doc_id", Q.stand_in(F.col("content")).alias("embedding"))
         q = c.select("query_id", Q.stand_in(F.col("query")).alias("embedding"))
-        return N.knn(vectors, q, 10, "cosine", corpus_id="doc_id").withColumnRenamed("id", "doc_id")
+        return N.knn(vectors, q, TOP, "cosine", corpus_id="doc_id").withColumnRenamed("id", "doc_id")
+
+    return E.evaluate_cases(cases, retrieve, E.containing(_queries(spark, sf), docs(spark, sf)), contents)
+
+
+_TRUTH = "truth AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+_TOP5 = " + ".join(f"1 / log2({i + 1})" for i in range(1, 6))
+_SHARE = "CASE WHEN len({0}) > 0 THEN len(list_filter({0}, lambda w: contains({1}, {2}))) / len({0}) ELSE 0 END"
+CASES = f"""{VEC_CTE}, {_TRUTH}, b AS (SELECT item_id AS query_id, text, list_distinct(string_split(text, ' ')) AS kws,
+    list_distinct(list_filter(string_split(text, ' '), lambda w: length(w) > 6)) AS topics FROM benchmark),
+  n AS (SELECT query_id, count(*) AS n FROM truth GROUP BY query_id),
+  j AS (SELECT vec.query_id, rank, (t.doc_id IS NOT NULL)::INT AS rel, d.text FROM vec JOIN documents d USING (doc_id) LEFT JOIN truth t USING (query_id, doc_id)),
+  g AS (SELECT query_id, count(*) FILTER (WHERE rel = 1 AND rank <= 1) AS r1, count(*) FILTER (WHERE rel = 1 AND rank <= 3) AS r3, count(*) FILTER (WHERE rel = 1 AND rank <= 5) AS r5,
+    coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE rel = 1 AND rank <= 5), 0) AS mrr, sum(CASE WHEN rank <= 5 THEN (2 ** rel - 1) / log2(rank + 1) ELSE 0 END) / ({_TOP5}) AS ndcg,
+    coalesce(string_agg(text, ' ' ORDER BY rank) FILTER (WHERE rank <= 5), '') AS body FROM j GROUP BY query_id),
+  m AS (SELECT b.query_id, CASE WHEN b.query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, CASE WHEN length(b.text) > 150 THEN 'hard' ELSE 'easy' END AS difficulty,
+    r1::DOUBLE AS precision_at_1, r3 / 3 AS precision_at_3, r5 / 5 AS precision_at_5, CASE WHEN coalesce(n.n, 0) > 0 THEN r5 / n.n ELSE 0 END AS recall_at_5, mrr, ndcg AS ndcg_at_5,
+    {_SHARE.format('kws', 'body', 'w')} AS hit_rate, {_SHARE.format('topics', 'lower(body)', 'lower(w)')} AS topic_coverage FROM b JOIN g USING (query_id) LEFT JOIN n USING (query_id)),
+  cases AS (SELECT *, CASE WHEN precision_at_5 + recall_at_5 > 0 THEN 2 * precision_at_5 * recall_at_5 / (precision_at_5 + recall_at_5) ELSE 0 END AS f1_at_5 FROM m)"""
+
+
+@query("case_truth", f"WITH {_TRUTH} SELECT query_id, doc_id FROM truth")
+def _truth(spark, sf):
+    return E.containing(_queries(spark, sf), docs(spark, sf))
 
-    return E.evaluation_report(E.evaluate_cases(cases, retrieve, truth, contents))
+
+@query("case_metrics", f"WITH {CASES} SELECT query_id, category, difficulty, {', '.join(f'round({m}, 5) AS {m}' for m in E.CASE_METRICS)} FROM cases")
+def _metrics(spark, sf):
+    return _cases(spark, sf).select("query_id", "category", "difficulty", *[F.round(m, 5).alias(m) for m in E.CASE_METRICS])
+
+
+_MEANS = ", ".join(
+    f"round(coalesce(avg({f'CASE WHEN {m} > 0 THEN {m} END' if m == 'topic_coverage' else m}), 0), 3) AS avg_{m}" for m in E.CASE_METRICS
+)
+
+
+@query(
+    "evaluate_cases",
+    f"""WITH {CASES} SELECT CASE WHEN grouping(difficulty) = 0 THEN 'difficulty' WHEN grouping(category) = 0 THEN 'category' ELSE 'all' END AS slice,
+          coalesce(difficulty, category, 'all') AS label, count(*) AS cases, {_MEANS} FROM cases GROUP BY GROUPING SETS ((), (difficulty), (category))""",
+)
+def _evaluate(spark, sf):
+    return E.evaluation_report(_cases(spark, sf))
