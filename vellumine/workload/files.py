@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellumine import settings as S
 from vellumine.operators import knn as N
 from vellumine.plans import evaluate as E
 from vellumine.plans import ingest as P
@@ -12,8 +13,11 @@ from vellumine.sources import sinks
 from vellumine.workload.chunks import fixed_chunks
 from vellumine.workload.labels import CATEGORIES
 from vellumine.workload.registry import query, table
-from vellumine.workload.retrieval import TOP, VEC_CTE
-from vellumine.workload.tokens import STOP, docs
+from vellumine.workload.retrieval import _TERMS, BM25_CTE, CHUNK_CTE, TOP, VEC_CTE
+from vellumine.workload.retrieval import fixed_chunks as content_chunks
+from vellumine.workload.rewriting import sql_expanded
+from vellumine.workload.tokens import STOP, docs, sql_search_tokens
+from vellumine.workload.vectors import sql_text_vectors
 
 
 @query("ingest_documents")
@@ -32,10 +36,39 @@ def _queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query("hybrid_search")
+_SYNONYMS = {"the": ["that"]}
+
+
+def _sql_hybrid(source: str, key: str, text: str, before: str = "") -> str:
+    """The whole search over rows of ``source``: variants and keywords by vector, BM25, fusion, threshold and k."""
+    bm25 = BM25_CTE.replace("FROM documents", f"FROM {source}").replace("doc_id", key).replace(f"rank <= {TOP})", "rank <= 30)")
+    bm25 = bm25.replace(sql_search_tokens("text") + f" AS ts FROM {source}", sql_search_tokens(text) + f" AS ts FROM {source}")
+    best = lambda q, v, out: f"""{out} AS (SELECT * FROM (SELECT {q}, {key}, list_inner_product({v}.v, sv.v) AS score,
+        row_number() OVER (PARTITION BY {q} ORDER BY round(list_inner_product({v}.v, sv.v), 6) DESC, {key}) AS rank FROM {v}, sv) WHERE rank <= 30)"""
+    return f"""WITH {before}{bm25},
+        sv AS ({sql_text_vectors(source, key, text)}),
+        variants AS (SELECT query_id || '#' || variant_no AS vid, query_id, variant_no, variant FROM ({sql_expanded(_SYNONYMS)})),
+        pv AS ({sql_text_vectors('variants', 'vid', 'variant')}), {best('vid', 'pv', 'near')},
+        vec AS (SELECT query_id, {key}, max(score * CASE WHEN variant_no = 0 THEN 1.0 ELSE 0.7 END::DOUBLE) AS score FROM near JOIN variants USING (vid) GROUP BY ALL),
+        kwt AS (SELECT item_id AS query_id, array_to_string(kws, ' ') AS text FROM ({_TERMS})),
+        kv AS ({sql_text_vectors('kwt', 'query_id', 'text')}), {best('query_id', 'kv', 'knear')},
+        kw AS (SELECT query_id, {key}, max(score) AS score FROM (SELECT query_id, {key}, score FROM bm25 UNION ALL SELECT query_id, {key}, score FROM knear WHERE score > 0) GROUP BY ALL),
+        fused AS (SELECT query_id, {key}, coalesce(v.score * 0.6::DOUBLE, 0) + coalesce(k.score * 0.4::DOUBLE, 0) AS score FROM vec v FULL JOIN kw k USING (query_id, {key})),
+        top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, {key}) AS rank FROM fused)
+        SELECT query_id, {key}, round(score, 5) AS score, rank FROM top WHERE score >= {S.INTENT_THRESHOLD}::DOUBLE AND rank <= {S.INTENT_TOP_K['other']}"""
+
+
+@query("hybrid_search", _sql_hybrid("documents", "doc_id", "text"))
 def _hybrid(spark, sf):
-    hits = Q.hybrid_search(docs(spark, sf), _queries(spark, sf), stop=STOP, synonyms={"the": ["that"]})
-    return hits.withColumn("score", F.round("score", 5))
+    hits = Q.hybrid_search(docs(spark, sf), _queries(spark, sf), stop=STOP, synonyms=_SYNONYMS)
+    return hits.withColumn("score", F.round("score", 5)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("hybrid_chunk_search", _sql_hybrid("ch", "chunk_id", "content", CHUNK_CTE.split("  cv AS")[0].strip()))
+def _hybrid_chunks(spark, sf):
+    """The same over fixed chunks, whose ids are text."""
+    hits = Q.hybrid_search(content_chunks(spark, sf), _queries(spark, sf), key="chunk_id", text="content", stop=STOP, synonyms=_SYNONYMS)
+    return hits.withColumn("score", F.round("score", 5)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _cases(spark, sf):

@@ -19,27 +19,24 @@ def items(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _sql_swaps() -> str:
-    pos, out = 100, []
-    for w, others in SYN.items():
-        for o in others:
-            out.append(f"SELECT item_id, {pos} AS pos, replace(text, {lit(w)}, {lit(o)}) AS v FROM benchmark WHERE contains(text, {lit(w)})")
-            pos += 1
-    return " UNION ALL ".join(out)
-
-
-@query(
-    "expand_query",
-    f"""WITH kw AS ({sql_first_distinct('benchmark', 'item_id', sql_search_tokens('text'), 10)}),
+def sql_expanded(syn: dict[str, list[str]]) -> str:
+    """SELECT query_id, variant_no, variant of every benchmark item."""
+    swaps = [(w, o) for w, others in syn.items() for o in others]
+    swapped = " UNION ALL ".join(
+        f"SELECT item_id, {100 + n} AS pos, replace(text, {lit(w)}, {lit(o)}) AS v FROM benchmark WHERE contains(text, {lit(w)})" for n, (w, o) in enumerate(swaps)
+    )
+    return f"""WITH kw AS ({sql_first_distinct('benchmark', 'item_id', sql_search_tokens('text'), 10)}),
         ks AS (SELECT item_id, unnest(kws) AS k, generate_subscripts(kws, 1) AS i FROM kw WHERE len(kws) > 1),
         v AS (SELECT item_id, 0 AS pos, text AS v FROM benchmark
           UNION ALL SELECT item_id, 2 * i, k || ' ' || trim(replace(text, k, ''), ' ') FROM ks JOIN benchmark USING (item_id) WHERE length(k) > 2
           UNION ALL SELECT item_id, 2 * i + 1, trim(replace(text, k, ''), ' ') || ' ' || k FROM ks JOIN benchmark USING (item_id) WHERE length(k) > 2
-          UNION ALL {_sql_swaps()}),
+          UNION ALL {swapped}),
         d AS (SELECT item_id, v, min(pos) AS pos FROM v GROUP BY ALL)
         SELECT item_id AS query_id, row_number() OVER (PARTITION BY item_id ORDER BY pos) - 1 AS variant_no, v AS variant FROM d
-        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos) <= 8""",
-)
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos) <= 8"""
+
+
+@query("expand_query", sql_expanded(SYN))
 def _expand(spark, sf):
     rows = W.variant_rows(items(spark, sf), W.expand_query(F.col("text"), None, SYN, STOP))
     return rows.withColumn("variant_no", F.col("variant_no").cast("bigint"))
