@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellumine import settings as S
 from vellumine.operators import context as O
 from vellumine.plans import enhanced as P
 from vellumine.workload.cleaning import sql_strip
 from vellumine.workload.labels import _ROUTE_CASE, _SCENE, sql_scene_tags
 from vellumine.workload.registry import lit, query, table
-from vellumine.workload.rewriting import _VS_RE
+from vellumine.workload.rewriting import _VS_RE, sql_filled, sql_first_replaced, sql_guess
 from vellumine.workload.tokens import STOP, docs, sql_words
 from vellumine.workload.vectors import sql_text_vectors
 
@@ -35,29 +34,9 @@ def digest_answer(prompt: Column) -> Column:
     return F.left(F.md5(prompt.cast("binary")), F.lit(8))
 
 
-def _first(text: str, words: list[str], new: str) -> str:
-    for w in words:
-        text = f"regexp_replace({text}, {lit(w + '个?')}, {new})"
-    return text
-
-
-def _filled(template: str, *values: str) -> str:
-    """SQL of a %s template."""
-    parts = template.split("%s")
-    return " || ".join([lit(parts[0]), *[f"{v} || {lit(p)}" for v, p in zip(values, parts[1:])]])
-
-
-def _guess(q: str) -> str:
-    """SQL of the hypothesis text of a query."""
-    pick = f"('0x' || substr(md5({q}), 1, 8))::BIGINT % {len(S.HYPOTHESIS_TEMPLATES)}"
-    body = "CASE " + pick + " " + " ".join(f"WHEN {i} THEN {_filled(t.replace('{q}', '%s'), q)}" for i, t in enumerate(S.HYPOTHESIS_TEMPLATES)) + " END"
-    words = f"list_slice({sql_words(q, S.REWRITE_STOP_WORDS, False)}, 1, 5)"
-    return f"({body} || CASE WHEN len({words}) > 0 THEN ' ' || array_to_string({words}, ', ') || '等关键信息。' ELSE '' END)"
-
-
 _SPLIT = f"list_filter(list_transform(regexp_split_to_array(main, '[.!?\n]'), lambda x: {sql_strip('x')}), lambda x: x <> '')"
 _PARTS = f"CASE WHEN len(s) = 1 THEN list_filter(list_transform(regexp_split_to_array(main, ' and | und '), lambda x: {sql_strip('x')}), lambda x: x <> '') ELSE s END"
-_READ = [f"CASE WHEN contains(lower(main), {lit(w)}) THEN {_guess('regexp_replace(main, ' + lit('(?i)' + w) + ', ' + lit(m[0]) + chr(44) + lit('g') + ')')} END" for w, m in AMBIGUOUS.items()]
+_READ = [f"CASE WHEN contains(lower(main), {lit(w)}) THEN {sql_guess('regexp_replace(main, ' + lit('(?i)' + w) + ', ' + lit(m[0]) + chr(44) + lit('g') + ')')} END" for w, m in AMBIGUOUS.items()]
 PLAN = f"""asked AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, turn, role, CASE WHEN conv_id % 5 = 0 THEN replace(text, ', ', ' vs ') ELSE text END AS text
     FROM conversations WHERE role = 'user'),
   tagged AS (SELECT t.*, text, {_ROUTE_CASE} AS route FROM ({sql_scene_tags().replace('FROM conversations', 'FROM asked')}) t JOIN asked USING (conv_id, turn)),
@@ -67,11 +46,11 @@ PLAN = f"""asked AS (SELECT conv_id * 1000 + turn AS query_id, conv_id, turn, ro
   best AS (SELECT conv_id, turn, max(ROW(0.7::DOUBLE + CASE WHEN length(name) > 2 AND contains(text, name) THEN 0.2::DOUBLE ELSE 0 END, ts, name))[3] AS name
     FROM said JOIN asked USING (conv_id, turn) GROUP BY ALL),
   resolved AS (SELECT conv_id * 1000 + turn AS query_id, turn, tags, route, text, CASE WHEN contains(tags, 'HistoryRef') AND name IS NOT NULL
-    THEN {_first('text', REFERENCES, 'name')} ELSE text END AS main FROM tagged LEFT JOIN best USING (conv_id, turn)),
+    THEN {sql_first_replaced('text', REFERENCES, 'name')} ELSE text END AS main FROM tagged LEFT JOIN best USING (conv_id, turn)),
   parted AS (SELECT *, CASE WHEN contains(tags, 'MultiQuestion') THEN {_PARTS} ELSE [] END AS parts, contains(tags, 'Comparative') AND regexp_matches(main, {lit(_VS_RE)}) AS versus,
     regexp_extract(main, {lit(_VS_RE)}, 1) AS a, regexp_extract(main, {lit(_VS_RE)}, 2) AS b,
     CASE WHEN NOT contains(tags, 'Ambiguous') THEN [] WHEN {' OR '.join(f'contains(lower(main), {lit(w)})' for w in AMBIGUOUS)}
-      THEN list_filter([{', '.join(_READ)}], lambda x: x IS NOT NULL) ELSE [{_guess('main')}] END AS guesses
+      THEN list_filter([{', '.join(_READ)}], lambda x: x IS NOT NULL) ELSE [{sql_guess('main')}] END AS guesses
     FROM (SELECT *, {_SPLIT} AS s FROM resolved)),
   one AS (SELECT query_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS i FROM parted),
   dep AS (SELECT *, i > 0 AND (contains(part, 'that') OR contains(part, 'der')) AS dependent FROM one),
@@ -104,7 +83,7 @@ def _plan(spark, sf):
     )
 
 
-_SUB_PROMPT = _filled(P.SUB_PROMPT, "text", "coalesce(context, '')")
+_SUB_PROMPT = sql_filled(P.SUB_PROMPT, "text", "coalesce(context, '')")
 #: Hits as the plan ranks them, the gate's tier, and the answers of sub-queries, one after another.
 SEARCHED = f"""{PLAN}, probes AS (
     SELECT query_id, 'vector' AS kind, main AS text FROM parted WHERE route <> 'direct_generation'
@@ -132,19 +111,19 @@ SEARCHED = f"""{PLAN}, probes AS (
   contexts AS (SELECT query_id, string_agg(left(content, {P.SUB_CHARS}), chr(10) ORDER BY rank) AS context FROM shown WHERE rank <= {P.SUB_HITS} GROUP BY query_id),
   lines AS (SELECT query_id, -1::BIGINT AS no, []::VARCHAR[] AS qa FROM parted WHERE contains(tags, 'MultiQuestion')
     UNION ALL SELECT query_id, s.no, list_append(qa, 'Q: ' || text || chr(10) || 'A: ' || left(md5({_SUB_PROMPT} || CASE WHEN high > low
-      THEN {_filled(P.KNOWN_ANSWERS, "array_to_string(list_slice(qa, low + 1, high), chr(10))")} ELSE '' END), 8))
+      THEN {sql_filled(P.KNOWN_ANSWERS, "array_to_string(list_slice(qa, low + 1, high), chr(10))")} ELSE '' END), 8))
     FROM lines JOIN subs s USING (query_id) LEFT JOIN contexts USING (query_id) WHERE s.no = lines.no + 1),
-  merged AS (SELECT query_id, {_filled(O.SUB_ANSWER_PROMPT, 'array_to_string(arg_max(qa, no), chr(10))')} AS prompt FROM lines GROUP BY query_id HAVING max(no) >= 0),
+  merged AS (SELECT query_id, {sql_filled(O.SUB_ANSWER_PROMPT, 'array_to_string(arg_max(qa, no), chr(10))')} AS prompt FROM lines GROUP BY query_id HAVING max(no) >= 0),
   plain AS (SELECT query_id, string_agg('[' || rank || '] ' || left(content, 500), chr(10) || chr(10) ORDER BY rank) AS c FROM shown WHERE rank <= 5 GROUP BY query_id)"""
 
 
 @query(
     "enhanced_answers",
     f"""WITH RECURSIVE {SEARCHED}
-        SELECT query_id, CASE WHEN unsure THEN 'clarify' ELSE route END AS route, tier, CASE WHEN route = 'direct_generation' THEN {_filled(P.DIRECT_PROMPT, 'q.text')}
-          WHEN unsure THEN {_filled(P.CLARIFY_PROMPT, 'main', 'issues')} WHEN merged.prompt IS NOT NULL THEN merged.prompt
-          WHEN contains(tags, 'Comparative') THEN {_filled(O.COMPARE_PROMPT, 'c', 'main')} WHEN contains(tags, 'Temporal') THEN {_filled(O.TEMPORAL_PROMPT, 'c', 'main')}
-          ELSE {_filled(O.STANDARD_PROMPT, 'c', 'main')} END AS prompt
+        SELECT query_id, CASE WHEN unsure THEN 'clarify' ELSE route END AS route, tier, CASE WHEN route = 'direct_generation' THEN {sql_filled(P.DIRECT_PROMPT, 'q.text')}
+          WHEN unsure THEN {sql_filled(P.CLARIFY_PROMPT, 'main', 'issues')} WHEN merged.prompt IS NOT NULL THEN merged.prompt
+          WHEN contains(tags, 'Comparative') THEN {sql_filled(O.COMPARE_PROMPT, 'c', 'main')} WHEN contains(tags, 'Temporal') THEN {sql_filled(O.TEMPORAL_PROMPT, 'c', 'main')}
+          ELSE {sql_filled(O.STANDARD_PROMPT, 'c', 'main')} END AS prompt
         FROM parted q LEFT JOIN tiers USING (query_id) LEFT JOIN merged USING (query_id) LEFT JOIN plain USING (query_id)""",
 )
 def _answers(spark, sf):

@@ -10,8 +10,9 @@ from vellumine.plans import evaluate as E
 from vellumine.plans import ingest as P
 from vellumine.plans import search as Q
 from vellumine.sources import sinks
-from vellumine.workload.chunks import fixed_chunks
-from vellumine.workload.labels import CATEGORIES
+from vellumine.workload.chunks import fixed_chunks, sql_windows
+from vellumine.workload.cleaning import sql_preset, sql_strip
+from vellumine.workload.labels import CATEGORIES, sql_category
 from vellumine.workload.registry import query, table
 from vellumine.workload.retrieval import _TERMS, BM25_CTE, CHUNK_CTE, TOP, VEC_CTE
 from vellumine.workload.retrieval import fixed_chunks as content_chunks
@@ -20,13 +21,25 @@ from vellumine.workload.tokens import STOP, docs, sql_search_tokens
 from vellumine.workload.vectors import sql_text_vectors
 
 
-@query("ingest_documents")
+_CLEANED = sql_preset("minimal", "documents", "doc_id", "text")
+
+
+@query(
+    "ingest_documents",
+    f"""WITH cleaned AS ({_CLEANED}), labelled AS ({sql_category('cleaned', "''", 'cleaned', 'doc_id', 'cleaned')}),
+        pieces AS (SELECT category, substr(cleaned, s + 1, 500) AS piece FROM (SELECT category, cleaned, unnest(range(0, greatest(length(cleaned), 1), 450)) AS s FROM labelled))
+        SELECT category, count(*) AS chunks, sum(length({sql_strip('piece')}))::BIGINT AS chars FROM pieces WHERE {sql_strip('piece')} <> '' GROUP BY category""",
+)
 def _ingest(spark, sf):
     chunks = P.ingest(docs(spark, sf), keyword_table=CATEGORIES)
     return chunks.groupBy("category").agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").cast("bigint").alias("chars"))
 
 
-@query("markdown_sink")
+@query(
+    "markdown_sink",
+    f"""WITH p AS (SELECT doc_id, {sql_strip('piece')} AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS num FROM ({sql_windows(500, 50)}))
+        SELECT doc_id, string_agg(CASE num WHEN 1 THEN '## ' ELSE '' END || piece, chr(10) || chr(10) ORDER BY num) AS markdown FROM p GROUP BY doc_id""",
+)
 def _markdown(spark, sf):
     chunks = fixed_chunks(spark, sf).withColumn("type", F.when(F.col("num") == 1, "title").otherwise("text"))
     return sinks.markdown_documents(chunks)

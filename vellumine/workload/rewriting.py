@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vellumine import settings as S
 from vellumine.functions import tokens as K
 from vellumine.operators import rewriting as W
 from vellumine.workload.cleaning import sql_strip
-from vellumine.workload.labels import tagged_users
+from vellumine.workload.labels import sql_scene_tags, tagged_users
 from vellumine.workload.metrics import PAIRS, answer_pairs
 from vellumine.workload.registry import lit, query, table
-from vellumine.workload.tokens import STOP, sql_first_distinct, sql_search_tokens
+from vellumine.workload.tokens import STOP, sql_first_distinct, sql_search_tokens, sql_words
 
 SYN = {"the": ["that", "this"], "and": ["with"], "que": ["como"]}
 
@@ -145,14 +146,56 @@ def _profile(spark, sf):
     return p.select("conv_id", F.array_join(line, ";").alias("profile"))
 
 
-@query("hypotheses")
+def sql_filled(template: str, *values: str) -> str:
+    """SQL of a %s template."""
+    parts = template.split("%s")
+    return " || ".join([lit(parts[0]), *[f"{v} || {lit(p)}" for v, p in zip(values, parts[1:])]])
+
+
+def sql_guess(q: str) -> str:
+    """SQL of the hypothesis text of a query."""
+    pick = f"('0x' || substr(md5({q}), 1, 8))::BIGINT % {len(S.HYPOTHESIS_TEMPLATES)}"
+    body = "CASE " + pick + " " + " ".join(f"WHEN {i} THEN {sql_filled(t.replace('{q}', '%s'), q)}" for i, t in enumerate(S.HYPOTHESIS_TEMPLATES)) + " END"
+    words = f"list_slice({sql_words(q, S.REWRITE_STOP_WORDS, False)}, 1, 5)"
+    return f"({body} || CASE WHEN len({words}) > 0 THEN ' ' || array_to_string({words}, ', ') || '等关键信息。' ELSE '' END)"
+
+
+def sql_first_replaced(text: str, words: list[str], new: str) -> str:
+    """SQL that replaces the first occurrence of each word."""
+    for w in words:
+        text = f"regexp_replace({text}, {lit(w + '个?')}, {new})"
+    return text
+
+
+_READINGS = {"the": "that one", "la": "una"}
+_READ = ", ".join(
+    f"CASE WHEN contains(lower(text), {lit(w)}) THEN {{'t': {sql_guess('regexp_replace(text, ' + lit('(?i)' + w) + ', ' + lit(m) + chr(44) + lit('g') + ')')}, 'e': {lit(m)}, 'c': 0.7::DOUBLE}} END"
+    for w, m in _READINGS.items()
+)
+
+
+@query(
+    "hypotheses",
+    f"""WITH h AS (SELECT item_id, list_filter([{_READ}], lambda x: x IS NOT NULL) AS found, {{'t': {sql_guess('text')}, 'e': NULL::VARCHAR, 'c': 0.8::DOUBLE}} AS plain FROM benchmark),
+        u AS (SELECT item_id, unnest(CASE WHEN len(found) > 0 THEN found ELSE [plain] END) AS x FROM h)
+        SELECT item_id AS query_id, x.t AS text, x.e AS entity, x.c AS confidence FROM u""",
+)
 def _hypotheses(spark, sf):
     return items(spark, sf).select("query_id", F.explode(W.hypotheses(F.col("text"), {"the": ["that one"], "la": ["una"]})).alias("h")).select(
         "query_id", "h.text", "h.entity", "h.confidence"
     )
 
 
-@query("resolve_references")
+_NAMED = """max(ROW(0.7::DOUBLE + CASE WHEN length(name) > 2 AND contains(query, name) THEN 0.2::DOUBLE ELSE 0 END, name))[2]"""
+
+
+@query(
+    "resolve_references",
+    f"""WITH {PAIRS}, said AS (SELECT conv_id, turn, query, unnest(list_slice({sql_words('answer')}, 1, 5)) AS name FROM pairs),
+        best AS (SELECT conv_id, turn, {_NAMED} AS name FROM said GROUP BY ALL)
+        SELECT conv_id, turn, CASE WHEN name IS NULL THEN query ELSE {sql_first_replaced('query', ['the', 'der', 'la'], 'name')} END AS resolved
+        FROM pairs LEFT JOIN best USING (conv_id, turn)""",
+)
 def _resolve(spark, sf):
     p = answer_pairs(spark, sf)
     entity = F.transform(
@@ -162,7 +205,14 @@ def _resolve(spark, sf):
     return p.select("conv_id", "turn", W.resolve_references(F.col("query"), entity, ["the", "der", "la"]).alias("resolved"))
 
 
-@query("query_enhancements")
+@query(
+    "query_enhancements",
+    f"""WITH t AS (SELECT t.*, text FROM ({sql_scene_tags()}) t JOIN conversations USING (conv_id, turn))
+        SELECT conv_id, turn, concat_ws(',', CASE WHEN contains(tags, 'HistoryRef') AND turn > 0 THEN 'coreference_resolution' END,
+          CASE WHEN contains(tags, 'Ambiguous') THEN CASE WHEN {' + '.join(f"contains(lower(text), {lit(w)})::INT" for w in S.AMBIGUOUS_WORDS)} BETWEEN 2 AND 3 THEN 'hyde_multi' ELSE 'hyde_single' END END,
+          CASE WHEN contains(tags, 'MultiQuestion') THEN 'query_decomposition' END, CASE WHEN contains(tags, 'Temporal') THEN 'temporal_injection' END,
+          CASE WHEN contains(tags, 'Comparative') AND regexp_matches(text, {lit(_VS_RE)}) THEN 'comparative_expansion' END) AS enhancements FROM t""",
+)
 def _enhancements(spark, sf):
     u = tagged_users(spark, sf)
     h, c = W.hypotheses(F.col("text")), W.comparative_subqueries(F.col("text"))
