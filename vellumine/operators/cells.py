@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import vectors as V
 from vellumine.operators import knn as N
+from vellumine.operators.knn import _matrix, _scores  # named, as task functions that name a module would carry all of it
 from vellumine.operators.scale import top_k
 from vellumine.session import cut_lineage
 
@@ -38,7 +39,7 @@ class Bound(NamedTuple):
 
 
 def _distance(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    return N._scores(rows, queries, "l2")
+    return _scores(rows, queries, "l2")
 
 
 BOUNDS = {
@@ -89,7 +90,7 @@ class CellIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    cell = _distance(pivots, N._matrix(batch.column("v"), dim)).argmin(axis=0)
+                    cell = _distance(pivots, _matrix(batch.column("v"), dim)).argmin(axis=0)
                     yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell, pa.int32())], names=["id", "v", "cell"])
 
         return self.rows.mapInArrow(run, f"id {self.kind}, v array<double>, cell int")
@@ -109,7 +110,7 @@ class CellIndex:
                 for low, high in zip(borders[:-1].tolist(), borders[1:].tolist()):
                     for start in range(low, high, block_rows):
                         part = batch.slice(start, min(block_rows, high - start))
-                        v = N._matrix(part.column("v"), dim)
+                        v = _matrix(part.column("v"), dim)
                         codes, steps, errors = coded(v)
                         centre = v.mean(axis=0)
                         radius = float(np.linalg.norm(v - centre, axis=1).max())
