@@ -16,14 +16,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumine.functions import vectors as V
 from vellumine.operators import knn as N
 from vellumine.operators.knn import _matrix, _scores  # named, as task functions that name a module would carry all of it
 from vellumine.operators.scale import top_k
-from vellumine.session import cut_lineage
 
 LEVELS = 127
 #: Room for rounding: of the bounds, and of scores that rank equal after ``knn.ORDER_DIGITS`` digits.
@@ -165,11 +164,11 @@ class CellIndex:
                         )
 
         pairs = N.met_blocks(self.blocks, N._packed(asked, N.QUERY_BLOCK, "q"))
-        found = cut_lineage(pairs.mapInArrow(search, f"query_id {kinds[0]}, id {kinds[1]}, most double, surely double"))
-        certain = top_k(found, ["query_id"], [F.col("surely").desc(), F.col("id")], k).groupBy("query_id").agg(
-            F.when(F.count(F.lit(1)) == k, F.min("surely")).alias("reach")
-        )
-        left = found.join(certain, "query_id").where(F.col("reach").isNull() | (F.col("most") >= F.col("reach") - SLACK))
+        found = pairs.mapInArrow(search, f"query_id {kinds[0]}, id {kinds[1]}, most double, surely double")
+        # a query has its best few rows of each task here
+        every = Window.partitionBy("query_id").orderBy(F.col("surely").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        reach = F.nth_value("surely", k).over(every)
+        left = found.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("most") >= F.col("reach") - SLACK))
         return left.select("query_id", "id").distinct()
 
     def search(self, queries: DataFrame, k: int, metric: str = "l2", query_id: str = "query_id", least: float | None = None, exclude_self: bool = False) -> DataFrame:
