@@ -3,7 +3,7 @@ parameter tables, so one pass over the text scores every rule without a join."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -128,9 +128,10 @@ def expense_tags(text: Column, table=S.EXPENSE_WORDS) -> Column:
 # --- queries ------------------------------------------------------------------------------
 
 
-def query_intent(query: Column, rules=S.INTENT_RULES, default=S.INTENT_DEFAULT) -> Column:
-    """struct(intent, confidence) of the first rule that matches."""
-    text = strip(F.lower(query))
+def query_intent(query: Column, rules=S.INTENT_RULES, default=S.INTENT_DEFAULT, bare: Callable[[Column], Column] | None = None) -> Column:
+    """struct(intent, confidence) of the first rule that matches. ``bare`` prepares the text: by default lower case without
+    white space at both ends."""
+    text = bare(query) if bare else strip(F.lower(query))
     pick = lambda name, conf: F.struct(F.lit(name).alias("intent"), F.lit(float(conf)).alias("confidence"))
     out = None
     for name, conf, patterns in rules:
