@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,21 +74,34 @@ def hashed_vector(words: Column, dim: int = 64) -> Column:
 DIM = 64
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def hashed_text_vector(texts: pd.Series) -> pd.Series:
-    """``hashed_vector`` of the lower-cased words of a text, for whole tables.
+#: Texts whose words a worker holds as objects, and words that it knows before it starts anew.
+SLICE_TEXTS, KNOWN_WORDS = 64, 1 << 16
 
-    A worker digests each distinct word once; a batch is one histogram over (row, bucket).
-    """
-    known: dict[str, int] = {}
 
-    def bucket(word: str) -> int:
-        found = known.get(word)
-        if found is None:
-            found = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % DIM
+class _Buckets(dict):
+    """Bucket of each word, digested when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % DIM
         return found
 
-    flat = [i * DIM + bucket(w) for i, t in enumerate(texts) for w in (t or "").lower().split()]
-    counts = np.bincount(np.asarray(flat, dtype=np.int64), minlength=len(texts) * DIM).reshape(len(texts), DIM).astype(float)
-    size = np.linalg.norm(counts, axis=1, keepdims=True)
-    return pd.Series(list(np.divide(counts, size, out=counts, where=size > 0)))
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def hashed_text_vector(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``hashed_vector`` of the lower-cased words of a text, for whole tables.
+
+    A worker digests each distinct word about once; a text is one histogram over buckets. Memory holds one
+    Arrow batch, the words of one slice and a bounded dictionary, whatever the table and its vocabulary.
+    """
+    known = _Buckets()
+    for batch in batches:
+        out = np.zeros((len(batch), DIM))
+        for start in range(0, len(batch), SLICE_TEXTS):
+            for row, text in zip(out[start:], batch.slice(start, SLICE_TEXTS).to_pylist()):
+                words = (text or "").lower().split()
+                row += np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=DIM)
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        np.divide(out, size, out=out, where=size > 0)
+        yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, DIM), pa.int32()), pa.array(out.reshape(-1)))
