@@ -240,18 +240,32 @@ class IvfIndex:
         )
 
     def search(self, queries: DataFrame, k: int, query_id: str = "query_id", nprobe: int | None = None) -> DataFrame:
+        """Rows of the probed cells are scored in blocks, as in exact search. Rows lie by cell, so a block holds few cells and
+        only the queries that probe one of them are multiplied with it; pairs never become rows."""
         probes = min(nprobe or min(64, 2 * k), len(self.centers))
-        centers = self.centers  # at most 400 vectors
+        centers, dim = self.centers, self.centers.shape[1]  # at most 400 vectors
 
-        @F.pandas_udf("array<int>")
-        def nearest(vectors: pd.Series) -> pd.Series:
+        @F.pandas_udf("array<double>")
+        def probed(vectors: pd.Series) -> pd.Series:
             matrix = np.array(vectors.tolist(), float).reshape(len(vectors), -1)
-            return pd.Series(list(np.argsort(_scores(centers, matrix, "l2"), axis=0, kind="stable")[:probes].T.astype(np.int32)))
-
-        asked = queries.select(F.col(query_id).alias("query_id"), F.col(self.vector).cast("array<double>").alias("q"))
-        wanted = asked.select("query_id", "q", F.explode(nearest("q")).alias("cell"))
-        scored = self.table.join(wanted, "cell").select("query_id", "id", V.l2(F.col("q"), F.col("v")).alias("score"))
-        return top_k(scored, ["query_id"], [F.round("score", ORDER_DIGITS), F.col("id")], k)
+            nearest = np.argsort(_scores(centers, matrix, "l2"), axis=0, kind="stable")[:probes].T
+            marks = np.zeros((len(matrix), len(centers)))
+            np.put_along_axis(marks, nearest, 1.0, axis=1)
+            return pd.Series(list(np.concatenate([matrix, marks], axis=1)))
+
+        def score(rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
+            cell, marks = rows[:, dim].astype(int), asked[:, dim:] > 0
+            live = np.flatnonzero(marks[:, np.unique(cell)].any(axis=1))
+            out = np.full((len(rows), len(asked)), np.inf)
+            out[:, live] = np.where(marks[live][:, cell].T, _scores(rows[:, :dim], asked[live, :dim], "l2"), np.inf)
+            return out
+
+        rows = self.table.repartitionByRange("cell", "id").select(
+            "id", F.concat(F.col("v").cast("array<double>"), F.array(F.col("cell").cast("double"))).alias("v")
+        )
+        asked = queries.select(F.col(query_id).alias("id"), probed(F.col(self.vector).cast("array<double>")).alias("v"))
+        found = _blocked(rows, asked, k, True, score, same_width=False)
+        return top_k(found, ["query_id"], [F.round("score", ORDER_DIGITS), F.col("id")], k)
 
 
 class PqIndex:
@@ -296,7 +310,7 @@ class LshIndex:
     """Random-projection hashing; candidates share a bucket with the query in any table."""
 
     def __init__(self, corpus: DataFrame, corpus_id: str = "vec_id", vector: str = "embedding", bucket: float = 0.6, tables: int = 6, seed: int = 7):
-        self.vector = vector
+        self.vector, self.tables = vector, tables
         lsh = BucketedRandomProjectionLSH(inputCol="_f", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed)
         features = _features(corpus, vector)
         self.model = lsh.fit(features)
@@ -307,16 +321,25 @@ class LshIndex:
         return self.model.transform(features).withColumn("hashes", arrays)
 
     def search(self, queries: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
-        """Buckets are matched against the broadcast queries, so a crowded bucket is filtered
-        where it lies and pairs among corpus rows never arise."""
-        wanted = self._hashed(_features(queries, self.vector)).select(
-            F.col(query_id).alias("query_id"), F.col(self.vector).alias("q"), F.posexplode("hashes").alias("t", "h")
-        )
-        cells = self.table.select("id", "v", F.posexplode("hashes").alias("t", "h"))
-        pairs = cells.join(wanted, ["t", "h"])
-        scored = pairs.select("query_id", "id", V.l2(F.col("q"), F.col("v")).alias("score"))
-        unique = scored.groupBy("query_id", "id").agg(F.min("score").alias("score"))
-        return top_k(unique, ["query_id"], [F.round("score", ORDER_DIGITS), F.col("id")], k)
+        """Rows that share a bucket with a query are scored in blocks, as in exact search: a block that shares none is skipped, in
+        others pairs without a common bucket are left out. Buckets of any size cost no more than a scan and make no rows."""
+        tables = self.tables
+
+        def score(rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
+            v, h, q, g = rows[:, :-tables], rows[:, -tables:], asked[:, :-tables], asked[:, -tables:]
+            out = np.full((len(rows), len(asked)), np.inf)
+            met = np.zeros(out.shape, bool)
+            for t in range(tables):
+                met |= h[:, t][:, None] == g[:, t][None, :]
+            live = np.flatnonzero(met.any(axis=0))
+            if len(live):
+                out[:, live] = np.where(met[:, live], _scores(v, q[live], "l2"), np.inf)
+            return out
+
+        joined = lambda v: F.concat(F.col(v).cast("array<double>"), F.col("hashes")).alias("v")
+        asked = self._hashed(_features(queries, self.vector)).select(F.col(query_id).alias("id"), joined(self.vector))
+        found = _blocked(self.table.select("id", joined("v")), asked, k, True, score)
+        return top_k(found, ["query_id"], [F.round("score", ORDER_DIGITS), F.col("id")], k)
 
 
 def vector_to_array_first(h: Column) -> Column:
