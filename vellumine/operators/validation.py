@@ -139,22 +139,35 @@ def is_off_topic(answer: Column, query: Column, context: Column, stop: Sequence[
 # --- quality gate ---------------------------------------------------------------------------
 
 
-def gate_scores(hits: DataFrame, *, stop: Sequence[str] = S.GATE_STOP_WORDS, temporal: Column | None = None, dated: Column | None = None, normalise: str = "count") -> DataFrame:
-    """Five quality scores, overall and tier per query.
+#: Hits of a query whose content the gate reads.
+GATE_CONTENTS = 10
 
-    ``hits`` has query_id, rank, score, source, content and query. Source diversity divides the
-    entropy by the number of sources, or by its log with ``normalise="log2"``.
-    """
+
+def gate_rows(hits: DataFrame, *, stop: Sequence[str] = S.GATE_STOP_WORDS, temporal: Column | None = None, dated: Column | None = None, keep: Sequence[Column | str] = ()) -> DataFrame:
+    """What the gate needs of each hit, without its text; ``keep`` are further columns."""
     words = lambda c: F.array_distinct(K.word_keywords(F.col(c), stop))
     asked, shown = words("query"), words("content")
-    rows = hits.select(
+    return hits.select(
         "query_id", "rank", "score", "source",
         F.size(asked).alias("_asked"), F.size(shown).alias("_shown"),
         F.size(F.array_intersect(asked, shown)).alias("_shared"),
         (F.lit(0.5) if dated is None else F.when(dated, 0.8).otherwise(0.5)).alias("_recency"),
-        (F.lit(False) if temporal is None else temporal).alias("_temporal"),
+        (F.lit(False) if temporal is None else temporal).alias("_temporal"), *keep,
     )
-    top10, top5 = F.col("rank") <= 10, F.col("rank") <= 5
+
+
+def gate_scores(hits: DataFrame, *, stop: Sequence[str] = S.GATE_STOP_WORDS, temporal: Column | None = None, dated: Column | None = None, normalise: str = "count") -> DataFrame:
+    """Five quality scores, overall and tier per query.
+
+    ``hits`` has query_id, rank, score, source, content and query. Source diversity divides the
+    entropy by the number of sources, or by its log with ``normalise="log2"``.
+    """
+    return scored_rows(gate_rows(hits, stop=stop, temporal=temporal, dated=dated), normalise)
+
+
+def scored_rows(rows: DataFrame, normalise: str = "count") -> DataFrame:
+    """``gate_scores`` of ``gate_rows``; hits after ``GATE_CONTENTS`` only count by score and source."""
+    top10, top5 = F.col("rank") <= GATE_CONTENTS, F.col("rank") <= 5
     cover = F.avg(F.when(top10 & (F.col("_shown") > 0) & (F.col("_asked") > 0), F.col("_shared") / F.col("_asked")))
     base = rows.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("_asked").alias("_asked"), cover.alias("_cover"),

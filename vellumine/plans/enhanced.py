@@ -33,6 +33,8 @@ CLARIFY_PROMPT = (
     "1. 礼貌友好\n2. 指出可能的不明确之处\n3. 给出2-3个具体的选项或建议"
 )
 SUB_HITS, SUB_CHARS = 3, 300
+#: Hits, and characters of each, that prompts and citations show at most.
+SHOWN_HITS, SHOWN_CHARS = 5, 500
 #: Messages of a slice in which a conversation is numbered.
 TURN_SLICE = 4096
 #: Probe kind: weight of its hits and how many count.
@@ -167,8 +169,16 @@ def enhanced_answers(
     searched = plan.where("route <> 'direct_generation'")
     hits = cut_lineage(retrieve(chunks, searched, key, text, encode))
     asked = searched.select("query_id", F.col("main_query").alias("query"), "tags")
-    shown = cut_lineage(chunks.select(key, F.col(text).alias("content")).join(hits, key).join(asked, "query_id"))
-    gate = A.gate_scores(shown, stop=stop, temporal=F.array_contains("tags", "Temporal"))
+    # Only the first hits' texts are read, and only their heads go on: prompts and citations show no more.
+    read = hits.where(F.col("rank") <= A.GATE_CONTENTS).join(asked, "query_id")
+    read = chunks.select(key, F.col(text).alias("content")).join(read, key)
+    head = F.when(F.col("rank") <= SHOWN_HITS, F.left("content", F.lit(SHOWN_CHARS))).alias("content")
+    seen = cut_lineage(A.gate_rows(read, stop=stop, temporal=F.array_contains("tags", "Temporal"), keep=[key, head]))
+    later = hits.where(F.col("rank") > A.GATE_CONTENTS).select(
+        "query_id", "rank", "score", "source", *[F.lit(0).alias(c) for c in ("_asked", "_shown", "_shared")], F.lit(0.5).alias("_recency"), F.lit(False).alias("_temporal"),
+    )
+    gate = A.scored_rows(seen.drop(key, "content").unionByName(later))
+    shown = seen.where(F.col("rank") <= SHOWN_HITS).select("query_id", key, "rank", "score", "source", "content").join(asked, "query_id")
     verdict = A.repair_feedback(F.col("n"), F.col("relevance"), F.col("diversity"), F.col("recency"))
     gate = gate.select("query_id", "overall", A.gate_tier(F.col("overall")).alias("tier"), verdict.alias("_f"))
     unsure = (F.col("tier") == "low") & ((F.col("_f.action") == "clarify") | (F.col("overall") < clarify_below))
