@@ -24,7 +24,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of texts whose 5-word shingles have Jaccard 0.8 or more."""
+    """The document with the smallest id of each component of near copies: candidates by SimHash, and by bands where its radius
+    can't reach, of which those whose 5-word shingles have Jaccard 0.8 or more are linked."""
     return similar.first_of_each(docs)
 
 

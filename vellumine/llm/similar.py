@@ -4,7 +4,8 @@ Shingles: a text is lower-cased (A-Z), its words ``[^\\x20\\x09-\\x0D]+`` form s
 the whole sequence); a text is the set of their 64-bit hashes. Two texts are near copies if the Jaccard similarity of their
 sets is ``least`` or more.
 
-Candidates: ``BANDS`` bands of ``BAND_ROWS`` least hashes each. Texts that share a band are candidates; at similarity 0.8 a
+Candidates, first: texts whose SimHash fingerprints (``simhash``, as the operator of that name makes and links them) differ in at
+most ``RADIUS`` bits. Many pairs of this similarity differ in more bits, so further candidates are found by ``BANDS`` bands of ``BAND_ROWS`` least hashes each. Texts that share a band are candidates; at similarity 0.8 a
 pair shares none with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8, and less above. Each member of a band is linked to the
 band's smallest, so a crowded band makes no pairs. Candidate components only say which texts are compared.
 
@@ -29,11 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumine.llm.common import map_arrow, sliced, texts_of
-from vellumine.llm.simhash import LOWER, SEED, components
+from vellumine.llm.simhash import LOWER, SEED, components, fingerprint
+from vellumine.llm.simhash import links as simhash_links
 from vellumine.session import cut_lineage
 
 BANDS = 32
 BAND_ROWS = 4
+#: Words of a shingle, and differing bits, of the SimHash candidates.
+SIMHASH_WORDS, RADIUS = 3, 3
 #: Hashes that meet all least-hash functions at once.
 BLOCK = 2048
 #: Texts and bytes of one chunk of a window.
@@ -79,27 +83,28 @@ def node_of(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame, words_per_shingle: int) -> DataFrame:
-    """doc_id, node, ``n`` distinct shingles, ``bytes`` of the text and its ``bands``."""
+    """doc_id, node, ``n`` distinct shingles, ``bytes`` of the text, its SimHash ``fp`` and its ``bands``."""
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = factors()
         for batch in sliced(batches):
-            sizes, keys = [], []
+            sizes, keys, prints = [], [], []
             for text in texts_of(batch):
                 hashes = shingles(text, words_per_shingle)
                 sizes.append(len(hashes))
                 keys.append(band_keys(hashes, a, b))
+                prints.append(fingerprint(text, SIMHASH_WORDS))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), batch.column("bytes"), bands],
-                names=["doc_id", "node", "n", "bytes", "bands"],
+                [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), batch.column("bytes"), pa.array(np.array(prints, np.uint64).view(np.int64)), bands],
+                names=["doc_id", "node", "n", "bytes", "fp", "bands"],
             )
 
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", node_of(F.col("text")).alias("node"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), text.alias("text"))
-    return map_arrow(rows, run, f"doc_id {kind}, node long, n long, bytes long, bands array<long>")
+    return map_arrow(rows, run, f"doc_id {kind}, node long, n long, bytes long, fp long, bands array<long>")
 
 
 def spanning_links(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -128,12 +133,24 @@ def spanning_links(nodes: list[int], sets: list[np.ndarray], least: float) -> li
     return out
 
 
+def simhash_candidates(nodes: DataFrame) -> DataFrame:
+    """Links (u > v) that connect the nodes whose fingerprints ``fp`` lie within the radius: each node to the smallest node of its
+    fingerprint, and those along the links of the SimHash operator."""
+    heads = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    same = nodes.select("node", "fp").join(heads, "fp").where("node > head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    near = simhash_links(heads.select("fp"), RADIUS)
+    named = lambda end, out: heads.select(F.col("fp").alias(end), F.col("head").alias(out))
+    met = near.join(named("u", "a"), "u").join(named("v", "b"), "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return same.unionByName(met)
+
+
 def links(docs: DataFrame, known: DataFrame, words_per_shingle: int, least: float) -> DataFrame:
     """Distinct links (u > v) that connect all texts of ``least`` similarity or more; ``known`` are the texts' sketches."""
-    nodes = known.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bytes").alias("bytes"), F.any_value("bands").alias("bands"))
+    nodes = known.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bytes").alias("bytes"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").select("key", "v")
-    met = cut_lineage(keyed.join(heads, "key").where("node > v").select(F.col("node").alias("u"), "v").distinct())
+    shared = keyed.join(heads, "key").where("node > v").select(F.col("node").alias("u"), "v")
+    met = cut_lineage(simhash_candidates(nodes).unionByName(shared).distinct())
     groups = components(met).select(F.col("fp").alias("node"), F.col("root").alias("group"))
     step = math.log(1.01 / least)
     size_class = F.floor(F.log("n") / step)
