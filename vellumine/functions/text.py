@@ -39,8 +39,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(col: Column) -> Column:
-    """Trim all Unicode whitespace, not only spaces."""
-    return F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Trim all Unicode whitespace, not only spaces. A pattern would be tried at every space inside, and along a run of spaces
+    from each of them."""
+    return F.btrim(col, F.lit("".join(S.ANY_SPACE)))
+
+
+def filled(col: Column) -> Column:
+    """Whether anything but white space is there; reading stops at the first such character."""
+    return col.rlike(f"[^{SPACE}]")
 
 
 def lines(col: Column) -> Column:

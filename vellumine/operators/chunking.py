@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vellumine import settings as S
 from vellumine.functions import rules as R
 from vellumine.functions import vectors as V
-from vellumine.functions.text import char_class, let, strip
+from vellumine.functions.text import char_class, filled, let, strip
 from vellumine.functions.tokens import estimate_tokens
 
 HARD_LIMIT = 2000
@@ -81,7 +81,7 @@ def split_pieces(text: Column, mark: str) -> Column:
 
 def split_before(text: Column, head: str) -> Column:
     """Text cut at newlines that precede ``head``; blank pieces dropped."""
-    return F.filter(F.split(text, f"\\n(?={head})"), lambda p: strip(p) != "")
+    return F.filter(F.split(text, f"\\n(?={head})"), filled)
 
 
 def protect(text: Column, *patterns: str) -> Column:
@@ -111,7 +111,7 @@ def protect(text: Column, *patterns: str) -> Column:
 
 def restore(text: Column) -> Column:
     """Shielded newlines, and the text's own shield characters, as they were."""
-    plain = F.translate(text, SHIELD, "\n")
+    plain = F.replace(text, F.lit(SHIELD), F.lit("\n"))
     return F.replace(F.replace(plain, F.lit(ESCAPE + "0"), F.lit(SHIELD)), F.lit(ESCAPE + "1"), F.lit(ESCAPE))
 
 
@@ -125,7 +125,7 @@ def fixed_windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
     windows = F.transform(
         starts, lambda s: F.struct(s.alias("start"), F.substr(text, s + 1, F.lit(size)).alias("text"))
     )
-    return F.filter(windows, lambda w: strip(w["text"]) != "")
+    return F.filter(windows, lambda w: filled(w["text"]))
 
 
 def force_split(text: Column, limit: int = HARD_LIMIT, marks: str = "。；！？\n") -> Column:
@@ -211,7 +211,7 @@ def sentence_windows(text: Column, size: int = 10, overlap: int = 2, marks: str
         starts = F.sequence(F.lit(1), F.greatest(F.size(sentences), F.lit(1)), F.lit(step))
         return F.transform(starts, lambda s: F.array_join(F.slice(sentences, s, size), ""))
 
-    return F.filter(let(found, windows), lambda c: strip(c) != "")
+    return F.filter(let(found, windows), filled)
 
 
 def paragraphs(text: Column, delimiter: str = "\\n\\s*\\n") -> Column:
@@ -230,7 +230,7 @@ def custom_pieces(text: Column, delimiters: Sequence[str], children: Sequence[st
 def qa_pairs(text: Column) -> Column:
     """array<struct<question, answer>> of a question-and-answer document; text before the first question has none."""
     mark = f"(?:第[{NUMERALS}]+问|QUESTION\\s+[A-Z0-9]+|问题\\s*[:：]|Q\\d+\\s*[:：])"
-    pieces = F.filter(F.split(text, f"(?m)(?=^{mark})"), lambda p: strip(p) != "")
+    pieces = F.filter(F.split(text, f"(?m)(?=^{mark})"), filled)
 
     def pair(p: Column) -> Column:
         asked = p.rlike(f"^{mark}")
@@ -255,7 +255,7 @@ HEADING_MARKS = {
 
 def heading_sections(text: Column, marks: str = HEADING_MARKS["markdown"]) -> Column:
     """array<struct<title, content>>: the content of a section includes its heading line."""
-    pieces = F.filter(F.split(text, f"\\n(?=[ \\t]*(?:{marks}))"), lambda p: strip(p) != "")
+    pieces = F.filter(F.split(text, f"\\n(?=[ \\t]*(?:{marks}))"), filled)
 
     def section(p: Column) -> Column:
         first = strip(F.substring_index(p, "\n", 1))
@@ -360,8 +360,11 @@ def _by_section(text: Column, expand: Callable[[Column, Column], Column], kind:
     """``##`` sections; those longer than ``limit`` are expanded by ``expand(section, title)``."""
 
     def section(s: Column) -> Column:
-        title = _heading(s, 2)
-        return F.when(F.length(s) > limit, expand(s, title)).otherwise(F.array(_chunk(s, kind, title)))
+        # Bound, as is every heading below: inside a lambda its section would be searched again for each chunk.
+        return let(
+            _heading(s, 2),
+            lambda title: F.when(F.length(s) > limit, expand(s, title)).otherwise(F.array(_chunk(s, kind, title))),
+        )
 
     return F.flatten(F.transform(split_before(text, "##\\s+"), section))
 
@@ -391,9 +394,11 @@ def product_chunks(text: Column, limit: int = HARD_LIMIT) -> Column:
 
     def expand(section: Column, title: Column) -> Column:
         def part(p: Column) -> Column:
-            sub = _heading(p, 3)
-            return F.when(F.length(p) > limit, paragraphs_of(p, title, sub)).otherwise(
-                F.array(_chunk(p, "product_section", title, sub))
+            return let(
+                _heading(p, 3),
+                lambda sub: F.when(F.length(p) > limit, paragraphs_of(p, title, sub)).otherwise(
+                    F.array(_chunk(p, "product_section", title, sub))
+                ),
             )
 
         return F.flatten(F.transform(split_before(section, "###\\s+"), part))
@@ -503,7 +508,7 @@ def hr_chunks(text: Column, limit: int = HARD_LIMIT) -> Column:
         def part(p: Column) -> Column:
             sub = F.when(p.rlike(f"^{article}"), strip(F.substring_index(p, "\n", 1))).otherwise("")
             # An article over the limit is cut again so that no chunk exceeds it.
-            return F.transform(force_split(p, limit), lambda t: _chunk(t, "hr_article", title, sub))
+            return let(sub, lambda sub: F.transform(force_split(p, limit), lambda t: _chunk(t, "hr_article", title, sub)))
 
         return F.flatten(F.transform(split_before(section, article), part))
 
@@ -518,19 +523,21 @@ def project_chunks(text: Column, limit: int = HARD_LIMIT) -> Column:
 
     def part(title: Column) -> Callable[[Column], Column]:
         def build(p: Column) -> Column:
-            sub = _heading(p, 3)
             steps = F.transform(split_before(p, step), lambda s: F.struct(s.alias("text"), F.length(s).alias("size")))
             groups = group_pieces(steps, lambda acc, s: acc["size"] + s["size"] > limit)
-            return F.when(
-                F.length(p) > limit, F.transform(groups, lambda g: _chunk(join_text(g, "\n"), "pm_step", title, sub))
-            ).otherwise(F.array(_chunk(p, "pm_section", title, sub)))
+            return let(
+                _heading(p, 3),
+                lambda sub: F.when(
+                    F.length(p) > limit, F.transform(groups, lambda g: _chunk(join_text(g, "\n"), "pm_step", title, sub))
+                ).otherwise(F.array(_chunk(p, "pm_section", title, sub))),
+            )
 
         return build
 
     def chapter_of(c: Column) -> Column:
         first = strip(F.substring_index(c, "\n", 1))
-        title = F.when(first.rlike(f"^{chapter}"), first).otherwise("")
-        return F.flatten(F.transform(split_before(c, "###\\s+"), part(title)))
+        named = let(first, lambda f: F.when(f.rlike(f"^{chapter}"), f).otherwise(""))
+        return let(named, lambda title: F.flatten(F.transform(split_before(c, "###\\s+"), part(title))))
 
     shielded = protect(text, CODE_BLOCK, checklist)
     return _unshield(merge_small(F.flatten(F.transform(split_before(shielded, chapter), chapter_of)), 400))
@@ -547,7 +554,7 @@ def policy_chunks(text: Column, short_first: int = 800, short_last: int = 200) -
     def sections_of(ch: Column, number: Column) -> Column:
         parts = split_before(ch, section)
 
-        def glue(ps: Column) -> Column:
+        def glue(ps: Column, heading: Column) -> Column:
             last = F.size(ps) - 1
 
             def one(p: Column, j: Column) -> Column:
@@ -555,13 +562,13 @@ def policy_chunks(text: Column, short_first: int = 800, short_last: int = 200) -
                 tail = (j == last) & (j > 1) & (F.length(p) < short_last)
                 return F.struct(
                     p.alias("text"), F.length(p).alias("size"), (joined | tail).alias("glued"),
-                    number.alias("chapter_index"), title_of(ch).alias("chapter"), title_of(p).alias("title"),
+                    number.alias("chapter_index"), heading.alias("chapter"), title_of(p).alias("title"),
                     j.alias("section_index"), F.size(ps).alias("parts"),
                 )
 
             return F.transform(ps, one)
 
-        return let(parts, glue)
+        return let(title_of(ch), lambda heading: let(parts, lambda ps: glue(ps, heading)))
 
     def body(ps: Column) -> Column:
         # The preamble belongs to chapter one, which stays one chunk with all its sections.
