@@ -459,22 +459,23 @@ def article_chunks(
 
     def articles_of(ch: Column) -> Column:
         head = strip(F.substring_index(strip(ch), "\n", 1))
-        title = F.when(head.rlike(f"^(?:{chapter})"), head).otherwise("")
+        named = let(head, lambda h: F.when(h.rlike(f"^(?:{chapter})"), h).otherwise(""))
+        return let(named, lambda title: F.flatten(F.transform(split_before(ch, article), lambda a: let(strip(a), article_of(title)))))
 
+    def article_of(title: Column) -> Callable[[Column], Column]:
         def one(a: Column) -> Column:
-            numbers = F.when(strip(a).rlike(number), F.array(F.regexp_extract(strip(a), number, 1))).otherwise(
-                F.array().cast("array<string>")
-            )
-            sentences = F.transform(
-                split_pieces(strip(a), marks), lambda s: F.struct(s.alias("text"), pack_by(s).alias("size"))
-            )
+            found = F.when(a.rlike(number), F.array(F.regexp_extract(a, number, 1))).otherwise(F.array().cast("array<string>"))
+            sentences = F.transform(split_pieces(a, marks), lambda s: F.struct(s.alias("text"), pack_by(s).alias("size")))
             groups = group_pieces(sentences, lambda acc, s: acc["size"] + s["size"] > pack)
-            return F.when(
-                F.length(strip(a)) > limit,
-                F.transform(groups, lambda g, i: piece(join_text(g, ""), f"{name}_split", title, numbers, i)),
-            ).otherwise(F.array(piece(a, name, title, numbers, F.lit(None).cast("int"))))
+            return let(
+                found,
+                lambda numbers: F.when(
+                    F.length(a) > limit,
+                    F.transform(groups, lambda g, i: piece(join_text(g, ""), f"{name}_split", title, numbers, i)),
+                ).otherwise(F.array(piece(a, name, title, numbers, F.lit(None).cast("int")))),
+            )
 
-        return F.flatten(F.transform(split_before(ch, article), one))
+        return one
 
     chunks = F.flatten(F.transform(split_before(protect(text, TABLE_BLOCK), chapter), articles_of))
 
