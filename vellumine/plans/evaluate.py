@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.functions.text import let
 from vellumine.operators import metrics as M
 from vellumine.session import cut_lineage
 
@@ -22,20 +23,33 @@ def containing(items: DataFrame, texts: DataFrame, item: str = "query", text: st
 
     An item's inner words (all but its first and last) stand whole in any text that holds it, between the same white space.
     A run of up to ``RUN`` of them is an equi-join key; the text itself then decides. Items of two words or fewer have no inner
-    word and are searched for in every text. Null and empty items are in no text.
+    word and are searched for in every text. Null and empty items are in no text. Only keys travel with the runs, whose making
+    is linear in a text's words; a text is met again by its key.
     """
     words = lambda c: F.filter(F.split(F.col(c), "\\s+"), lambda w: w != "")
     asked = items.select(F.col(item_id), F.col(item).alias("_item")).where(F.length("_item") > 0).withColumn("_w", words("_item"))
     inner = F.slice("_w", F.lit(2), F.least(F.lit(RUN), F.greatest(F.size("_w") - 2, F.lit(0))))
     asked = asked.select(item_id, "_item", F.array_join(inner, " ").alias("_run"), F.size(inner).alias("_n"))
-    held = texts.select(F.col(key), F.col(text).alias("_text")).where("_text IS NOT NULL").withColumn("_w", words("_text"))
-    of = lambda n: F.when(
-        F.size("_w") >= n, F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
-    ).otherwise(F.array().cast("array<string>"))
-    runs = F.array_distinct(F.concat(*[of(n) for n in range(1, RUN + 1)]))
-    met = held.select(key, "_text", F.explode(runs).alias("_run")).join(asked.where("_n > 0"), "_run")
-    short = held.join(asked.where("_n = 0"), F.contains("_text", "_item"))
-    found = met.where(F.contains("_text", "_item")).select(item_id, key).unionByName(short.select(item_id, key))
+    sizes = {r["_n"] for r in asked.select("_n").distinct().collect()}  # RUN + 1 of them at most
+    held = texts.select(F.col(key), F.col(text).alias("_text")).where("_text IS NOT NULL")
+
+    def runs(ws: Column) -> Column:
+        """Runs of the items' lengths, each made of the shorter run before it and one more word; a slice for each would copy all words."""
+        every, run = [], ws
+        for n in range(1, max(sizes) + 1):
+            if n > 1:
+                # the last places have no such word: null there
+                run = F.zip_with(run, F.slice(ws, n, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+            if n in sizes:
+                every.append(run)
+        return F.array_distinct(F.concat(*every))
+
+    found = held.join(asked.where("_n = 0"), F.contains("_text", "_item")).select(item_id, key)
+    if sizes - {0}:
+        met = held.select(F.col(key).alias("_key"), F.explode_outer(let(words("_text"), runs)).alias("_run")).where("_run IS NOT NULL")
+        met = met.join(asked.where("_n > 0"), "_run").select("_key", item_id, "_item")
+        holds = F.col("_key").eqNullSafe(F.col(key)) & F.contains("_text", "_item")
+        found = found.unionByName(met.join(held, holds).select(item_id, key))
     return found.distinct()
 
 
