@@ -136,7 +136,7 @@ class CellIndex:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                    q = row("q_v").reshape(-1, dim)
+                    q = np.frombuffer(batch.column("q_v")[i].as_buffer()).reshape(-1, dim)
                     key = row("q_ids")
                     name = key.tobytes() if key.dtype != object else repr(key.tolist()).encode()
                     best = reach.setdefault(name, np.full((len(q), k), floor))

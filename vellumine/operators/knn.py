@@ -58,6 +58,55 @@ def _candidates(scores: np.ndarray, ids: np.ndarray, k: int, ascending: bool, sk
     return tuple(x[kept] for x in found)
 
 
+#: Share of a block's pairs up to which single scores are cheaper than the whole product in double precision.
+FEW_PAIRS = 1 / 32
+#: Room for scores that rank equal after ``ORDER_DIGITS`` digits.
+TIE_ROOM = 2e-6
+
+
+def _better(block: np.ndarray, queries: np.ndarray, metric: str, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(query, row) of all pairs whose score may rank before ``reach``, each query's worst score so far; None if they are many.
+
+    A product in single precision leaves out what the bound of its rounding error excludes, so none is lost. For distances,
+    |q - c| < t is the same as q.c - |c|^2 / 2 > (|q|^2 - t^2) / 2.
+    """
+    long_c, long_q = np.linalg.norm(block, axis=1), np.linalg.norm(queries, axis=1)
+    peak_c, peak_q = long_c.max(initial=0), long_q.max(initial=0)
+    if not (peak_c < 1e15 and peak_q < 1e15):
+        return None
+    rounding = 2.0 ** -22 * (block.shape[1] + 4)
+    if metric == "cosine":
+        block = np.divide(block, long_c[:, None], out=np.zeros_like(block), where=long_c[:, None] > 0)
+        queries = np.divide(queries, long_q[:, None], out=np.zeros_like(queries), where=long_q[:, None] > 0)
+        least = reach - TIE_ROOM - rounding
+    elif metric == "dot":
+        least = reach - TIE_ROOM - rounding * peak_c * long_q
+    else:
+        block = np.concatenate([block, -0.5 * (long_c**2)[:, None]], axis=1)
+        queries = np.concatenate([queries, np.ones((len(queries), 1))], axis=1)
+        least = (long_q**2 - (reach + TIE_ROOM) ** 2) / 2 - rounding * (peak_c * long_q + peak_c**2 + long_q**2)
+    # Rounded down, so that the threshold is not above its own value.
+    least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+    product = queries.astype(np.float32) @ block.astype(np.float32).T
+    some = np.flatnonzero(product.max(axis=1) >= least)
+    hit = product[some] >= least[some][:, None]
+    if np.count_nonzero(hit) > FEW_PAIRS * product.size:
+        return None
+    query, row = np.nonzero(hit)
+    return some[query], row
+
+
+def _pair_scores(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Scores in double precision of pairs, one row and one query each."""
+    if metric == "l2":
+        return np.linalg.norm(rows - queries, axis=1)
+    product = (rows * queries).sum(axis=1)
+    if metric == "dot":
+        return product
+    base = np.linalg.norm(rows, axis=1) * np.linalg.norm(queries, axis=1)
+    return np.divide(product, base, out=np.zeros_like(product), where=base > 0)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -65,7 +114,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, block_rows: int, prefix: str) -> DataFrame:
-    """Rows (id, v) as blocks: one row with the ids and the flat vectors of up to ``block_rows`` rows of one width."""
+    """Rows (id, v) as blocks: one row with the ids and the flat vectors (bytes of doubles) of up to ``block_rows`` rows of one width."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +126,12 @@ def _packed(rows: DataFrame, block_rows: int, prefix: str) -> DataFrame:
                     part = chosen.slice(start, block_rows)
                     flat = part.column(1).flatten().cast(pa.float64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part.column(0)], pa.list_(part.schema.field(0).type)), pa.array([flat], pa.list_(pa.float64())), pa.array([width], pa.int32())],
+                        [pa.array([part.column(0)], pa.list_(part.schema.field(0).type)), pa.array([flat.to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([width], pa.int32())],
                         names=[f"{prefix}_ids", f"{prefix}_v", f"{prefix}_width"],
                     )
 
     # Sorted, so that a task that runs again after a loss makes the same blocks.
-    return rows.where("v IS NOT NULL").sortWithinPartitions("id").mapInArrow(pack, f"{prefix}_ids array<{kind}>, {prefix}_v array<double>, {prefix}_width int")
+    return rows.where("v IS NOT NULL").sortWithinPartitions("id").mapInArrow(pack, f"{prefix}_ids array<{kind}>, {prefix}_v binary, {prefix}_width int")
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -124,12 +173,13 @@ def met_blocks(corpus: DataFrame, queries: DataFrame) -> DataFrame:
 
 def _blocked(
     corpus: DataFrame, queries: DataFrame, k: int, ascending: bool, score: Callable[[np.ndarray, np.ndarray], np.ndarray],
-    exclude_self: bool = False, same_width: bool = True, block_rows: int = QUERY_BLOCK,
+    exclude_self: bool = False, same_width: bool = True, block_rows: int = QUERY_BLOCK, metric: str | None = None,
 ) -> DataFrame:
     """(query_id, id, score) candidates: every block of queries meets every block of rows as two matrices.
 
     A task keeps the best ``k`` per query over the blocks it sees, so pairs never become rows; what it holds is written out
-    when it exceeds ``HELD_CANDIDATES``. Ids keep their type.
+    when it exceeds ``HELD_CANDIDATES``. Ids keep their type. With ``metric``, once a query has ``k`` rows, others are told by a
+    product in single precision (``_better``), and only those that may be among the best are scored in double precision.
     """
     pairs = met_blocks(_packed(corpus, block_rows, "c"), _packed(queries, block_rows, "q"))
     kinds = (queries.schema["id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString())
@@ -144,6 +194,24 @@ def _blocked(
                     [asked.take(pa.array(query)), pa.array(ids.tolist(), id_type), pa.array(scores, pa.float64())], names=["query_id", "id", "score"]
                 )
 
+        def found_in(c, q, c_ids, asked, best) -> tuple:
+            if metric is not None and best is not None and len(best[0]):
+                places = np.bincount(best[0], minlength=len(q))
+                # Rows of a query come in order, so the last one of a full list is its worst.
+                reach = np.where(places == k, best[1][np.cumsum(places) - 1] * (1.0 if ascending else -1.0), np.inf if ascending else -np.inf)
+                pairs = _better(c, q, metric, reach)
+                if pairs is not None:
+                    query, row = pairs
+                    ids = np.array(c_ids.take(pa.array(row)).to_pylist())
+                    if exclude_self:
+                        other = ids != np.array(asked.take(pa.array(query)).to_pylist())
+                        query, row, ids = query[other], row[other], ids[other]
+                    scores = _pair_scores(c[row], q[query], metric)
+                    return query, np.round(scores, ORDER_DIGITS) * (1.0 if ascending else -1.0), ids, scores
+            ids = np.array(c_ids.to_pylist())
+            skip = ids[:, None] == np.array(asked.to_pylist())[None, :] if exclude_self else None
+            return _candidates(score(c, q), ids, k, ascending, skip)
+
         id_type = None
         for batch in batches:
             for i in range(batch.num_rows):
@@ -151,18 +219,20 @@ def _blocked(
                 id_type = c_ids.type
                 if same_width and batch.column("c_width")[i].as_py() != batch.column("q_width")[i].as_py():
                     continue
-                c = batch.column("c_v")[i].values.to_numpy().reshape(-1, batch.column("c_width")[i].as_py())
-                q = batch.column("q_v")[i].values.to_numpy().reshape(-1, batch.column("q_width")[i].as_py())
-                ids, names = np.array(c_ids.to_pylist()), np.array(asked.to_pylist())
-                skip = ids[:, None] == names[None, :] if exclude_self else None
-                found = _candidates(score(c, q), ids, k, ascending, skip)
-                key = hashlib.sha256(q.tobytes() + repr(names).encode() + str(len(names)).encode()).digest()
-                if key in held:
-                    both = [np.concatenate(x) for x in zip(held[key][1], found)]
+                c = np.frombuffer(batch.column("c_v")[i].as_buffer()).reshape(-1, batch.column("c_width")[i].as_py())
+                q = np.frombuffer(batch.column("q_v")[i].as_buffer()).reshape(-1, batch.column("q_width")[i].as_py())
+                key = hashlib.blake2b(q.tobytes() + repr([asked[0], asked[-1], len(asked)]).encode(), digest_size=16).digest()
+                best = held[key][1] if key in held else None
+                found = found_in(c, q, c_ids, asked, best)
+                if best is not None:
+                    if not len(found[0]):
+                        continue
+                    count -= len(best[0])
+                    both = [np.concatenate(x) for x in zip(best, found)]
                     kept = _first_k(*both[:3], k)
-                    count -= len(held[key][1][0])
                     found = tuple(x[kept] for x in both)
-                held[key] = (asked, found)
+                # Copied, as a slice would hold its batch.
+                held[key] = (held[key][0] if best is not None else pa.concat_arrays([asked]), found)
                 count += len(found[0])
                 if count > HELD_CANDIDATES:
                     yield from flush()
@@ -191,7 +261,7 @@ def knn(
     """
     rows = corpus.select(F.col(corpus_id).alias("id"), F.col(vector).alias("v"))
     asked = queries.select(F.col(query_id).alias("id"), F.col(vector).alias("v"))
-    found = _blocked(rows, asked, k, ASCENDING[metric], lambda c, q: _scores(c, q, metric), exclude_self, block_rows=block_rows)
+    found = _blocked(rows, asked, k, ASCENDING[metric], lambda c, q: _scores(c, q, metric), exclude_self, block_rows=block_rows, metric=metric)
     return top_k(found, ["query_id"], [_order(metric), F.col("id")], k)
 
 
