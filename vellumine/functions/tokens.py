@@ -15,6 +15,8 @@ _WORD_END = f"(?![^{SPACE}])"
 _CJK = f"[{S.CJK_BASIC}]"
 
 SEARCH_SPLIT = f"[{SPACE}{char_class(S.SEARCH_MARKS)}]+"
+#: What lies between two splits, of two characters at least; for Arrow tasks.
+SEARCH_WORD = f"[^{SPACE}{char_class(S.SEARCH_MARKS)}]{{2,}}"
 WORD_PATTERN = "[\\p{L}\\p{N}_]+"
 
 

@@ -147,20 +147,21 @@ def broadcast_limit(spark: SparkSession) -> int:
 CELLS_PER_PARTITION = 4
 
 
-def met_blocks(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+def met_blocks(corpus: DataFrame, queries: DataFrame, query_bytes: int | None = None) -> DataFrame:
     """Every block of the corpus with every block of queries; blocks have ``c_ids`` and ``q_ids``.
 
-    A query side that Spark estimates below its broadcast limit is broadcast. Else both are dealt to a grid, as in a
+    A query side below Spark's broadcast limit, by ``query_bytes`` as counted or else by Spark's estimate, is broadcast. Else both are dealt to a grid, as in a
     two-dimensional matrix product: a corpus block lies in one of ``r`` rows and goes to all ``c`` columns, a query block in
     one column and goes to all rows; they meet in r x c cells of about equal size, so no key holds all pairs. ``r : c`` follows
     the sides' sizes, which minimises the bytes sent.
     """
     spark = corpus.sparkSession
-    if estimated_bytes(queries) <= broadcast_limit(spark):
-        return corpus.crossJoin(queries)
+    asked_bytes = estimated_bytes(queries) if query_bytes is None else query_bytes
+    if asked_bytes <= broadcast_limit(spark):
+        return corpus.crossJoin(queries if query_bytes is None else F.broadcast(queries))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = CELLS_PER_PARTITION * tasks
-    share = max(estimated_bytes(queries), 1) / max(estimated_bytes(corpus), 1)
+    share = max(asked_bytes, 1) / max(estimated_bytes(corpus), 1)
     columns = min(cells, max(1, round((cells * share) ** 0.5)))
     rows = max(1, -(-cells // columns))
     line = F.pmod(F.xxhash64("c_ids"), F.lit(rows)).cast("int")
