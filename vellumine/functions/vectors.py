@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +80,19 @@ SLICE_TEXTS, KNOWN_WORDS = 64, 1 << 16
 
 
 class _Buckets(dict):
-    """Bucket of each word, digested when first asked for."""
+    """Bucket of each word, digested when first asked for. A full dictionary becomes the older one, so that words that return stay."""
+
+    def __init__(self):
+        self.older: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KNOWN_WORDS:
+            self.older = dict(self)
             self.clear()
-        found = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % DIM
+        found = self.older.get(word)
+        if found is None:
+            found = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % DIM
+        self[word] = found
         return found
 
 
@@ -99,9 +107,11 @@ def hashed_text_vector(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         out = np.zeros((len(batch), DIM))
         for start in range(0, len(batch), SLICE_TEXTS):
-            for row, text in zip(out[start:], batch.slice(start, SLICE_TEXTS).to_pylist()):
-                words = (text or "").lower().split()
-                row += np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=DIM)
+            words = [(text or "").lower().split() for text in batch.slice(start, SLICE_TEXTS).to_pylist()]
+            sizes = list(map(len, words))
+            buckets = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+            cells = np.repeat(np.arange(len(words)) * DIM, sizes) + buckets
+            out[start : start + len(words)] = np.bincount(cells, minlength=len(words) * DIM).reshape(-1, DIM)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         np.divide(out, size, out=out, where=size > 0)
         yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, DIM), pa.int32()), pa.array(out.reshape(-1)))
