@@ -119,12 +119,19 @@ def restore(text: Column) -> Column:
 
 
 def fixed_windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    """array<struct<start, text>> of overlapping windows; blank windows dropped."""
+    """array<struct<start, text>> of overlapping windows; blank windows dropped.
+
+    The text is cut into steps, read once; a window is a step and the heads of those after it, as each substring would be
+    counted from the text's start.
+    """
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    windows = F.transform(
-        starts, lambda s: F.struct(s.alias("start"), F.substr(text, s + 1, F.lit(size)).alias("text"))
-    )
+
+    def window(steps: Column, p: Column, i: Column) -> Column:
+        heads = [F.coalesce(F.left(F.get(steps, i + j + 1), F.lit(min(step, overlap - j * step))), F.lit("")) for j in range(-(-overlap // step))]
+        return F.struct((i * step).alias("start"), F.concat(p, *heads).alias("text"))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), 0)
+    windows = let(pieces, lambda steps: F.transform(steps, lambda p, i: window(steps, p, i)))
     return F.filter(windows, lambda w: filled(w["text"]))
 
 
