@@ -8,7 +8,7 @@ from vellumine.operators import validation as A
 from vellumine.session import spread
 from vellumine.workload.cleaning import sql_strip
 from vellumine.workload.metrics import FOUND, PAIRS, answer_pairs, content_hits
-from vellumine.workload.registry import lit, query, table
+from vellumine.workload.registry import lit, query, rounded, table
 from vellumine.workload.tokens import STOP, sql_check_keywords, sql_words
 
 MARKS = ".!?\n"
@@ -45,12 +45,12 @@ SUPPORT = f"""{PAIRS}, fold AS (SELECT conv_id, turn, regexp_replace(answer, '[^
 @query("claim_support", f"WITH {SUPPORT} SELECT conv_id, turn, claim_no, round(similarity, 5) AS similarity, similarity >= 0.2 AS found FROM b")
 def _claim_support(spark, sf):
     s = _support(spark, sf)
-    return s.select("conv_id", "turn", "claim_no", F.round("similarity", 5).alias("similarity"), "found")
+    return s.select("conv_id", "turn", "claim_no", rounded("similarity", 5).alias("similarity"), "found")
 
 
 @query("claim_support_sequence")
 def _claim_support_sequence(spark, sf):
-    return _support(spark, sf, "sequence").select("conv_id", "turn", "claim_no", F.round("similarity", 5).alias("similarity"), "found", "source")
+    return _support(spark, sf, "sequence").select("conv_id", "turn", "claim_no", rounded("similarity", 5).alias("similarity"), "found", "source")
 
 
 @query(
@@ -60,7 +60,7 @@ def _claim_support_sequence(spark, sf):
 )
 def _validity(spark, sf):
     v = A.answer_validity(_support(spark, sf), ["conv_id", "turn"], 0.2)
-    return v.withColumn("confidence", F.round("confidence", 5))
+    return v.withColumn("confidence", rounded("confidence", 5))
 
 
 _CITED = "replace(replace(replace(text, '. ', ' [' || (doc_id % 6) || '] '), ', ', ' [1-3] '), '\n', ' [2, 9] [3-' || (30000 + doc_id) || ']')"
@@ -130,7 +130,7 @@ GATE = f"""{FOUND}, r AS (SELECT h.query_id, rank, score, CASE WHEN rank % 3 = 0
 )
 def _gate(spark, sf):
     g = gate(spark, sf).withColumn("tier", A.gate_tier(F.col("overall")))
-    return g.select("query_id", "n", *[F.round(c, 5).alias(c) for c in ("relevance", "diversity", "confidence", "recency", "overall")], "consistency", "tier")
+    return g.select("query_id", "n", *[rounded(c, 5).alias(c) for c in ("relevance", "diversity", "confidence", "recency", "overall")], "consistency", "tier")
 
 
 @query(

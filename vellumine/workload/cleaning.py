@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellumine import settings as S
 from vellumine.functions import text as X
 from vellumine.session import spread
-from vellumine.workload.registry import lit, query, table
+from vellumine.workload.registry import lit, query, rounded, table
 
 
 def _docs(spark, sf):
@@ -147,7 +147,7 @@ def _report(spark, sf):
     return cleaned.groupBy("source").agg(
         F.sum("a").alias("original_length"),
         F.sum("b").alias("cleaned_length"),
-        F.round((F.sum("a") - F.sum("b")) / F.sum("a") * 100, 2).alias("reduction_pct"),
+        rounded((F.sum("a") - F.sum("b")) / F.sum("a") * 100, 2).alias("reduction_pct"),
     )
 
 

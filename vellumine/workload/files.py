@@ -13,7 +13,7 @@ from vellumine.sources import sinks
 from vellumine.workload.chunks import fixed_chunks, sql_windows
 from vellumine.workload.cleaning import sql_preset, sql_strip
 from vellumine.workload.labels import CATEGORIES, sql_category
-from vellumine.workload.registry import query, table
+from vellumine.workload.registry import query, rounded, table
 from vellumine.workload.retrieval import _TERMS, BM25_CTE, CHUNK_CTE, TOP, VEC_CTE
 from vellumine.workload.retrieval import fixed_chunks as content_chunks
 from vellumine.workload.rewriting import sql_expanded
@@ -74,14 +74,14 @@ def _sql_hybrid(source: str, key: str, text: str, before: str = "") -> str:
 @query("hybrid_search", _sql_hybrid("documents", "doc_id", "text"))
 def _hybrid(spark, sf):
     hits = Q.hybrid_search(docs(spark, sf), _queries(spark, sf), stop=STOP, synonyms=_SYNONYMS)
-    return hits.withColumn("score", F.round("score", 5)).withColumn("rank", F.col("rank").cast("bigint"))
+    return hits.withColumn("score", rounded("score", 5)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("hybrid_chunk_search", _sql_hybrid("ch", "chunk_id", "content", CHUNK_CTE.split("  cv AS")[0].strip()))
 def _hybrid_chunks(spark, sf):
     """The same over fixed chunks, whose ids are text."""
     hits = Q.hybrid_search(content_chunks(spark, sf), _queries(spark, sf), key="chunk_id", text="content", stop=STOP, synonyms=_SYNONYMS)
-    return hits.withColumn("score", F.round("score", 5)).withColumn("rank", F.col("rank").cast("bigint"))
+    return hits.withColumn("score", rounded("score", 5)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _cases(spark, sf):
@@ -125,7 +125,7 @@ def _truth(spark, sf):
 
 @query("case_metrics", f"WITH {CASES} SELECT query_id, category, difficulty, {', '.join(f'round({m}, 5) AS {m}' for m in E.CASE_METRICS)} FROM cases")
 def _metrics(spark, sf):
-    return _cases(spark, sf).select("query_id", "category", "difficulty", *[F.round(m, 5).alias(m) for m in E.CASE_METRICS])
+    return _cases(spark, sf).select("query_id", "category", "difficulty", *[rounded(m, 5).alias(m) for m in E.CASE_METRICS])
 
 
 _MEANS = ", ".join(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellumine.operators import logbook as L
 from vellumine.operators.catalog import keep_days, keep_recent
 from vellumine.streaming import ttl as T
-from vellumine.workload.registry import query, table
+from vellumine.workload.registry import query, rounded, table
 
 
 def events(spark, sf):
@@ -104,7 +104,7 @@ def _keys(spark, sf):
 )
 def _reuse(spark, sf):
     r = L.reuse_statistics(events(spark, sf).withColumn("k", F.col("user_id") % 50), "k", 1800, tokens="value")
-    return r.withColumn("hit_rate", F.round("hit_rate", 6)).withColumn("tokens_saved", F.round("tokens_saved", 2))
+    return r.withColumn("hit_rate", rounded("hit_rate", 6)).withColumn("tokens_saved", rounded("tokens_saved", 2))
 
 
 @query(
@@ -172,4 +172,4 @@ def _sessions(spark, sf):
        SELECT event_type, window_start, round(avg(value), 5) AS mean, max(value) AS max, count(*) AS samples FROM w GROUP BY ALL""",
 )
 def _sliding(spark, sf):
-    return L.sliding_metrics(events(spark, sf), "24 hours", "12 hours").withColumn("mean", F.round("mean", 5))
+    return L.sliding_metrics(events(spark, sf), "24 hours", "12 hours").withColumn("mean", rounded("mean", 5))

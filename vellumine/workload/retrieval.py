@@ -11,7 +11,7 @@ from vellumine.operators import context as O
 from vellumine.operators import knn as N
 from vellumine.operators import retrieval as RT
 from vellumine.session import cut_lineage
-from vellumine.workload.registry import lit, lits, query, table
+from vellumine.workload.registry import lit, lits, query, rounded, table
 from vellumine.workload.tokens import STOP, docs, sql_first_distinct, sql_search_tokens
 from vellumine.workload.vectors import sql_text_vectors, text_vectors
 
@@ -48,7 +48,7 @@ def _big(df):
 
 @query("bm25_topk", f"WITH {BM25_CTE} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM bm25")
 def _bm25(spark, sf):
-    return _big(bm25_hits(spark, sf)).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _big(bm25_hits(spark, sf)).select("query_id", "doc_id", "rank", rounded("score", 5).alias("score"))
 
 
 def vector_hits(spark, sf, k=TOP, by="text"):
@@ -69,7 +69,7 @@ VEC_CTE = f"""
 
 @query("vector_search", f"WITH {VEC_CTE} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM vec")
 def _vector(spark, sf):
-    return _big(vector_hits(spark, sf)).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _big(vector_hits(spark, sf)).select("query_id", "doc_id", "rank", rounded("score", 5).alias("score"))
 
 
 KWV_CTE = f"""
@@ -82,7 +82,7 @@ KWV_CTE = f"""
 
 @query("keyword_vector_search", f"WITH {KWV_CTE} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM vec")
 def _keyword_vector(spark, sf):
-    return _big(vector_hits(spark, sf, by="terms")).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _big(vector_hits(spark, sf, by="terms")).select("query_id", "doc_id", "rank", rounded("score", 5).alias("score"))
 
 
 # --- fusion -----------------------------------------------------------------------------------
@@ -99,7 +99,7 @@ BOTH = f"WITH {BM25_CTE}, {VEC_CTE}"
 @query("fuse_keyword_lists", f"{BOTH} SELECT query_id, doc_id, round(max(score), 5) AS score FROM (SELECT * FROM bm25 UNION ALL SELECT * FROM vec) GROUP BY ALL")
 def _fuse_max(spark, sf):
     vec, kw = both(spark, sf)
-    return RT.fuse_keyword_lists(kw, vec).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    return RT.fuse_keyword_lists(kw, vec).select("query_id", "doc_id", rounded("score", 5).alias("score"))
 
 
 FUSED = """SELECT query_id, doc_id, coalesce(v.score * 0.6::DOUBLE, 0) + coalesce(b.score * 0.4::DOUBLE, 0) AS score
@@ -114,7 +114,7 @@ def sql_ranked(inner: str, k: str, where: str = "true") -> str:
 @query("hybrid_fusion", f"{BOTH} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM ({sql_ranked(FUSED, '10')})")
 def _hybrid(spark, sf):
     vec, kw = both(spark, sf)
-    return _big(RT.fuse_weighted(vec, kw, 10)).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _big(RT.fuse_weighted(vec, kw, 10)).select("query_id", "doc_id", "rank", rounded("score", 5).alias("score"))
 
 
 _MINMAX = """SELECT query_id, doc_id, coalesce(v.score * 0.6::DOUBLE, 0) + coalesce(b.s * 0.4::DOUBLE, 0) AS score FROM vec v FULL JOIN (
@@ -125,14 +125,14 @@ _MINMAX = """SELECT query_id, doc_id, coalesce(v.score * 0.6::DOUBLE, 0) + coale
 @query("hybrid_fusion_minmax", f"{BOTH} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM ({sql_ranked(_MINMAX, '10')})")
 def _hybrid_minmax(spark, sf):
     vec, kw = both(spark, sf)
-    return _big(RT.fuse_weighted(vec, kw, 10, normalise="minmax")).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _big(RT.fuse_weighted(vec, kw, 10, normalise="minmax")).select("query_id", "doc_id", "rank", rounded("score", 5).alias("score"))
 
 
 @query("threshold_topk", f"{BOTH} SELECT query_id, doc_id, rank, round(score, 5) AS score FROM ({sql_ranked(FUSED, '5', 'score >= 2.0')})")
 def _threshold(spark, sf):
     vec, kw = both(spark, sf)
     fused = RT.fuse_weighted(vec, kw, 10)
-    return _big(RT.threshold_top_k(fused, 2.0, 5)).select("query_id", "doc_id", "rank", F.round("score", 5).alias("score"))
+    return _big(RT.threshold_top_k(fused, 2.0, 5)).select("query_id", "doc_id", "rank", rounded("score", 5).alias("score"))
 
 
 @query(
@@ -142,7 +142,7 @@ def _threshold(spark, sf):
 )
 def _multi(spark, sf):
     vec, kw = both(spark, sf)
-    return RT.multi_way([("vector", vec, 1.0), ("hyde", kw, 0.9)]).select("query_id", "doc_id", "source", F.round("score", 5).alias("score"))
+    return RT.multi_way([("vector", vec, 1.0), ("hyde", kw, 0.9)]).select("query_id", "doc_id", "source", rounded("score", 5).alias("score"))
 
 
 @query(
@@ -155,7 +155,7 @@ def _variants(spark, sf):
     q = questions(spark, sf).select(
         F.col("query_id").alias("variant_id"), F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).alias("variant_no")
     )
-    return RT.variant_hits(bm25_hits(spark, sf), q).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+    return RT.variant_hits(bm25_hits(spark, sf), q).select("query_id", "doc_id", rounded("score", 5).alias("score"))
 
 
 def with_texts(spark, sf, hits):
@@ -213,7 +213,7 @@ def _rules(spark, sf):
         F.col("score"), F.col("query"), F.col("content"), F.col("terms"), lodging=_BONUS_LODGING, levels=_BONUS_LEVELS, cities=_BONUS_CITIES
     )
     return RT.rule_rerank(hits, score, TOP).select(
-        "query_id", "doc_id", F.col("new_rank").cast("bigint").alias("new_rank"), F.round("rerank_score", 5).alias("rerank_score")
+        "query_id", "doc_id", F.col("new_rank").cast("bigint").alias("new_rank"), rounded("rerank_score", 5).alias("rerank_score")
     )
 
 
@@ -295,7 +295,7 @@ def chunk_hits(spark, sf):
 
 @query("chunk_search", f"WITH {CHUNK_CTE} SELECT query_id, chunk_id, rank, round(score, 5) AS score FROM found")
 def _chunk_search(spark, sf):
-    return _big(chunk_hits(spark, sf)).select("query_id", "chunk_id", "rank", F.round("score", 5).alias("score"))
+    return _big(chunk_hits(spark, sf)).select("query_id", "chunk_id", "rank", rounded("score", 5).alias("score"))
 
 
 @query(
