@@ -13,11 +13,11 @@ LONG = "w " * 80
 #: Spaces of all kinds, blank lines, marks of headings within long lines, windows of spaces only, letters that change with case.
 ODD = [
     None, "", " ", "\n", "\n\n", "\t", "\r\n", "a\r\n\r\nb", "# ", "# x\n\ny", "####### " + LONG, " # " + LONG, f"x\n\t## {LONG}", f"x\n####### {LONG}\n#\t{LONG}",
-    f"x\n#\u000b{LONG}", f"x\n#　{LONG}", "a" * 450 + "\n", "a" * 450 + "\t", "a" * 450 + " ", "\n" * 1000, " " * 1000, "a" + "\n" * 1000 + "b", ".!?", "\u0085",
+    f"x\n#\u000b{LONG}", f"x\n#　{LONG}", "a" * 450 + "\n", "a" * 450 + "\t", "a" * 450 + " ", "\n" * 1000, " " * 1000, "\u00a0" * 500 + "b", "\u3000", "\u2028", "a" + "\n" * 1000 + "b", ".!?", "\u0085",
     "\U0001f600" * 600, "x" * 201, "İstanbul Σας ΟΔΟΣ ẞ",
 ]
 PARTS = ["a", " ", "\n", "\n\n", "\t", "# ", "## ", ". ", "\r", "word ", "　", "\u0085", "\x1f", "é", "İ", "Σ", "w " * 30, "w " * 60, "\u000b"]
-READINGS = ["readability"]
+READINGS = ["readability", "vectors_by_document"]
 
 
 @pytest.fixture(scope="module")

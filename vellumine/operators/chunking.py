@@ -118,8 +118,8 @@ def restore(text: Column) -> Column:
 # --- size-based strategies ------------------------------------------------------------------
 
 
-def fixed_windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    """array<struct<start, text>> of overlapping windows; blank windows dropped.
+def fixed_windows(text: Column, size: int = 500, overlap: int = 50, keep: Callable[[Column], Column] = filled) -> Column:
+    """array<struct<start, text>> of overlapping windows; those whose text ``keep`` rejects, by default blank ones, are dropped.
 
     The text is cut into steps, read once; a window is a step and the heads of those after it, as each substring would be
     counted from the text's start.
@@ -132,7 +132,7 @@ def fixed_windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
 
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), 0)
     windows = let(pieces, lambda steps: F.transform(steps, lambda p, i: window(steps, p, i)))
-    return F.filter(windows, lambda w: filled(w["text"]))
+    return F.filter(windows, lambda w: keep(w["text"]))
 
 
 def force_split(text: Column, limit: int = HARD_LIMIT, marks: str = "。；！？\n") -> Column:
