@@ -17,7 +17,7 @@ ODD = [
     "\U0001f600" * 600, "x" * 201, "İstanbul Σας ΟΔΟΣ ẞ",
 ]
 PARTS = ["a", " ", "\n", "\n\n", "\t", "# ", "## ", ". ", "\r", "word ", "　", "\u0085", "\x1f", "é", "İ", "Σ", "w " * 30, "w " * 60, "\u000b"]
-READINGS = ["readability", "vectors_by_document"]
+READINGS = ["readability", "vectors_by_document", "heading_sections"]
 
 
 @pytest.fixture(scope="module")

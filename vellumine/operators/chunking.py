@@ -260,14 +260,18 @@ HEADING_MARKS = {
 }
 
 
-def heading_sections(text: Column, marks: str = HEADING_MARKS["markdown"]) -> Column:
-    """array<struct<title, content>>: the content of a section includes its heading line."""
-    pieces = F.filter(F.split(text, f"\\n(?=[ \\t]*(?:{marks}))"), filled)
+def heading_sections(text: Column, marks: str = HEADING_MARKS["markdown"], indent: str = "[ \\t]*", title: str | None = None) -> Column:
+    """array<struct<title, content>>: the content of a section includes its heading line.
+
+    ``indent`` may stand before a heading. A first line is the title if its stripped text begins with ``marks``, or else if the
+    line as it stands begins with ``title``.
+    """
+    pieces = F.filter(F.split(text, f"\\n(?={indent}(?:{marks}))"), filled)
 
     def section(p: Column) -> Column:
-        first = strip(F.substring_index(p, "\n", 1))
-        titled = first.rlike(f"^(?:{marks})")
-        return F.struct(F.when(titled, first).otherwise("").alias("title"), strip(p).alias("content"))
+        line = F.substring_index(p, "\n", 1)
+        titled = strip(line).rlike(f"^(?:{marks})") if title is None else line.rlike(f"^(?:{title})")
+        return F.struct(F.when(titled, strip(line)).otherwise("").alias("title"), strip(p).alias("content"))
 
     return F.transform(pieces, section)
 
