@@ -1,5 +1,6 @@
 """Queries over documents against their SQL on odd rows that the given tables don't hold."""
 
+import hashlib
 import random
 
 import duckdb
@@ -46,3 +47,21 @@ def test_rounded_as_in_sql(spark):
     ours = [r["v"] for r in spark.createDataFrame([(v,) for v in values], "x double").select(rounded("x", 5).alias("v")).collect()]
     theirs = duckdb.connect().execute("SELECT round(x, 5) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()
     assert ours == [v for (v,) in theirs]
+
+
+def test_scores_at_the_threshold(spark, tmp_path):
+    """Hits that score 0.7 itself count as in SQL, whose sum of rounded terms may be just below; letters are lower-cased one by one."""
+    words: dict[int, str] = {}
+    for i in range(500):
+        words.setdefault(int(hashlib.md5(f"w{i}".encode()).hexdigest()[:8], 16) % 64, f"w{i}")
+    said = lambda counts: " ".join(" ".join([words[b]] * n) for b, n in enumerate(counts) if n)
+    pairs = [([2, 2, 0], [0, 7, 1]), ([0, 0, 0, 2, 2], [0, 0, 0, 1, 7]), ([0] * 5 + [5, 5, 0], [0] * 5 + [7, 0, 1]), ([0] * 8 + [0, 1, 1, 0, 0], [0] * 8 + [6, 5, 9, 7, 3])]
+    texts = [(i, said(d)) for i, (_, d) in enumerate(pairs)] + [(10, "ΟΔΟΣ İl"), (11, "οδοσ il"), (12, "ΟΔΟΣ eine"), (13, None), (14, "")]
+    asked = [(i, said(q)) for i, (q, _) in enumerate(pairs)] + [(10, "οδοσ il"), (11, "ΟΔΟΣ"), (12, None), (13, " ")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df, cur = QUERIES["enhancement_metrics"](spark, str(tmp_path)), con.execute(ORACLES["enhancement_metrics"])
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
