@@ -143,33 +143,31 @@ def broadcast_limit(spark: SparkSession) -> int:
     return spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
-#: Cells of the grid for each shuffle partition, so that hashing spreads them evenly.
-CELLS_PER_PARTITION = 4
+#: Query blocks that a task may hold at once, in a grid.
+HELD_BLOCKS = 64
 
 
 def met_blocks(corpus: DataFrame, queries: DataFrame, query_bytes: int | None = None) -> DataFrame:
     """Every block of the corpus with every block of queries; blocks have ``c_ids`` and ``q_ids``.
 
-    A query side below Spark's broadcast limit, by ``query_bytes`` as counted or else by Spark's estimate, is broadcast. Else both are dealt to a grid, as in a
-    two-dimensional matrix product: a corpus block lies in one of ``r`` rows and goes to all ``c`` columns, a query block in
-    one column and goes to all rows; they meet in r x c cells of about equal size, so no key holds all pairs. ``r : c`` follows
-    the sides' sizes, which minimises the bytes sent.
+    A query side below Spark's broadcast limit, by ``query_bytes`` as counted or else by Spark's estimate, is broadcast. Else the
+    query blocks are counted, and both sides are dealt to a grid: a Cartesian product, whose tasks read one part of each side, so
+    that each side is written once, whatever the number of cells. There are as many columns of queries as tasks or blocks, and
+    rows of the corpus only for tasks that are left, since a query's best rows are written by every row of the grid.
     """
     spark = corpus.sparkSession
+    limit = broadcast_limit(spark)
     asked_bytes = estimated_bytes(queries) if query_bytes is None else query_bytes
-    if asked_bytes <= broadcast_limit(spark):
+    if asked_bytes <= limit:
         return corpus.crossJoin(queries if query_bytes is None else F.broadcast(queries))
+    queries = cut_lineage(queries)
+    blocks = queries.count()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = CELLS_PER_PARTITION * tasks
-    share = max(asked_bytes, 1) / max(estimated_bytes(corpus), 1)
-    columns = min(cells, max(1, round((cells * share) ** 0.5)))
-    rows = max(1, -(-cells // columns))
-    line = F.pmod(F.xxhash64("c_ids"), F.lit(rows)).cast("int")
-    place = F.pmod(F.xxhash64("q_ids"), F.lit(columns)).cast("int")
-    left = corpus.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: line * columns + j)))
-    right = queries.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: i * columns + place)))
-    # A stated number of partitions: merged by their bytes, which are few, the products would end in few tasks.
-    return left.repartition(tasks, "_cell").join(right.repartition(tasks, "_cell"), "_cell").drop("_cell")
+    columns = max(1, min(blocks, max(tasks, -(-blocks // HELD_BLOCKS))))
+    # A stated number of partitions: merged by their bytes, which are few, the products would end in few tasks. Query blocks are
+    # dealt by their number, as by turns those of several partitions would meet in one.
+    asked = queries.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(columns, "_n").drop("_n")
+    return corpus.repartition(-(-tasks // columns)).hint("shuffle_replicate_nl").crossJoin(asked)
 
 
 def _blocked(
