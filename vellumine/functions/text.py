@@ -28,7 +28,27 @@ def char_class(chars: str) -> str:
     return "".join(out)
 
 
+def _told_fast(chars: str) -> str:
+    """Characters as the body of a Java class. Java looks single ones below 256 up in one table, and tries ranges and others one
+    by one; those are asked only for characters beyond the table."""
+    low, high = "".join(f"\\u{ord(c):04x}" for c in sorted(set(chars)) if ord(c) < 256), "".join(c for c in chars if ord(c) >= 256)
+    return low + (f"[\\x{{100}}-\\x{{{0xFFFF if max(high) <= chr(0xFFFF) else 0x10FFFF:x}}}&&[{char_class(high)}]]" if high else "")
+
+
+def inside(chars: str) -> str:
+    """Java class of these characters."""
+    return f"[{_told_fast(chars)}]"
+
+
+def outside(chars: str) -> str:
+    """Java class of all characters but these; a range of frequent ones that holds none of these comes first."""
+    plain = next((f"{a}-{z}" for a, z in ("!~", "az") if not any(a <= c <= z for c in chars)), "")
+    return f"[{plain}[^{_told_fast(chars)}]]"
+
+
 SPACE = char_class(S.ANY_SPACE)
+#: The same for Java alone.
+NO_SPACE, SPACES = outside(S.ANY_SPACE), inside(S.ANY_SPACE)
 INLINE = char_class(S.INLINE_SPACE)
 ANY_SPACE_CLASS = SPACE
 
@@ -46,7 +66,12 @@ def strip(col: Column) -> Column:
 
 def filled(col: Column) -> Column:
     """Whether anything but white space is there; reading stops at the first such character."""
-    return col.rlike(f"[^{SPACE}]")
+    return col.rlike(NO_SPACE)
+
+
+def letter_count(col: Column) -> Column:
+    """Characters that are no white space."""
+    return F.length(F.regexp_replace(col, f"{SPACES}+", ""))
 
 
 def lines(col: Column) -> Column:

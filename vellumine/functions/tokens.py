@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vellumine import settings as S
-from vellumine.functions.text import SPACE, char_class
+from vellumine.functions.text import NO_SPACE, SPACE, char_class, inside
 
 _WORD_START = f"(?<![^{SPACE}])"
 _WORD_END = f"(?![^{SPACE}])"
@@ -27,12 +27,12 @@ def estimate_tokens(col: Column) -> Column:
     once. Words whose letters are all ideographs are taken off, where there are any.
     """
     # Plain letters first: the class of all white space is slow to test, at each character or position.
-    with_letter = F.regexp_count(col, F.lit(f"\\p{{L}}[A-Za-z]*+[^{SPACE}]*+"))
+    with_letter = F.regexp_count(col, F.lit(f"\\p{{L}}[A-Za-z]*+{NO_SPACE}*+"))
     ideographs_only = F.when(
         col.rlike(_CJK),
         F.regexp_count(col, F.lit(f"(?![A-Za-z ]){_WORD_START}(?=[^{SPACE}{S.CJK_BASIC}]*+{_CJK})[^{SPACE}A-Za-z]++{_WORD_END}")),
     ).otherwise(0)
-    marks = F.length(col) - F.length(F.translate(col, S.ESTIMATE_MARKS, ""))
+    marks = F.length(col) - F.length(F.regexp_replace(col, f"{inside(S.ESTIMATE_MARKS)}+", ""))
     return (
         F.regexp_count(col, F.lit(_CJK)) / 1.5 + (with_letter - ideographs_only) * F.lit(1.3) + marks * F.lit(0.5)
     ).cast("bigint")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from vellumine import settings as S
 from vellumine.functions import rules as R
 from vellumine.functions import vectors as V
-from vellumine.functions.text import char_class, filled, let, strip
+from vellumine.functions.text import char_class, filled, inside, let, outside, strip
 from vellumine.functions.tokens import estimate_tokens
 
 HARD_LIMIT = 2000
@@ -75,8 +75,8 @@ def join_text(group: Column, sep: str) -> Column:
 
 def split_pieces(text: Column, mark: str) -> Column:
     """Text cut after every mark, marks kept: nothing is lost."""
-    body = char_class(mark)
-    return F.regexp_extract_all(text, F.lit(f"[^{body}]*[{body}]|[^{body}]+"), 0)
+    # No way back into a run: the last piece may have no mark.
+    return F.regexp_extract_all(text, F.lit(f"{outside(mark)}++{inside(mark)}?|{inside(mark)}"), 0)
 
 
 def split_before(text: Column, head: str) -> Column:
@@ -531,7 +531,7 @@ def project_chunks(text: Column, limit: int = HARD_LIMIT) -> Column:
     """Chapter or phase headings, ``###``, then numbered steps packed to ``limit``; merged under 400."""
     chapter = f"#{{1,2}}\\s*(?:第[{NUMERALS}]+章|流程|阶段)"
     step = "Step\\s+\\d+|步骤\\s*\\d+|\\d+\\.\\s+"
-    checklist = "(?m)^(?:(?:[^\\n\\[]|\\[(?![ x]\\]))*+\\[[ x]\\][^\\n]*+(?:\\n|\\z)){2,}+"
+    checklist = "(?m)^(?:(?:[^\\n\\[]++|\\[(?![ x]\\]))*+\\[[ x]\\][^\\n]*+(?:\\n|\\z)){2,}+"
 
     def part(title: Column) -> Callable[[Column], Column]:
         def build(p: Column) -> Column:
